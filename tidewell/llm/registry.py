@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import line_dedup, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +19,44 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text", done["__tw_lines"].alias("n_lines"), done["__tw_removed"].alias("n_removed"))
+
+
+OP8_SQL = """
+WITH lines AS (
+  SELECT doc_id, pos, line, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS norm
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+firsts AS MATERIALIZED (
+  SELECT norm, length(norm) AS n, min((doc_id, pos)) AS place FROM lines WHERE norm <> '' GROUP BY norm),
+long AS MATERIALIZED (SELECT * FROM firsts WHERE n >= 20),
+pairs AS (
+  SELECT a.norm AS x, a.place AS px, b.norm AS y, b.place AS py FROM long a JOIN long b
+    ON left(a.norm, a.n // 2) = left(b.norm, a.n // 2) AND b.n BETWEEN a.n - 1 AND a.n AND a.norm <> b.norm
+  UNION
+  SELECT a.norm, a.place, b.norm, b.place FROM long a JOIN long b
+    ON right(a.norm, a.n - a.n // 2) = right(b.norm, a.n - a.n // 2) AND b.n BETWEEN a.n - 1 AND a.n AND a.norm <> b.norm),
+near AS (
+  SELECT CASE WHEN px < py THEN y ELSE x END AS norm FROM pairs WHERE levenshtein(x, y) <= 1),
+kept AS (
+  SELECT place FROM firsts WHERE norm NOT IN (SELECT norm FROM near)),
+marked AS (
+  SELECT l.doc_id, l.pos, l.line, l.norm, l.norm = '' OR k.place IS NOT NULL AS stays
+  FROM lines l LEFT JOIN kept k ON k.place = (l.doc_id, l.pos))
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '') AS text,
+       count(*) FILTER (WHERE norm <> '') AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_removed
+FROM marked GROUP BY doc_id
+"""
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.assign(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_quality_rules,)}
+    return {f.__name__: f for f in (op8_line_dedup, op9_simhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": OP8_SQL}

@@ -1,24 +1,56 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination and packing, each over all that the one before kept.
+
+Each stage takes and returns a DataFrame; the caller writes it as Parquet and reads it again. All but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import quality, registry
+from tidewell.llm import decontaminate, line_dedup, packing, quality, simhash
+from tidewell.llm.common import cut
+from tidewell.llm.registry import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
-    return quality.keep_good(docs, registry.table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without lines that the corpus has earlier; those that lose all lines go."""
+    return line_dedup.remove_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences."""
+    return packing.pack(docs)
+
 
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_duplicates),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", best_fit_packing),
+]
 
-STAGES = [("quality rules", quality_rules)]
-#: SQL can't express the stages' models, fingerprints and tokens; tests hold them against brute force.
+#: SQL can't express the stages' fingerprints, tokens and risk bounds; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = registry.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, quality, simhash
+from . import decontaminate, line_dedup, packing, quality, simhash, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,39 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [
+    url_filter.Rule("block", "com/en/"),
+    url_filter.Rule("allow", "example.com/en/7"),
+    url_filter.Rule("allow", "net/de/"),
+    url_filter.Rule("block", "example.net/de/8"),
+    url_filter.Rule("block", "org/es/"),
+]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP2_SQL = r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS r FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules(action, rule, host_end, begins) AS (
+  VALUES ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'), ('allow', 'net/de/', 'net', '/de/'),
+         ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')),
+fits AS (
+  SELECT p.*, u.action, u.rule, row_number() OVER (PARTITION BY page_id ORDER BY length(u.rule) DESC, length(u.host_end) DESC) AS nth
+  FROM parts p LEFT JOIN rules u ON ('.' || p.host) LIKE ('%.' || u.host_end) AND starts_with(p.path, u.begins))
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits WHERE nth = 1
+"""
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -63,8 +96,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op6_decontamination, op8_line_dedup, op9_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_best_fit_packing, op6_decontamination, op8_line_dedup, op9_simhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op2_url_filters": OP2_SQL, "op8_line_dedup": OP8_SQL}

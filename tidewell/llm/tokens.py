@@ -7,6 +7,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import public_tokenizers
+import sentencepiece
 import tiktoken
 
 #: The vocabulary's one special token, which is encoded as such where a text has its string.
@@ -20,3 +21,9 @@ def byte_bpe(ranks: str) -> Callable[[str], list[int]]:
         merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={END_OF_TEXT: len(merges)})
     return lambda text: encoding.encode(text, allowed_special="all")
+
+
+@lru_cache(maxsize=2)
+def sentencepiece_model(path: str) -> Callable[[str], list[int]]:
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return lambda text: model.encode(text, num_threads=1)

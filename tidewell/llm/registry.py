@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, pii, quality, simhash, token_counts, url_filter
+from . import decontaminate, line_dedup, packing, pii, quality, secrets, simhash, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -100,7 +104,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_best_fit_packing, op4_pii, op6_decontamination, op8_line_dedup, op9_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_best_fit_packing, op4_pii, op5_secret_scans, op6_decontamination, op8_line_dedup, op9_simhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

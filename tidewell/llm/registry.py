@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, pii, quality, secrets, simhash, token_counts, url_filter
+from . import decontaminate, line_dedup, packing, passages, pii, quality, secrets, simhash, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "text", done["__tw_lines"].alias("n_lines"), done["__tw_removed"].alias("n_removed"))
@@ -104,7 +108,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_best_fit_packing, op4_pii, op5_secret_scans, op6_decontamination, op8_line_dedup, op9_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_best_fit_packing, op4_pii, op5_secret_scans, op6_decontamination, op7_substring_dedup, op8_line_dedup, op9_simhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,11 +1,14 @@
-"""All queries over the reference's own operators, by name."""
+"""All queries over the library's operators, by name."""
 
 from __future__ import annotations
 
+from . import clusters  # noqa: F401
+from .registry import QUERIES, SQL, Query
 
-def queries():
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -2,56 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut  # noqa: F401
+
 #: White space that ends a word, as Python's bytes.split() has it: space, and tab to carriage return.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
-_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of this application below spark.checkpoint.dir; where that is unset, a temporary folder, for tests."""
-    app = spark.sparkContext.applicationId
-    if app not in _dirs:
-        top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-")
-        _dirs[app] = f"{top.rstrip('/')}/tidewell-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _dirs[app])
-    return _dirs[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended before the interpreter; whoever owns the folder clears it
-        pass
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder and read back: the lineage ends here, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def row_key(doc_id: Column, text: Column) -> Column:
     """A key of a document's row. Rows with equal doc_id and text share it; rows that repeat a doc_id with another text don't."""
     return F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)
-
-
-def text_of(docs: DataFrame, text: str = "text") -> Column:
-    return F.coalesce(docs[text].cast("string"), F.lit(""))
-
-
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """df dealt anew over the cluster when its scan has fewer partitions than the cluster has cores."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

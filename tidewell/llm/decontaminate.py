@@ -34,7 +34,8 @@ _QUANTITY_RE = rf"{_NUMBER_RE} ?(?:{'|'.join(sorted(UNITS, key=len, reverse=True
 
 
 def _plain(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[\ue000-\ue002]", " ")
+    """The text with one space for any white space, so that its layout doesn't count, and without the placeholders' characters."""
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"\x20*[\t-\r\ue000-\ue002][\s\ue000-\ue002]*|\x20{2,}", " ")
 
 
 def _steps(plain: Column) -> tuple[Column, Column, Column]:

@@ -31,12 +31,12 @@ BANDS, ROWS = 16, 4
 BLOCK, STEP = 26, 24
 #: Paragraphs with fewer words aren't compared.
 MIN_WORDS = 26
-#: Members of a bucket that the others are verified against in one round. Rounds go on until no bucket has an unverified pair between components.
-PIVOTS = 32
+#: Rounds in which a bucket's members are verified against one of them.
+STARS = 3
 BROADCAST_ROWS = 400_000
 _CACHED = 500_000
 _P = 0x9E3779B97F4A7C15
-_SCHEMA = "doc_id long, rk long, start int, n int, h long, bands array<long>"
+_SCHEMA = "doc_id long, rk long, start int, n int, h long, line int, bands array<long>"
 _U = np.uint64
 
 
@@ -71,14 +71,15 @@ class Words:
 
     def __init__(self, texts: list[str | None]):
         words: list[bytes] = []
-        starts, lines = [], []  # of texts; of paragraphs: text, from, to
+        starts, lines, self.numbers = [], [], []  # of texts; of paragraphs: text, from, to, and their number in the text
         for i, text in enumerate(texts):
             starts.append(len(words))
-            for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
+            for number, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
                 n = len(words)
                 words += line.split()
                 if len(words) - n >= MIN_WORDS:
                     lines.append((i, n, len(words)))
+                    self.numbers.append(number)
         self.starts, self.lines = np.array(starts, np.int64), np.array(lines, np.int64).reshape(-1, 3)
         self.hash = np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words))
         self.text = np.repeat(np.arange(len(texts)), np.diff([*starts, len(words)]))
@@ -130,58 +131,90 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = Words(b.column("text").to_pylist())
             at = w.blocks()
             text, start, stop = (np.concatenate(x) for x in zip((w.text[at], at, at + BLOCK), w.lines.T, strict=True))
+            line = pa.array([None] * len(at) + w.numbers, pa.int32())
             lists = [None] * len(at) + w.bands().view(np.int64).tolist()
             take = pa.array(text)
             columns = [b.column("doc_id").take(take), b.column("rk").take(take), pa.array((start - w.starts[text]).astype(np.int32)), pa.array((stop - start).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(w.run_hash(start, stop).view(np.int64)), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "rk", "start", "n", "h", "bands"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(w.run_hash(start, stop).view(np.int64)), line, pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "rk", "start", "n", "h", "line", "bands"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h and the sorted different shingles of the paragraph at start (words) of each text."""
+    """h and the sorted different shingles of each paragraph (h, text)."""
     for b in batches:
-        for h, start, text in zip(*(b.column(c).to_pylist() for c in ("h", "start", "text")), strict=True):
-            w = Words([text])
-            found = [np.unique(w.shingles[a : z - SHINGLE + 1]).view(np.int64) for _, a, z in w.lines if a == start]
-            yield pa.RecordBatch.from_arrays([pa.array([h] * len(found), pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["h", "shingles"])
+        w = Words(b.column("text").to_pylist())
+        sets = [np.unique(w.shingles[a : z - SHINGLE + 1]).view(np.int64) for _, a, z in w.lines]
+        yield pa.RecordBatch.from_arrays([b.column("h").take(pa.array(w.lines[:, 0])), pa.array(sets, pa.list_(pa.int64()))], names=["h", "shingles"])
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, rk, start and n (words), h (hash of the words) and bands of every block (bands null) and paragraph of docs (doc_id, text)."""
+    """doc_id, rk, start and n (words), h (hash of the words), line (number) and bands of every block (line and bands null) and paragraph of docs (doc_id, text)."""
     named = docs.select(docs.doc_id.cast("long").alias("doc_id"), row_key(docs.doc_id, docs.text).alias("rk"), docs.text.alias("text"))
     return named.mapInArrow(_units, _SCHEMA)
 
 
+def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """h, shingles, size and shared (how many of them another paragraph has, too) of the classes among members (h, at)."""
+    places = cut(members.select("h", F.col("at.rk").alias("rk"), F.col("at.line").alias("line")).distinct())
+    wanted = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+    texts = docs.select(row_key(docs.doc_id, docs.text).alias("rk"), docs.text.alias("text")).join(wanted, "rk")
+    found = texts.select("h", F.get(F.split("text", "\n"), F.col("line")).alias("text")).dropDuplicates(["h"]).mapInArrow(_shingle_sets, "h long, shingles array<long>")
+    sets = cut(found)
+    of = sets.select("h", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("h").alias("h"), F.max("h").alias("hi")).where("h = hi")
+    own = of.groupBy("h").agg(F.count("*").alias("own"))
+    return cut(sets.join(own, "h", "left").select("h", "shingles", F.size("shingles").alias("size"), (F.size("shingles") - F.coalesce("own", F.lit(0))).cast("int").alias("shared")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a and b of the pairs (a, b) that are similar."""
+    x, y = sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("h").alias("b"), F.col("shingles").alias("y"))
+    same = F.size(F.array_intersect("x", "y"))
+    return pairs.distinct().join(x, "a").join(y, "b").where(same >= SIMILAR * (F.size("x") + F.size("y") - same)).select("a", "b")
+
+
+def _open(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components yet, with their root."""
+    roots = components(edges).withColumnRenamed("node", "h")
+    placed = members.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
+    return cut(placed.join(several, "bucket", "left_semi"))
+
+
 def similar_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """(h, root) of the paragraph classes that are similar to others; root is the least of the component."""
-    classes = paragraphs.groupBy("h").agg(F.min(F.struct("rk", "start")).alias("at"), F.first("bands").alias("bands"))
+    """(h, root) of the paragraph classes that are similar to others; root is the least of the component.
+
+    Only shingles that another paragraph has can be shared, so a paragraph with s such of n has similarity s / n at most, and with one of m shingles
+    s / (n + m - s). In STARS rounds the members of each bucket are verified against one of them, that with the largest s / n of a component not served yet:
+    the text that others are copies of. Where a bucket then holds several components, each member outside the main one is verified against all
+    whose size the bound admits, so no pair at SIMILAR that meets in a bucket is missed; and copies with edits of their own, of which there
+    may be thousands in a bucket, are admitted to few.
+    """
+    classes = paragraphs.groupBy("h").agg(F.min(F.struct("rk", "line")).alias("at"), F.first("bands").alias("bands"))
     entered = cut(classes.select("h", "at", F.explode("bands").alias("bucket")))
-    shared = entered.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = cut(entered.join(shared, "bucket"))
-    places = cut(members.select("h", F.col("at.rk").alias("rk"), F.col("at.start").alias("start")).distinct())
-    wanted = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-    texts = docs.select(row_key(docs.doc_id, docs.text).alias("rk"), docs.text.alias("text")).join(wanted, "rk").select("h", "start", "text")
-    sets = cut(texts.mapInArrow(_shingle_sets, "h long, shingles array<long>").groupBy("h").agg(F.first("shingles").alias("shingles")))
-    members = cut(members.select("bucket", "h"))
+    often = entered.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    met = cut(entered.join(often, "bucket", "left_semi"))
+    sets = _sets(docs, met)
+    bound = F.col("shared") / F.col("size")
+    members = cut(met.select("bucket", "h").join(sets.select("h", "size", "shared"), "h").where(bound >= SIMILAR).withColumn("bound", bound))
 
     edges = members.sparkSession.createDataFrame([], "a long, b long")
-    done = members.sparkSession.createDataFrame([], "bucket long, h long")
-    roots = members.select("h", F.col("h").alias("root")).distinct()
-    while True:
-        placed = members.join(roots, "h")
-        bucket = W.partitionBy("bucket")
-        spread = placed.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo != hi")
-        open_ = cut(spread.select("bucket", "h", "root", (F.col("root") == F.col("lo")).alias("main")))
-        fresh = open_.join(done, ["bucket", "h"], "left_anti")
-        pivots = cut(fresh.withColumn("nth", F.row_number().over(bucket.orderBy("main", "h"))).where(F.col("nth") <= PIVOTS).select("bucket", F.col("h").alias("pivot"), F.col("root").alias("proot")))
-        if pivots.isEmpty():
-            break
-        pairs = open_.join(pivots, "bucket").where("root != proot").select(F.least("h", "pivot").alias("a"), F.greatest("h", "pivot").alias("b")).distinct()
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        same = F.size(F.array_intersect("x", "y"))
-        edges = cut(edges.union(both.where(same >= SIMILAR * (F.size("x") + F.size("y") - same)).select("a", "b")))
-        done = cut(done.union(pivots.select("bucket", "pivot")))
-        roots = cut(members.select("h").distinct().join(components(edges).withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("root")))
-    return roots
+    open_ = members.withColumn("root", F.col("h"))
+    served = members.sparkSession.createDataFrame([], "bucket long, root long")
+    for _ in range(STARS):
+        fresh = open_.join(served, ["bucket", "root"], "left_anti")
+        hubs = cut(fresh.groupBy("bucket").agg(F.max_by(F.struct("h", "root"), F.struct("bound", "h")).alias("hub")).select("bucket", "hub.*").toDF("bucket", "hub", "hub_root"))
+        pairs = open_.join(hubs, "bucket").where("root != hub_root").select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b"))
+        edges = cut(edges.union(_verified(pairs, sets)))
+        served = cut(served.union(hubs.select("bucket", "hub_root")))
+        open_ = _open(members, edges)
+    # the main component of a bucket is the one with most members
+    most = open_.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    outside = open_.join(most, "bucket").where("root != main").select("bucket", F.col("h").alias("x"), F.col("root").alias("x_root"), "size", "shared")
+    top = (1 + 1 / SIMILAR) * F.col("shared") - F.col("size")  # of m in shared / (size + m - shared) >= SIMILAR
+    low, high = F.ceil(SIMILAR * F.col("size")).cast("int"), F.floor(F.least(top, F.col("size") / SIMILAR)).cast("int")
+    asked = outside.where(low <= high).select("bucket", "x", "x_root", F.explode(F.sequence(low, high)).alias("size"))
+    rest = asked.join(open_, ["bucket", "size"]).where("root != x_root").select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b"))
+    edges = cut(edges.union(_verified(rest, sets)))
+    return components(edges).withColumnRenamed("node", "h")
 
 
 def _near(docs: DataFrame, all_units: DataFrame) -> DataFrame:

@@ -188,6 +188,7 @@ def test_stream_equals_batch_over_several_micro_batches(spark, tmp_path, tuning)
     batch = {r.id: r.cluster_id for r in cluster(frame(spark, rows), tuning).collect()}
     assert {r.id: r.cluster_id for r in engine.state().collect()} == batch
     assert engine.stats().first().posts == 90 and engine.view().count() == 90
+    assert len(engine.published().first().duplicate_ids) == engine.stats().first().collapsed
     engine.set_threshold(0.99)
     engine.forget_all()
     assert engine.state().count() == 0

@@ -122,6 +122,29 @@ def test_carrying_equals_a_walk(spark):
         assert [x.hide for x in timeline.propagated(df, untyped_carry=carry).orderBy("timeline_id", "pos").collect()] == expected
 
 
+def test_labellers_and_locales(spark, tmp_path):
+    from tidewell.functions import labels
+    from tidewell.operators.chunks import random_pick, top
+    from tidewell.sources import locales
+    from tidewell.streaming.engine import observed
+
+    labels.LABELLERS["echo"] = lambda texts: '{"0": {"story": "s", "label": "' + texts[0] + '"}}' if texts[0] != "bad" else 1 / 0
+    asked = labels.ask(spark.createDataFrame([(1, ["a", "b"]), (2, ["bad"])], "batch long, texts array<string>"), "echo")
+    assert [tuple(r) for r in labels.salvage(asked).collect()] == [(1, 0, "s", "a")] and asked.where("reply is null").count() == 1
+    for lang, text in (("en", '{"a": {"message": "A"}, "b": {"message": "B"}}'), ("de", '{"a": {"message": "Ä"}, "b": {"message": ""}}')):
+        (tmp_path / lang).mkdir()
+        (tmp_path / lang / "messages.json").write_text(text)
+    rows = locales.read_locales(spark, str(tmp_path / "*/messages.json"))
+    assert {(r.lang, r.key): r.message for r in locales.with_fallback(rows).collect()} == {("en", "a"): "A", ("en", "b"): "B", ("de", "a"): "Ä", ("de", "b"): "B"}
+    assert locales.catalogue(rows).where("lang = 'en'").first().messages == {"a": "A", "b": "B"}
+    df = spark.range(50)
+    assert [r.id for r in top(df, "id", 2).collect()] == [49, 48]
+    assert random_pick(df, "id", 5).collect() == random_pick(df.repartition(3), "id", 5).collect()
+    counted, seen = observed(spark.createDataFrame([([1.0],), (None,)], "vec array<double>"))
+    counted.collect()
+    assert seen.get == {"posts": 2, "embedded": 1, "failed": 1}
+
+
 def test_config_and_precedence(spark):
     config = timeline.FilterConfig().merged({"retweets": "hide", "nonsense": 1})
     assert config.retweets == "hide"

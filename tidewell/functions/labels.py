@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,3 +45,25 @@ def salvage(replies: DataFrame) -> DataFrame:
     told = entries.select("batch", F.regexp_replace("key", r"\D", "").try_cast("int").alias("n"), "size", F.trim(story).alias("story"), one_line(nested["label"]).alias("label"))
     return told.where("n < size and story != ''").drop("size")
 
+
+
+Labeller = Callable[[list[str]], str]
+#: Labellers by name: each takes the texts of a batch and answers in prose that holds JSON.
+LABELLERS: dict[str, Labeller] = {}
+
+
+def ask(batches: DataFrame, name: str) -> DataFrame:
+    """batch, size and reply of batches (batch, texts: array); a labeller that fails leaves its batch without a reply, to be asked again."""
+    labeller = LABELLERS[name]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in frames:
+            rows = []
+            for batch, texts in zip(b.batch, b.texts, strict=True):
+                try:
+                    rows.append((batch, len(texts), labeller(list(texts))))
+                except Exception:
+                    rows.append((batch, len(texts), None))
+            yield pd.DataFrame(rows, columns=["batch", "size", "reply"])
+
+    return batches.select("batch", "texts").mapInPandas(run, "batch long, size int, reply string")

@@ -68,3 +68,13 @@ def chunked(posts: DataFrame, size: int = 220, text_limit: int = 400) -> DataFra
     keyed = posts.withColumn("grp", group_key("trend", "source"))
     groups = keyed.groupBy("grp").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     return keyed.join(chunk_of_groups(groups, size), "grp").select("chunk", "id", "author", F.left("text", F.lit(text_limit)).alias("text"), "trend")
+
+
+def top(rows: DataFrame, by: str, n: int, *tie: str) -> DataFrame:
+    """The n rows with the largest `by`, ties by the columns after it: the best models, the biggest stories."""
+    return rows.orderBy(F.desc(by), *tie).limit(n)
+
+
+def random_pick(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows in an order that seed shuffles, the same on every run."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)

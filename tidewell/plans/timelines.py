@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import pages
 from ..operators import timeline as T
 from ..schemas import table
 from .registry import query
@@ -229,3 +230,28 @@ def prompts_and_headings(spark, sf_dir):
 def masked_metrics(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("likes"), F.col("value").alias("reposts"))
     return rows.select("event_id", *T.masked_metrics(T.FilterConfig(hidden_metrics=("likes",)), "likes", "reposts"))
+
+
+def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as pages: bits of the texts' hashes say what markup shows."""
+    bit = lambda k, n, of=1: (F.pmod(F.xxhash64("text", F.lit(k)), F.lit(n)) < of)
+    made = {
+        "timeline_id": F.col("conv_id"), "pos": F.col("turn").cast("int"), "is_post": F.col("role") != "system", "is_focused": (F.col("turn") == 2), "is_reply": F.col("role") == "assistant",
+        "promoted": bit(1, 12), "social_context": bit(2, 4), "has_article": bit(3, 8), "has_quote": bit(4, 5), "grok": bit(5, 15), "verified": F.when(bit(6, 3), "BLUE"),
+        "screen_name": F.concat(F.lit("u"), (F.length("text") % 20).cast("string")), "heading": F.col("role") == "system", "heading_described": bit(7, 6), "cur_hidden": bit(8, 3),
+    }
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select(*[made.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in (f.split() for f in pages.FEATURES.split(", "))])
+
+
+@query()
+def thread_page(spark, sf_dir):
+    """All rules of a post's page; tests hold them against a walk in order."""
+    users = spark.range(20).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("screen_name"), (F.col("id") % 3 == 0).alias("following"), F.lit(False).alias("followed_by"), F.col("id").alias("followers_count"))
+    done = pages.thread(page_items(spark, sf_dir), users, T.FilterConfig(hide_premium_replies=True), "u1", "u2")
+    return _named(done, "kind", "hide", "changed")
+
+
+@query()
+def home_page(spark, sf_dir):
+    return _named(pages.main_timeline(page_items(spark, sf_dir), CONFIG, "home"), "kind", "hide", "changed")

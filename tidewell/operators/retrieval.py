@@ -6,23 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import cut
+
 #: Stories for each post, shown of these, and of the biggest.
 PER_POST, SHOWN, BIGGEST = 8, 400, 60
 FEATURES = 200_000
 
 
-def char_ngrams(df: DataFrame, text: str, low: int = 3, high: int = 5) -> DataFrame:
+def char_ngrams(df: DataFrame, text: str, low: int = 3, high: int = 5, known: DataFrame | None = None) -> DataFrame:
     """df without text, with gram and tf: the n-grams of its lower-cased words, each word with a space at both ends, and how often they come.
 
-    A padded word shorter than n counts once, whole, and gives no longer ones.
+    A padded word shorter than n counts once, whole, and gives no longer ones. Equal words of a row are taken apart once. known: only its grams.
     """
-    word = df.withColumn("__w", F.explode(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))).withColumn("__w", F.concat(F.lit(" "), "__w", F.lit(" ")))
+    rest = [c for c in df.columns if c != text]
+    words = df.withColumn("__w", F.explode(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))).groupBy(*rest, "__w").agg(F.count("*").alias("__n"))
+    words = words.withColumn("__w", F.concat(F.lit(" "), "__w", F.lit(" ")))
     parts = []
     for n in range(low, high + 1):
         whole = (F.length("__w") <= n) if n == low else F.lit(False)
         parts.append(F.when(whole, F.array("__w")).when(F.length("__w") >= n, _slid(n)).otherwise(F.array().cast("array<string>")))
-    rest = [c for c in df.columns if c != text]
-    return word.select(*rest, F.explode(F.concat(*parts)).alias("gram")).groupBy(*rest, "gram").agg(F.count("*").alias("tf"))
+    grams = words.select(*rest, "__n", F.explode(F.concat(*parts)).alias("gram"))
+    grams = grams if known is None else grams.join(known.select("gram"), "gram", "left_semi")
+    return grams.groupBy(*rest, "gram").agg(F.sum("__n").alias("tf"))
 
 
 def _slid(n: int):
@@ -44,8 +49,8 @@ def fit(stories: DataFrame, features: int = FEATURES) -> DataFrame:
 
 def nearest(posts: DataFrame, stories: DataFrame, k: int = PER_POST) -> DataFrame:
     """post, story, sim and rank (from 1): the k stories (story, text) most similar to each of posts (post, text), of those that share a gram."""
-    idf = fit(stories)
-    a = weighted(char_ngrams(posts.select("post", "text"), "text"), idf, "post")
+    idf = cut(fit(stories))
+    a = weighted(char_ngrams(posts.select("post", "text"), "text", known=idf), idf, "post")
     b = weighted(char_ngrams(stories.select("story", "text"), "text"), idf, "story").withColumnRenamed("w", "v")
     sims = a.join(b, "gram").groupBy("post", "story").agg(F.sum(F.col("w") * F.col("v")).alias("sim")).where("sim > 0")
     ranked = sims.withColumn("rank", F.row_number().over(W.partitionBy("post").orderBy(F.desc(F.round("sim", 9)), "story")))

@@ -123,11 +123,11 @@ def chunk_pack(spark, sf_dir):
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     stories = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("story"), "text")
-    return retrieval.nearest(docs(spark, sf_dir).select(F.col("doc_id").alias("post"), F.left("text", F.lit(260)).alias("text")), stories)
+    return retrieval.nearest(docs(spark, sf_dir).select(F.col("doc_id").alias("post"), "text"), stories)
 
 
 _NEAR = r"""
-WITH w AS (SELECT 'p' AS t, doc_id AS id, unnest(string_split_regex(lower(left(text, 260)), '\s+')) AS w FROM documents UNION ALL SELECT 's', item_id, unnest(string_split_regex(lower(text), '\s+')) FROM benchmark),
+WITH w AS (SELECT 'p' AS t, doc_id AS id, unnest(string_split_regex(lower(text), '\s+')) AS w FROM documents UNION ALL SELECT 's', item_id, unnest(string_split_regex(lower(text), '\s+')) FROM benchmark),
 pad AS (SELECT t, id, ' ' || w || ' ' AS w FROM w WHERE w <> ''),
 gr AS (
   SELECT t, id, w AS gram FROM pad WHERE length(w) <= 3
@@ -142,7 +142,7 @@ near AS MATERIALIZED (SELECT * FROM (SELECT post, story, sim, row_number() OVER
 
 @query(_NEAR + " SELECT post AS doc_id, story AS item_id, round(sim, 6) AS sim, rank::INT AS rank FROM near")
 def retrieve_topk(spark, sf_dir):
-    """The eight benchmark items nearest to each document's beginning, by character n-grams."""
+    """The eight benchmark items nearest to each document, by character n-grams."""
     return _near(spark, sf_dir).select(F.col("post").alias("doc_id"), F.col("story").alias("item_id"), F.round("sim", 6).alias("sim"), "rank")
 
 
@@ -197,7 +197,7 @@ def label_salvage(spark, sf_dir):
 @query("""SELECT count(*) AS n, count(*) FILTER (WHERE length(text) > 0) AS with_vector, count(DISTINCT text) AS texts FROM documents""")
 def embed_texts(spark, sf_dir):
     """Every text that isn't blank gets a vector, and equal texts the same."""
-    e = embedded(posts(spark, sf_dir).withColumn("text", F.left("text", F.lit(2000))), lexical())
+    e = embedded(posts(spark, sf_dir), lexical())
     p = posts(spark, sf_dir)
     return e.agg(F.count("*").alias("n"), F.count("vec").alias("with_vector")).crossJoin(p.agg(F.countDistinct("text").alias("texts")))
 

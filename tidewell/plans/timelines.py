@@ -156,14 +156,15 @@ def notification_types(spark, sf_dir):
     return e.select("event_id", "n.kind", "n.hide")
 
 
-@query(f"""WITH {_TYPES}, h AS (SELECT event_id, kind, user_id, k, CASE WHEN kind IN ('TWEET', 'COMMUNITY_TWEET', 'QUOTE_TWEET') THEN sep ELSE TRUE END AS hide FROM t WHERE kind IN ('TWEET', 'COMMUNITY_TWEET', 'QUOTE_TWEET')),
+@query(f"""WITH {_TYPES}, h AS (SELECT event_id, kind, user_id, k, CASE WHEN kind IN ('TWEET', 'COMMUNITY_TWEET', 'QUOTE_TWEET') THEN sep
+       WHEN kind = 'RETWEET' THEN CASE WHEN tab >= 2 THEN FALSE ELSE NOT sep END WHEN kind = 'RETWEETED_QUOTE_TWEET' THEN tab < 2 WHEN kind = 'UNAVAILABLE_RETWEET' THEN FALSE ELSE TRUE END AS hide FROM t),
 q AS (SELECT *, CASE WHEN NOT hide AND kind = 'QUOTE_TWEET' THEN user_id IN (5, 7) ELSE hide END AS h1 FROM h),
 g AS (SELECT *, h1 OR user_id % 10 = 3 AS h2 FROM q)
-SELECT event_id, CASE WHEN NOT h2 AND kind = 'QUOTE_TWEET' THEN user_id = 9 AND k % 2 = 0 ELSE h2 END AS hide FROM g""")
+SELECT event_id, CASE WHEN NOT h2 AND kind IN ('QUOTE_TWEET', 'RETWEETED_QUOTE_TWEET') THEN user_id = 9 AND k % 2 = 0 ELSE h2 END AS hide FROM g""")
 def muted_quotes(spark, sf_dir):
     """Users whose quotes are hidden, links to shared chats, and quotes that are muted."""
     config = T.FilterConfig(hide_quotes_from=("u5", "u7"), muted_quotes=(("u9", "0"),))
-    rows = _typed(spark, sf_dir).where(F.col("kind").isin("TWEET", "COMMUNITY_TWEET", "QUOTE_TWEET"))
+    rows = _typed(spark, sf_dir)
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     hide = T.overridden(T.home_policy("kind", config, "sep", "tab"), "kind", config, F.col("user_id") % 10 == 3, user, user, (F.col("k") % 2).cast("string"), home=True)
     return rows.select("event_id", hide.alias("hide"))

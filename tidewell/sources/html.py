@@ -77,6 +77,7 @@ def parse(html: str | None) -> Node:
     return tree.root
 
 
+# Links to posts, keys of images, and the application's own hosts.
 _STATUS = re.compile(r"/([^/]+)/status/(\d+)")
 _MEDIA = re.compile(r"/media/([A-Za-z0-9_-]+)")
 _OWN = re.compile(r"^https?://(x|twitter)\.com")
@@ -147,6 +148,7 @@ def quoted_text(html: str) -> str:
 
 def trend_of(cell: str | Column) -> Column:
     """The name in the text of a trend's cell; null for an advertisement or if no line is one."""
+    # fixed values: what lines of a cell that are no name look like
     lines = F.filter(F.transform(F.split(cell, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     is_ad = F.exists(lines, lambda x: F.regexp_like(x, F.lit("(?i)Promoted by")))
 

@@ -28,7 +28,7 @@ BROADCAST_ROWS = 400_000
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "mg", "g", "kg", "lb", "oz", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "meters", "metres", "miles", "feet", "inches", "grams", "pounds", "dollars", "euros", "cents", "percent", "degrees")
 
 _NUMBER, _NAME, _QUANTITY = "\ue000", "\ue001", "\ue002"
-_NAME_RE = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+"
+_NAME_RE = r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})\p{Ll}+"  # the capital first, since most places lack one
 _NUMBER_RE = r"\p{N}+(?:[.,]\p{N}+)*"
 _QUANTITY_RE = rf"{_NUMBER_RE} ?(?:{'|'.join(sorted(UNITS, key=len, reverse=True))}|%)(?![\p{{L}}\p{{N}}])"
 
@@ -47,8 +47,7 @@ def _steps(plain: Column) -> tuple[Column, Column, Column]:
 
 def template(text: Column) -> Column:
     """The template words of a text, an array; empty for null and for texts without letters or digits."""
-    words = F.btrim(F.regexp_replace(_steps(_plain(text))[2], r"[^\p{L}\p{M}\ue000-\ue002]+", " "))
-    return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(words, " "))
+    return F.regexp_extract_all(_steps(_plain(text))[2], F.lit(r"[\p{L}\p{M}\ue000-\ue002]+"), F.lit(0))
 
 
 def slots(text: Column) -> Column:

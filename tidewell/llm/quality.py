@@ -97,7 +97,7 @@ RULES = (
 class Risk:
     """At most `share` of a stratum's good documents are rejected by the cutoffs, with confidence 1 - `delta` for all strata together."""
 
-    share: float = 0.01
+    share: float = 0.02
     delta: float = 0.05
     strata: tuple[str, ...] = ("de", "en", "es", "fr")
     min_words: int = 50

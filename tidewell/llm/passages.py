@@ -31,10 +31,10 @@ BANDS, ROWS = 16, 4
 BLOCK, STEP = 26, 24
 #: Paragraphs with fewer words aren't compared.
 MIN_WORDS = 26
-#: Rounds in which a bucket's members are verified against one of them.
-STARS = 3
+#: Up to so many paragraphs' places (20 bytes each) are broadcast to the scan that fetches their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
-_CACHED = 500_000
+#: Words whose hashes a worker keeps.
+_CACHED = 100_000
 _P = 0x9E3779B97F4A7C15
 _SCHEMA = "doc_id long, rk long, start int, n int, h long, line int, bands array<long>"
 _U = np.uint64
@@ -126,8 +126,8 @@ class Words:
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for i in range(0, whole.num_rows, 1000):
-            b = whole.slice(i, 1000)
+        for i in range(0, whole.num_rows, 400):
+            b = whole.slice(i, 400)
             w = Words(b.column("text").to_pylist())
             at = w.blocks()
             text, start, stop = (np.concatenate(x) for x in zip((w.text[at], at, at + BLOCK), w.lines.T, strict=True))
@@ -164,11 +164,11 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return cut(sets.join(own, "h", "left").select("h", "shingles", F.size("shingles").alias("size"), (F.size("shingles") - F.coalesce("own", F.lit(0))).cast("int").alias("shared")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a and b of the pairs (a, b) that are similar."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, same (common shingles) and similar of the pairs (a, b)."""
     x, y = sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("h").alias("b"), F.col("shingles").alias("y"))
-    same = F.size(F.array_intersect("x", "y"))
-    return pairs.distinct().join(x, "a").join(y, "b").where(same >= SIMILAR * (F.size("x") + F.size("y") - same)).select("a", "b")
+    counted = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("both"))
+    return counted.select("a", "b", "same", (F.col("same") >= SIMILAR * (F.col("both") - F.col("same"))).alias("similar"))
 
 
 def _open(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -183,37 +183,41 @@ def similar_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(h, root) of the paragraph classes that are similar to others; root is the least of the component.
 
     Only shingles that another paragraph has can be shared, so a paragraph with s such of n has similarity s / n at most, and with one of m shingles
-    s / (n + m - s). In STARS rounds the members of each bucket are verified against one of them, that with the largest s / n of a component not served yet:
-    the text that others are copies of. Where a bucket then holds several components, each member outside the main one is verified against all
-    whose size the bound admits, so no pair at SIMILAR that meets in a bucket is missed; and copies with edits of their own, of which there
-    may be thousands in a bucket, are admitted to few.
+    s / (n + m - s). First the members of each bucket are verified against one of them, that which meets most others in all its buckets: the
+    text that they are copies of. Where a bucket then holds several components, each member outside the main one is verified against all
+    that the bounds admit, by size and by what each has in common with the hub, so no pair at SIMILAR that meets in a bucket is missed; and
+    copies with edits of their own, of which there may be thousands in a bucket, are admitted to few.
     """
     classes = paragraphs.groupBy("h").agg(F.min(F.struct("rk", "line")).alias("at"), F.first("bands").alias("bands"))
     entered = cut(classes.select("h", "at", F.explode("bands").alias("bucket")))
     often = entered.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     met = cut(entered.join(often, "bucket", "left_semi"))
     sets = _sets(docs, met)
-    bound = F.col("shared") / F.col("size")
-    members = cut(met.select("bucket", "h").join(sets.select("h", "size", "shared"), "h").where(bound >= SIMILAR).withColumn("bound", bound))
-
-    edges = members.sparkSession.createDataFrame([], "a long, b long")
-    open_ = members.withColumn("root", F.col("h"))
-    served = members.sparkSession.createDataFrame([], "bucket long, root long")
-    for _ in range(STARS):
-        fresh = open_.join(served, ["bucket", "root"], "left_anti")
-        hubs = cut(fresh.groupBy("bucket").agg(F.max_by(F.struct("h", "root"), F.struct("bound", "h")).alias("hub")).select("bucket", "hub.*").toDF("bucket", "hub", "hub_root"))
-        pairs = open_.join(hubs, "bucket").where("root != hub_root").select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b"))
-        edges = cut(edges.union(_verified(pairs, sets)))
-        served = cut(served.union(hubs.select("bucket", "hub_root")))
-        open_ = _open(members, edges)
+    able = cut(met.select("bucket", "h").join(sets.where(F.col("shared") >= SIMILAR * F.col("size")).select("h", "size", "shared"), "h"))
+    crowd = able.join(able.groupBy("bucket").agg(F.count("*").alias("n")), "bucket").groupBy("h").agg(F.sum("n").alias("meets"))
+    members = cut(able.join(crowd, "h"))
+
+    hubs = members.groupBy("bucket").agg(F.max_by("h", F.struct("meets", "h")).alias("hub"))
+    pair = (F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b"))
+    stars = cut(_measured(members.join(hubs, "bucket").where("h != hub").select(*pair), sets))
+    edges = stars.where("similar").select("a", "b")
+    open_ = _open(members, edges)
     # the main component of a bucket is the one with most members
     most = open_.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    outside = open_.join(most, "bucket").where("root != main").select("bucket", F.col("h").alias("x"), F.col("root").alias("x_root"), "size", "shared")
-    top = (1 + 1 / SIMILAR) * F.col("shared") - F.col("size")  # of m in shared / (size + m - shared) >= SIMILAR
-    low, high = F.ceil(SIMILAR * F.col("size")).cast("int"), F.floor(F.least(top, F.col("size") / SIMILAR)).cast("int")
-    asked = outside.where(low <= high).select("bucket", "x", "x_root", F.explode(F.sequence(low, high)).alias("size"))
-    rest = asked.join(open_, ["bucket", "size"]).where("root != x_root").select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b"))
-    edges = cut(edges.union(_verified(rest, sets)))
+    # what x and y have in common is in the hub, or in what others than the hub share with either
+    hubbed = open_.join(hubs, "bucket").select("*", *pair).join(stars.select("a", "b", "same"), ["a", "b"], "left").withColumn("hub_same", F.coalesce("same", "size")).drop("a", "b", "same", "hub", "meets")
+    held = cut(hubbed.join(classes.select("h", "bands"), "h").withColumn("nth", F.array_position("bands", F.col("bucket"))))
+    outside = held.join(most, "bucket").where("root != main").select("bucket", "main", *[F.col(c).alias(f"x_{c}") for c in ("h", "root", "size", "shared", "hub_same", "bands")])
+    top = (1 + 1 / SIMILAR) * F.col("x_shared") - F.col("x_size")  # of m in shared / (size + m - shared) >= SIMILAR
+    low, high = F.ceil(SIMILAR * F.col("x_size")).cast("int"), F.floor(F.least(top, F.col("x_size") / SIMILAR)).cast("int")
+    asked = outside.where(low <= high).withColumn("size", F.explode(F.sequence(low, high)))
+    common = F.least("hub_same", "x_hub_same") + F.least(F.col("shared") - F.col("hub_same"), F.col("x_shared") - F.col("x_hub_same"))
+    possible = (1 + SIMILAR) * common >= SIMILAR * (F.col("size") + F.col("x_size"))
+    before = F.col("nth").cast("int") - 1  # a pair is made in the first bucket that both are in
+    first = ~F.arrays_overlap(F.slice("bands", F.lit(1), before), F.slice("x_bands", F.lit(1), before))
+    met_again = asked.join(held, ["bucket", "size"]).where((F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("main")) | (F.col("h") > F.col("x_h"))) & possible & first)
+    rest = _measured(met_again.select(F.least("x_h", "h").alias("a"), F.greatest("x_h", "h").alias("b")), sets)
+    edges = cut(edges.union(rest.where("similar").select("a", "b")))
     return components(edges).withColumnRenamed("node", "h")
 
 
@@ -230,7 +234,7 @@ def _verbatim(all_units: DataFrame) -> DataFrame:
     """The spans of blocks that several documents have; a component is a span of the document that has it first."""
     blocks = all_units.where("bands is null").select("doc_id", "rk", "start", "h")
     classes = blocks.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.min("rk").alias("lo"), F.max("rk").alias("hi")).where("lo != hi").drop("lo", "hi")
-    marked = blocks.join(classes, "h").withColumn("later", ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
+    marked = blocks.join(cut(classes), "h").withColumn("later", ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
     order = W.partitionBy("rk", "doc_id", "later").orderBy("start")
     opened = marked.withColumn("opens", F.coalesce(F.col("start") > F.lag("start").over(order) + BLOCK, F.lit(True)))
     spans = cut(opened.withColumn("island", F.sum(F.col("opens").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))))

@@ -26,6 +26,8 @@ SHINGLE = 3
 MAX_BITS = 2
 #: A grid point with more fingerprints than this is crowded.
 CROWD = 64
+#: Up to so many keys of rows (8 bytes each) are broadcast to drop them; with more, the rows that stay are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 _BLOCK = 1 << 15
 
 
@@ -121,8 +123,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = firsts.join(groups(prints), "fp").groupBy("root").agg(F.min("row").alias("row"))
     kept = cut(kept.select(F.col("row.rk").alias("__tw_rk"), F.col("row.copies").alias("__tw_copies")))
     keyed = docs.withColumn("__tw_rk", row_key(docs.doc_id, docs.text))
-    first = keyed.join(kept.where("__tw_copies = 1"), "__tw_rk", "left_semi").drop("__tw_rk")
-    if kept.where("__tw_copies > 1").isEmpty():
-        return first
-    again = keyed.join(kept.where("__tw_copies > 1"), "__tw_rk", "left_semi").dropDuplicates(["__tw_rk"]).drop("__tw_rk")
-    return first.unionByName(again)
+    several = kept.where("__tw_copies > 1").select("__tw_rk")
+    # where few rows go they are broadcast and no text is shuffled
+    others = cut(rows.select(F.col("rk").alias("__tw_rk")).distinct().join(kept.where("__tw_copies = 1"), "__tw_rk", "left_anti").select("__tw_rk"))
+    few = others.count() <= BROADCAST_ROWS
+    once = keyed.join(F.broadcast(others), "__tw_rk", "left_anti") if few else keyed.join(kept.where("__tw_copies = 1"), "__tw_rk", "left_semi")
+    if several.isEmpty():
+        return once.drop("__tw_rk")
+    return once.unionByName(keyed.join(several, "__tw_rk", "left_semi").dropDuplicates(["__tw_rk"])).drop("__tw_rk")

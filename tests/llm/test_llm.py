@@ -370,6 +370,19 @@ def test_simhash(spark, docs, real, odd, empty):
     assert simhash.keep_one(odd).columns == odd.columns and kept.count(7) == 1 and kept.count(1) == 1 and 2 not in kept
 
 
+@pytest.mark.parametrize("module", [simhash, decontaminate, line_dedup, passages])
+def test_sides_too_large_to_broadcast(spark, monkeypatch, docs, odd, module):
+    results = {
+        simhash: lambda: sorted(r.doc_id or 0 for r in simhash.keep_one(docs.unionByName(odd.select(docs.columns))).collect()),
+        decontaminate: lambda: sorted(r.doc_id for r in decontaminate.remove_contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()),
+        line_dedup: lambda: sorted((r.doc_id, r.text) for r in line_dedup.dedup(docs).collect()),
+        passages: lambda: sorted(map(str, passages.repeats(docs).collect())),
+    }
+    broadcast = results[module]()
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    assert results[module]() == broadcast
+
+
 @pytest.mark.parametrize("crowd", [64, 2])
 def test_links_with_and_without_crowds(spark, monkeypatch, crowd):
     monkeypatch.setattr(simhash, "CROWD", crowd)

@@ -238,7 +238,8 @@ def _verbatim(all_units: DataFrame) -> DataFrame:
     order = W.partitionBy("rk", "doc_id", "later").orderBy("start")
     opened = marked.withColumn("opens", F.coalesce(F.col("start") > F.lag("start").over(order) + BLOCK, F.lit(True)))
     spans = cut(opened.withColumn("island", F.sum(F.col("opens").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))))
-    firsts = spans.where("not later").groupBy("h").agg(F.min(F.xxhash64("rk", "island")).alias("component"))
+    # cut, so that the join isn't bound to the aggregate's partitions and a very common passage's rows can be split
+    firsts = cut(spans.where("not later").groupBy("h").agg(F.min(F.xxhash64("rk", "island")).alias("component")))
     named = spans.join(firsts, "h", "left")
     island = named.groupBy("rk", "doc_id", "later", "island").agg(F.min("start").alias("start_word"), (F.max("start") + BLOCK).alias("end_word"), F.min("component").alias("component"), F.min("first_doc_id").alias("first_doc_id"))
     return island.select("doc_id", F.lit("passage").alias("kind"), "start_word", "end_word", "component", "first_doc_id")

@@ -85,9 +85,8 @@ def thread(items: DataFrame, users: DataFrame, config: T.FilterConfig, op: str,
         near = near | F.coalesce(F.lag("__plain", k).over(order), F.lit(False))
     more = ~post & ~article & ~shown & _yes("more_link") & near
     described = F.col("__head") & _yes("heading_described") & ~F.col("__more")
-    rows = rows.withColumn("__more", more).withColumn("__gone", T.sticky(rows, F.lit(False)) if not config.hide_more else F.lit(None).cast("boolean"))
-    if config.hide_more:
-        rows = rows.withColumn("__gone", T.sticky(rows, described))
+    rows = rows.withColumn("__more", more)
+    rows = rows.withColumn("__gone", T.sticky(rows, described) if config.hide_more else F.lit(False))
     gone = F.col("__gone")
     kind = (
         F.when(gone, "DISCOVER_MORE_TWEET").when(focused, "FOCUSED_TWEET").when(post, T.tweet_type()).when(article, unknown["kind"]).when(shown, "SHOW_MORE").when(F.col("__more"), "SEE_MORE")

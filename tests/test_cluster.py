@@ -192,3 +192,17 @@ def test_stream_equals_batch_over_several_micro_batches(spark, tmp_path, tuning)
     engine.set_threshold(0.99)
     engine.forget_all()
     assert engine.state().count() == 0
+
+
+def test_stream_of_files_resumes_where_it_stopped(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(60, 4))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [(i, i, v.tolist(), 0) for i, v in enumerate(vectors)]
+    engine = Engine(spark, str(tmp_path / "state"), Tuning(0.8))
+    for n in range(3):
+        frame(spark, rows[20 * n : 20 * n + 20]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(POSTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        assert engine.start(stream, str(tmp_path / "checkpoint")).awaitTermination(120)
+    batch = {r.id: r.cluster_id for r in cluster(frame(spark, rows), Tuning(0.8)).collect()}
+    assert {r.id: r.cluster_id for r in engine.state().collect()} == batch

@@ -3,7 +3,8 @@ import os
 import pytest
 from pyspark.sql import SparkSession
 
-os.environ.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+# for the Python workers, wherever the tests are started from
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH"))))
 SF = "/root/testdata/sf0.001"
 
 

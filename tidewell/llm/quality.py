@@ -4,8 +4,8 @@ Five metrics of a text are counted in one pass. Two fixed rules reject a documen
 rule compares one ratio with a cutoff of a fixed grid. For every stratum, rule and cutoff, all labelled
 documents of the stratum say how many good ones the cutoff would reject. A cutoff is admissible if the
 exact binomial bound on that share, at a confidence corrected for all tests made (Bonferroni), stays
-below the rule's part of the risk. Of the admissible ones, the cutoff that rejects the most bad documents
-is taken; a stratum with too few labels gets no cutoff and keeps all that the fixed rules keep.
+below the rule's part of the risk. Of the admissible ones, that is taken which rejects the most bad documents
+that the rules before it don't, each good one set against `worth` of them; a stratum with too few labels gets no cutoff and keeps all that the fixed rules keep.
 """
 
 from __future__ import annotations
@@ -95,13 +95,17 @@ RULES = (
 
 @dataclass(frozen=True)
 class Risk:
-    """At most `share` of a stratum's good documents are rejected by the cutoffs, with confidence 1 - `delta` for all strata together."""
+    """At most `share` of a stratum's good documents are rejected by the cutoffs, with confidence 1 - `delta` for all strata together.
+
+    worth: how many bad documents a cutoff must reject for each good one.
+    """
 
     share: float = 0.02
     delta: float = 0.05
     strata: tuple[str, ...] = ("de", "en", "es", "fr")
     min_words: int = 50
     max_repeat_percent: int = 50
+    worth: int = 20
 
 
 def binomial_at_most(k: int, n: int, p: float) -> float:
@@ -129,17 +133,21 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, risk: Risk = Risk(),
     Only counts come to the driver: a row for each of the risk's strata.
     """
     truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    tests = [(r, c) for r in rules for c in r.cutoffs]
-    counts = [F.expr(f"count_if(quality = {q} and {r.rejects(c)})").alias(f"q{q}_{i}") for i, (r, c) in enumerate(tests) for q in (0, 1)]
-    rows = measured.join(truth, "doc_id").where(~_base_failed(risk)).groupBy("stratum").agg(F.expr("count_if(quality = 1)").alias("good"), *counts).collect()
-    delta = risk.delta / (len(tests) * (len(risk.strata) + 1))
-    best: dict[tuple[str, str], tuple[int, float]] = {}
-    for row in rows:
-        for i, (r, c) in enumerate(tests):
-            key, gain = (row["stratum"], r.name), row[f"q0_{i}"]
-            if gain > best.get(key, (0,))[0] and admissible(row[f"q1_{i}"], row["good"], risk.share / len(rules), delta):
-                best[key] = (gain, c)
-    return {k: c for k, (_, c) in best.items()}
+    judged = cut(measured.join(truth, "doc_id").where(~_base_failed(risk)).drop("doc_id"))
+    good = {r["stratum"]: r["n"] for r in judged.groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("n")).collect()}
+    delta = risk.delta / (sum(len(r.cutoffs) for r in rules) * (len(risk.strata) + 1))
+    chosen: dict[tuple[str, str], float] = {}
+    for rule in rules:
+        left = verdict(chosen, judged.stratum, rules=rules)
+        hits = [(i, F.expr(rule.rejects(c))) for i, c in enumerate(rule.cutoffs)]
+        counts = [F.count_if((F.col("quality") == 1) & hit).alias(f"all_{i}") for i, hit in hits]
+        counts += [F.count_if((F.col("quality") == q) & hit & left).alias(f"new{q}_{i}") for i, hit in hits for q in (0, 1)]
+        for row in judged.groupBy("stratum").agg(*counts).collect():
+            s = row["stratum"]
+            gains = {c: row[f"new0_{i}"] - risk.worth * row[f"new1_{i}"] for i, c in enumerate(rule.cutoffs) if admissible(row[f"all_{i}"], good[s], risk.share / len(rules), delta)}
+            if gains and max(gains.values()) > 0:
+                chosen[s, rule.name] = max(gains, key=gains.__getitem__)
+    return chosen
 
 
 def _base_failed(risk: Risk, m: str = "") -> Column:

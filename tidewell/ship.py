@@ -12,10 +12,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+#: Rows of an Arrow batch, where the session has Spark's default: texts are long, and a batch is held by the JVM and by Python.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds this package to what Python workers import from, once for each application; Spark's own file server hands it out."""
+    """Adds this package to what Python workers import from, once for each application; Spark's own file server hands it out. Batches get smaller, too."""
+    name, default, rows = BATCH
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, rows)
     context = spark.sparkContext
     if context.applicationId in _sent:
         return

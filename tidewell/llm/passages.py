@@ -2,7 +2,8 @@
 
 Paragraphs are the newline-separated parts of a text. Those with equal words are one class; classes meet in bands of a MinHash
 signature tuned for high recall at the threshold (16 bands of 4: a pair at Jaccard 0.8 meets with probability .9998). The colliding are
-verified by the exact Jaccard similarity of their 5-word shingles, and components of verified pairs are what removals go by.
+verified by the exact Jaccard similarity of their 5-word shingles, and components of verified pairs are what removals go by. Below 5 words
+equal words alone make a class. Paragraphs below MIN_WORDS are compared with all that can be like them, in components of their own kind.
 
 Passages are also copied into the middle of paragraphs, where no paragraph is like another. So content-defined blocks are paragraphs, too: of every
 24 consecutive shingles the one of least hash begins a block of 26 words. Two documents that share any 50 words in a row share a block, wherever it
@@ -29,14 +30,16 @@ SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 #: Words of a block, and shingles of which one begins a block: a shared run of STEP + BLOCK words or more always has a block.
 BLOCK, STEP = 26, 24
-#: Paragraphs with fewer words aren't compared.
+#: Components with paragraphs of fewer words are of the kind "short"; those of the kind "paragraph" are formed without them.
 MIN_WORDS = 26
+#: Different shingles that a paragraph like one of fewer than MIN_WORDS words has at most.
+FEW = int((MIN_WORDS - SHINGLE) / SIMILAR)
 #: Up to so many paragraphs' places (20 bytes each) are broadcast to the scan that fetches their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 #: Words whose hashes a worker keeps.
 _CACHED = 100_000
 _P = 0x9E3779B97F4A7C15
-_SCHEMA = "doc_id long, rk long, start int, n int, h long, line int, bands array<long>"
+_SCHEMA = "doc_id long, rk long, start int, n int, h long, line int, few boolean, bands array<long>"
 _U = np.uint64
 
 
@@ -77,7 +80,7 @@ class Words:
             for number, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
                 n = len(words)
                 words += line.split()
-                if len(words) - n >= MIN_WORDS:
+                if len(words) > n:
                     lines.append((i, n, len(words)))
                     self.numbers.append(number)
         self.starts, self.lines = np.array(starts, np.int64), np.array(lines, np.int64).reshape(-1, 3)
@@ -109,11 +112,24 @@ class Words:
         at = at[at + BLOCK <= len(self.hash)]
         return at[self.text[at] == self.text[at + BLOCK - 1]]
 
+    def shingled(self) -> np.ndarray:
+        """Which paragraphs of lines have a shingle."""
+        return self.lines[:, 2] - self.lines[:, 1] >= SHINGLE
+
+    def few(self) -> np.ndarray:
+        """Which paragraphs of lines have a shingle and no more than FEW different ones."""
+        n = self.lines[:, 2] - self.lines[:, 1] - SHINGLE + 1
+        out, many = (n > 0) & (n <= FEW), np.flatnonzero(n > FEW)
+        begin = np.sort(self.shingles[self.lines[many, 1][:, None] + np.arange(FEW + 1)], axis=1)
+        for i in many[(begin[:, 1:] == begin[:, :-1]).any(axis=1)]:  # the others begin with more
+            out[i] = len(np.unique(self.shingles[self.lines[i, 1] : self.lines[i, 1] + n[i]])) <= FEW
+        return out
+
     def bands(self) -> np.ndarray:
-        """BANDS keys for each paragraph of lines."""
-        if not len(self.lines):
+        """BANDS keys for each paragraph that is shingled."""
+        edges = self.lines[self.shingled(), 1:] - np.array([0, SHINGLE - 1])
+        if not len(edges):
             return np.empty((0, BANDS), np.uint64)
-        edges = self.lines[:, 1:] - np.array([0, SHINGLE - 1])
         used = np.append(self.shingles, _U(0))  # an edge may be the end
         signature = np.empty((len(edges), BANDS * ROWS), np.uint64)
         for k, (a, b) in enumerate(_permutations().T):
@@ -132,10 +148,12 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = w.blocks()
             text, start, stop = (np.concatenate(x) for x in zip((w.text[at], at, at + BLOCK), w.lines.T, strict=True))
             line = pa.array([None] * len(at) + w.numbers, pa.int32())
-            lists = [None] * len(at) + w.bands().view(np.int64).tolist()
+            keys = iter(w.bands().view(np.int64).tolist())
+            lists = [None] * len(at) + [next(keys) if x else [] for x in w.shingled()]
+            few = pa.array(np.concatenate((np.zeros(len(at), bool), w.few())))
             take = pa.array(text)
             columns = [b.column("doc_id").take(take), b.column("rk").take(take), pa.array((start - w.starts[text]).astype(np.int32)), pa.array((stop - start).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(w.run_hash(start, stop).view(np.int64)), line, pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "rk", "start", "n", "h", "line", "bands"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(w.run_hash(start, stop).view(np.int64)), line, few, pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "rk", "start", "n", "h", "line", "few", "bands"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +165,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, rk, start and n (words), h (hash of the words), line (number) and bands of every block (line and bands null) and paragraph of docs (doc_id, text)."""
+    """doc_id, rk, start and n (words), h (hash of the words), line (number), few and bands of every block (line and bands null) and paragraph of docs (doc_id, text)."""
     named = docs.select(docs.doc_id.cast("long").alias("doc_id"), row_key(docs.doc_id, docs.text).alias("rk"), docs.text.alias("text"))
     return named.mapInArrow(_units, _SCHEMA)
 
@@ -222,12 +240,21 @@ def similar_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
 
 def _near(docs: DataFrame, all_units: DataFrame) -> DataFrame:
-    """The paragraphs of components that several documents have."""
+    """The paragraphs of components that several documents have: first without those below MIN_WORDS, then components that have such."""
     paragraphs = all_units.where("bands is not null")
-    rooted = paragraphs.join(similar_paragraphs(docs, paragraphs), "h", "left").withColumn("component", F.coalesce("root", "h"))
+    long = paragraphs.where(F.col("n") >= MIN_WORDS)
+    roots = cut(similar_paragraphs(docs, long))
+    # a pair with a short one is among the few; pairs of others are in roots
+    linked = cut(roots.union(similar_paragraphs(docs, paragraphs.where("few"))).where("h != root").toDF("a", "b"))
+    return _grouped(long, roots, "paragraph").unionByName(_grouped(paragraphs, components(linked).withColumnRenamed("node", "h"), "short"))
+
+
+def _grouped(paragraphs: DataFrame, roots: DataFrame, kind: str) -> DataFrame:
+    rooted = paragraphs.select("doc_id", "rk", "start", "n", "h").join(roots, "h", "left").withColumn("component", F.coalesce("root", "h"))
     rooted = cut(rooted.select("doc_id", "rk", "start", "n", "component"))
-    groups = rooted.groupBy("component").agg(F.min("doc_id").alias("first_doc_id"), F.min("rk").alias("lo"), F.max("rk").alias("hi")).where("lo != hi").drop("lo", "hi")
-    return rooted.join(groups, "component").select("doc_id", F.lit("paragraph").alias("kind"), F.col("start").alias("start_word"), (F.col("start") + F.col("n")).alias("end_word"), "component", "first_doc_id")
+    groups = rooted.groupBy("component").agg(F.min("doc_id").alias("first_doc_id"), F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.min("n").alias("least")).where("lo != hi")
+    groups = (groups.where(F.col("least") < MIN_WORDS) if kind == "short" else groups).drop("lo", "hi", "least")
+    return rooted.join(groups, "component").select("doc_id", F.lit(kind).alias("kind"), F.col("start").alias("start_word"), (F.col("start") + F.col("n")).alias("end_word"), "component", "first_doc_id")
 
 
 def _verbatim(all_units: DataFrame) -> DataFrame:
@@ -246,10 +273,11 @@ def _verbatim(all_units: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, kind (passage or paragraph), start_word, end_word, component, first_doc_id and removed: what documents share with others.
+    """doc_id, kind (passage, paragraph or short), start_word, end_word, component, first_doc_id and removed: what documents share with others.
 
-    A row for each span, in words; removed is true in all documents but first_doc_id, the least doc_id that has it. Null and empty texts, and those without
-    paragraphs or blocks, share nothing. Rows equal in doc_id and text are one document. Other columns of docs are not read.
+    A row for each span, in words; removed is true in all documents but first_doc_id, the least doc_id that has it. Paragraphs of
+    MIN_WORDS or more are of the kind paragraph where they are alike; a component that has shorter ones, too, is given whole as short, so that a paragraph
+    may stand in both. Null and empty texts, and those without words, share nothing. Rows equal in doc_id and text are one document. Other columns of docs are not read.
     """
     all_units = cut(units(docs))
     found = _verbatim(all_units).unionByName(_near(docs, all_units))

@@ -68,3 +68,38 @@ def test_short_paragraphs(spark):
 def test_short_paragraphs_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     check_short(passages.repeats(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def check_cover(found, pairs):
+    """Every run of 50 words that two documents share lies in spans whole, and the least doc_id that has it keeps one."""
+    spans, runs = defaultdict(list), defaultdict(set)
+    for x in found:
+        if x.kind == "passage":
+            spans[x.doc_id].append((x.start_word, x.end_word))
+    for d, starts in brute.shared_runs(pairs, 50).items():
+        covered = {i for a, z in spans[d] for i in range(a, z)}
+        assert all(covered.issuperset(range(s, s + 50)) for s in starts), d
+        runs[d] = starts
+    return spans, runs
+
+
+def test_spans_are_whole_runs(spark):
+    r = random.Random(12)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    runs = [words(r.randrange(51, 121)) for _ in range(12)]
+    pairs = [(d, " ".join(words(r.randrange(1, 60)) + run + words(r.randrange(1, 60)))) for d, run in enumerate(runs * 3)]
+    at = {d: next(i for i, w in enumerate(t.split()) if w == runs[d % 12][0]) for d, t in pairs}
+    # 101 and 102 share 15 words before and after what 100 has of it
+    inner, before, after = words(70), words(15), words(15)
+    pairs += [(100, " ".join(words(9) + inner + words(9))), *((d, " ".join(words(30) + before + inner + after + words(30))) for d in (101, 102))]
+    found = passages.repeats(documents(spark, pairs)).collect()
+    spans, _ = check_cover(found, pairs)
+    assert all(spans[d] == [(at[d], at[d] + len(runs[d % 12]))] for d in range(36))
+    told = {d: tuple(sorted({i for x in found if x.doc_id == d and x.removed in which for i in range(x.start_word, x.end_word)}) for which in ((True, False), (True,))) for d in (100, 101, 102)}
+    whole = list(range(30, 130))
+    assert told == {100: (list(range(9, 79)), []), 101: (whole, list(range(45, 115))), 102: (whole, whole)}
+
+
+def test_spans_cover_shared_runs_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    check_cover(passages.repeats(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])

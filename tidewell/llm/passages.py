@@ -7,7 +7,9 @@ equal words alone make a class. Paragraphs below MIN_WORDS are compared with all
 
 Passages are also copied into the middle of paragraphs, where no paragraph is like another. So content-defined blocks are paragraphs, too: of every
 24 consecutive shingles the one of least hash begins a block of 26 words. Two documents that share any 50 words in a row share a block, wherever it
-stands. Equal blocks in several documents mark a passage; a document's overlapping marked blocks are one span of it.
+stands. Equal blocks in several documents mark a passage; a document's overlapping marked blocks are one span of it. The words before the first
+block and after the last are compared with those round the same block in other documents, so that a span is the whole of what is shared: more than
+STEP - 1 words at an end would hold a block of their own. What a longer run has more than the first document's belongs to the first that has it.
 """
 
 from __future__ import annotations
@@ -156,6 +158,26 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(w.run_hash(start, stop).view(np.int64)), line, few, pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "rk", "start", "n", "h", "line", "few", "bands"])
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, rk, start, side and keys for each place (start, h, side) of rows (rk, doc_id, text, places): of h and the 1, 2 .. STEP - 1 words before (side 0) or after the block."""
+    k = np.arange(1, STEP)
+    for whole in batches:
+        for i in range(0, whole.num_rows, 100):
+            b = whole.slice(i, 100)
+            w = Words(b.column("text").to_pylist())
+            lists = b.column("places")
+            text, places = np.asarray(lists.value_parent_indices()), lists.flatten()
+            start, h, side = (np.asarray(places.field(f)) for f in ("start", "h", "side"))
+            at, first, ends = (w.starts[text] + start)[:, None], w.starts[text][:, None], np.append(w.starts[1:], len(w.hash))[text][:, None]
+            a, z = np.where(side[:, None] == 0, at - k, at + BLOCK), np.where(side[:, None] == 0, at, at + BLOCK + k)
+            inside = (a >= first) & (z <= ends)
+            key = _mixed(w.run_hash(a[inside], z[inside]) + np.broadcast_to(_mixed(h.view(np.uint64) + side.astype(np.uint64))[:, None], a.shape)[inside])
+            offsets = np.append(0, np.cumsum(inside.sum(axis=1))).astype(np.int32)
+            take = pa.array(text)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("rk").take(take), pa.array(start), pa.array(side), keys], names=["doc_id", "rk", "start", "side", "keys"])
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """h and the sorted different shingles of each paragraph (h, text)."""
     for b in batches:
@@ -257,8 +279,26 @@ def _grouped(paragraphs: DataFrame, roots: DataFrame, kind: str) -> DataFrame:
     return rooted.join(groups, "component").select("doc_id", F.lit(kind).alias("kind"), F.col("start").alias("start_word"), (F.col("start") + F.col("n")).alias("end_word"), "component", "first_doc_id")
 
 
-def _verbatim(all_units: DataFrame) -> DataFrame:
-    """The spans of blocks that several documents have; a component is a span of the document that has it first."""
+def _more(docs: DataFrame, spans: DataFrame, islands: DataFrame) -> DataFrame:
+    """rk, start, side, shared and later: by how many words what several documents have goes on before (side 0) or after (1) the block at start, and as far as another has it first."""
+    edges = islands.select(F.col("h0").alias("h"), F.lit(0).alias("side")).union(islands.select("h1", F.lit(1))).distinct()
+    places = spans.join(cut(edges), "h").groupBy("rk").agg(F.collect_set(F.struct("start", "h", "side")).alias("places"))
+    texts = docs.select(docs.doc_id.cast("long").alias("doc_id"), row_key(docs.doc_id, docs.text).alias("rk"), docs.text.alias("text")).join(places, "rk")
+    joined = cut(texts.select("doc_id", "rk", "text", "places"))  # so that the join's memory is free when Python runs
+    runs = cut(joined.mapInArrow(_contexts, "doc_id long, rk long, start int, side int, keys array<long>").where("size(keys) > 0").withColumn("all", F.element_at("keys", -1)))
+    # those that agree in all words are one class; only one of it is compared with others, word by word
+    classes = cut(runs.groupBy("all").agg(F.min("doc_id").alias("own"), F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.first("keys").alias("keys")))
+    each = classes.select("all", "own", "lo", "hi", F.posexplode("keys").alias("k", "key"))
+    several = each.groupBy("key").agg(F.min("own").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("key", "first")
+    found = each.drop("lo", "hi").join(cut(several), "key").withColumn("n", F.col("k") + 1)
+    told = cut(found.groupBy("all", "own").agg(F.max("n").alias("shared"), F.max(F.when(~F.col("own").eqNullSafe(F.col("first")), F.col("n"))).alias("others")))
+    # whoever isn't the first of the class has that before it at every length
+    later = F.when(F.col("doc_id").eqNullSafe(F.col("own")), F.col("others")).otherwise(F.col("shared"))
+    return runs.select("doc_id", "rk", "start", "side", "all").join(told, "all").select("rk", "start", "side", "shared", later.alias("later")).distinct()
+
+
+def _verbatim(docs: DataFrame, all_units: DataFrame) -> DataFrame:
+    """The spans of what several documents have; a component is a span of the document that has its blocks first."""
     blocks = all_units.where("bands is null").select("doc_id", "rk", "start", "h")
     classes = blocks.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.min("rk").alias("lo"), F.max("rk").alias("hi")).where("lo != hi").drop("lo", "hi")
     marked = blocks.join(cut(classes), "h").withColumn("later", ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
@@ -268,8 +308,19 @@ def _verbatim(all_units: DataFrame) -> DataFrame:
     # cut, so that the join isn't bound to the aggregate's partitions and a very common passage's rows can be split
     firsts = cut(spans.where("not later").groupBy("h").agg(F.min(F.xxhash64("rk", "island")).alias("component")))
     named = spans.join(firsts, "h", "left")
-    island = named.groupBy("rk", "doc_id", "later", "island").agg(F.min("start").alias("start_word"), (F.max("start") + BLOCK).alias("end_word"), F.min("component").alias("component"), F.min("first_doc_id").alias("first_doc_id"))
-    return island.select("doc_id", F.lit("passage").alias("kind"), "start_word", "end_word", "component", "first_doc_id")
+    edges = [F.min("start").alias("s0"), F.max("start").alias("s1"), F.min_by("h", "start").alias("h0"), F.max_by("h", "start").alias("h1")]
+    islands = cut(named.groupBy("rk", "doc_id", "later", "island").agg(*edges, F.min("component").alias("component"), F.min("first_doc_id").alias("first_doc_id")))
+    more = cut(_more(docs, spans, islands))
+    for side in (0, 1):
+        own = more.where(F.col("side") == side).select("rk", F.col("start").alias(f"s{side}"), F.col("shared").alias(f"all{side}"), F.col("later").alias(f"later{side}"))
+        islands = islands.join(own, ["rk", f"s{side}"], "left").fillna(0, [f"all{side}", f"later{side}"])
+        islands = islands.withColumn(f"by{side}", F.when(F.col("later"), F.col(f"later{side}")).otherwise(F.col(f"all{side}")))
+    start, end = F.col("s0") - F.col("by0"), F.col("s1") + BLOCK + F.col("by1")
+    piece = lambda a, z, first: F.struct(a.alias("start_word"), z.alias("end_word"), first.alias("first_doc_id"))
+    # what this document is the first to have, before and after what an earlier one has
+    pieces = F.array(piece(start, end, F.col("first_doc_id")), piece(F.col("s0") - F.col("all0"), start, F.col("doc_id")), piece(end, F.col("s1") + BLOCK + F.col("all1"), F.col("doc_id")))
+    found = islands.select("doc_id", "component", F.explode(pieces).alias("p")).where("p.start_word < p.end_word")
+    return found.select("doc_id", F.lit("passage").alias("kind"), "p.start_word", "p.end_word", "component", "p.first_doc_id")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -280,6 +331,6 @@ def repeats(docs: DataFrame) -> DataFrame:
     may stand in both. Null and empty texts, and those without words, share nothing. Rows equal in doc_id and text are one document. Other columns of docs are not read.
     """
     all_units = cut(units(docs))
-    found = _verbatim(all_units).unionByName(_near(docs, all_units))
+    found = _verbatim(docs, all_units).unionByName(_near(docs, all_units))
     whole = found.select("doc_id", "kind", F.col("start_word").cast("long"), F.col("end_word").cast("long"), "component", "first_doc_id")
     return whole.withColumn("removed", ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))

@@ -8,7 +8,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tidewell.llm import passages  # noqa: E402
+from tidewell.llm import decontaminate, passages  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -103,3 +103,20 @@ def test_spans_are_whole_runs(spark):
 def test_spans_cover_shared_runs_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     check_cover(passages.repeats(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+
+
+# 6: decontamination
+
+
+def held(spark, texts, item):
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return [r.doc_id for r in decontaminate.report(documents(spark, list(enumerate(texts))), items).orderBy("doc_id").collect()]
+
+
+def test_one_edited_value_does_not_clear_a_copy(spark):
+    item = "At noon the girl Anna meets 12 friends in the park, then Anna sells 30 cakes to them and Anna counts what Anna has left. How many of the cakes did Anna keep for the party on the next day?"
+    once = item.replace("Anna", "Ana", 1)
+    mixed = item
+    for name in ("Bea", "Cleo", "Dora", "Eve", "Fay"):
+        mixed = mixed.replace("Anna", name, 1)
+    assert held(spark, [once, item.replace("Anna", "Ana"), mixed, item], item) == [0, 1, 3]

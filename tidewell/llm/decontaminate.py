@@ -4,7 +4,8 @@ Texts become templates: a number, a quantity (number and unit) and a name (a cap
 into a placeholder of their type; all else is lower-cased words. Windows of WINDOW template words are hashed and joined with those
 of the benchmark. Matches of a document and an item line up on diagonals (place in the document less place in the item).
 On a diagonal, the values in the item's placeholders must map to the document's as a function: a re-parameterised
-question puts 7 wherever the original has 5. What consistent diagonals cover of the item's windows decides.
+question puts 7 wherever the original has 5. Windows with a value other than the one that most places have for it don't count, and where no
+value has most, none of its windows do. What the other windows cover of the item's decides.
 
 Everything is DataFrame operations. The benchmark's windows are broadcast while they are few; no document text is shuffled.
 """
@@ -110,10 +111,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     held = keyed.join(hit, "rk", "left_semi").dropDuplicates(["rk"]).select("rk", template(F.col("text")).alias("dwords"), slots(F.col("text")).alias("dslots"))
     lined = found.join(items.select("item", "words", "slots", "size", "n_windows"), "item").join(held, "rk")
     covered = "array_distinct(flatten(transform(at, a -> sequence(a, a + size - 1))))"
-    pairs = f"transform({covered}, k -> struct({_slot_value('words', 'slots', 'k')} as theirs, {_slot_value('dwords', 'dslots', '(k + diagonal)')} as ours))"
-    paired = lined.select("rk", "doc_id", "item", "n_windows", "at", F.expr(f"array_distinct(filter({pairs}, p -> p.theirs is not null and p.ours is not null))").alias("pairs"))
-    consistent = paired.where("size(pairs) = size(array_distinct(transform(pairs, p -> p.theirs)))")
-    judged = consistent.groupBy("rk", "doc_id", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_found"))
+    pairs = f"transform({covered}, k -> struct(k, {_slot_value('words', 'slots', 'k')} as theirs, {_slot_value('dwords', 'dslots', '(k + diagonal)')} as ours))"
+    paired = lined.select("rk", "doc_id", "item", "n_windows", "size", "at", F.expr(f"filter({pairs}, p -> p.theirs is not null and p.ours is not null)").alias("pairs"))
+    votes = "transform(array_distinct(transform(pairs, p -> struct(p.theirs, p.ours))), d -> struct(d.theirs, d.ours, size(filter(pairs, p -> p.theirs = d.theirs and p.ours = d.ours)) as n))"
+    voted = paired.withColumn("votes", F.expr(votes))
+    lost = "transform(filter(pairs, p -> exists(votes, v -> v.theirs = p.theirs and v.ours = p.ours and exists(votes, u -> u.theirs = v.theirs and u.ours != v.ours and u.n >= v.n))), p -> p.k)"
+    consistent = voted.withColumn("lost", F.expr(lost)).withColumn("at", F.expr("filter(at, a -> not exists(lost, k -> k between a and a + size - 1))"))
+    judged = consistent.where("size(at) > 0").groupBy("rk", "doc_id", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_found"))
     return judged.withColumn("coverage", F.col("n_found") / F.col("n_windows")).where(F.col("coverage") >= coverage)
 
 

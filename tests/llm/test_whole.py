@@ -120,3 +120,11 @@ def test_one_edited_value_does_not_clear_a_copy(spark):
     for name in ("Bea", "Cleo", "Dora", "Eve", "Fay"):
         mixed = mixed.replace("Anna", name, 1)
     assert held(spark, [once, item.replace("Anna", "Ana"), mixed, item], item) == [0, 1, 3]
+
+
+def test_verbatim_copies_of_any_items(spark):
+    items = ["12 + 7 * 3 - 4 = ?", "What is the capital of France?", "Anna Maria Peter Paul Hannah", "中国的首都是哪里？请用一句话回答。", "Name Three Great Old German Painters", "..."]
+    texts = [f"You see {x.rstrip('?')} here." for x in items[:5]] + ["我问：" + items[3] + "他说", "12 + 7 * 4 - 3 = ?", "the capital", "中国的人", "none ... of it"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.report(documents(spark, list(enumerate(texts))), bench).collect()}
+    assert found == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 3)}

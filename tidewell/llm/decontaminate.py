@@ -7,18 +7,23 @@ On a diagonal, the values in the item's placeholders must map to the document's
 question puts 7 wherever the original has 5. Windows with a value other than the one that most places have for it don't count, and where no
 value has most, none of its windows do. What the other windows cover of the item's decides.
 
+Templates say little of items with few literal words, and nothing of text without spaces. Items that a verbatim copy might not be found of by
+template windows are also matched by windows of their tokens as they stand: words, numbers, signs of arithmetic, single characters of scripts without spaces.
+
 Everything is DataFrame operations. The benchmark's windows are broadcast while they are few; no document text is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, row_key
 
 WINDOW = 8
-#: Words of a window that must not be placeholders.
+#: Words of a template window that must not be placeholders.
 LITERALS = 4
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
@@ -51,6 +56,15 @@ def template(text: Column) -> Column:
     return F.regexp_extract_all(_steps(_plain(text))[2], F.lit(r"[\p{L}\p{M}\ue000-\ue002]+"), F.lit(0))
 
 
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_TOKEN_RE = rf"[{_UNSPACED}]|[\p{{L}}\p{{M}}&&[^{_UNSPACED}]]+|\p{{N}}+|[-*/^%\p{{Sm}}]"
+
+
+def tokens(text: Column) -> Column:
+    """The lower-cased words, numbers, signs and characters of a text as they stand, an array."""
+    return F.regexp_extract_all(F.lower(_plain(text)), F.lit(_TOKEN_RE), F.lit(0))
+
+
 def slots(text: Column) -> Column:
     """A struct of three arrays: the names, quantities and numbers of a text in order, as template() replaces them."""
     plain = _plain(text)
@@ -69,24 +83,34 @@ def _windows(words: str, size: str) -> str:
     return f"case when size({words}) >= {size} then transform(sequence(1, size({words}) - {size} + 1), i -> xxhash64(slice({words}, i, {size}))) else cast(array() as array<bigint>) end"
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    """item (key of the text), words, slots, size (of its windows) and n_windows of each different item text that has LITERALS literal words."""
+def _items(benchmark: DataFrame, coverage: float) -> DataFrame:
+    """item (key of the text), exact, words, slots, size (of its windows), at (windows that count) and n_windows of each different item text.
+
+    A row with the template's windows that have LITERALS literal words, where there are such. Of a verbatim copy all these are found but those with the first or last
+    word, which what stands beside may change; where the others are too few, or there are none, another row has the windows of tokens (exact).
+    """
     texts = benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    out = texts.select(F.xxhash64("text").alias("item"), template(F.col("text")).alias("words"), slots(F.col("text")).alias("slots"))
+    out = texts.select(F.xxhash64("text").alias("item"), template(F.col("text")).alias("words"), slots(F.col("text")).alias("slots"), tokens(F.col("text")).alias("tokens"))
     literal = f"size(filter(slice(words, i, size), w -> not w rlike '^[\ue000-\ue002]+$')) >= {LITERALS}"
-    sized = out.withColumn("size", F.expr(f"least(size(words), {WINDOW})")).where("size > 0")
-    used = sized.withColumn("at", F.expr(f"filter(sequence(1, size(words) - size + 1), i -> {literal})"))
-    return used.where("size(at) > 0").withColumn("n_windows", F.size("at"))
-
-
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    sized = lambda df: df.withColumn("size", F.expr(f"least(size(words), {WINDOW})"))
+    windows = "if(size > 0, sequence(1, size(words) - size + 1), cast(array() as array<int>))"
+    used = sized(out).withColumn("at", F.expr(f"filter({windows}, i -> {literal})"))
+    inside = F.expr("size(filter(at, i -> i > 1 and i + size - 1 < size(words)))")
+    columns = ("item", "exact", "words", "slots", "size", "at")
+    by_template = used.where("size(at) > 0").withColumn("exact", F.lit(False)).select(*columns)
+    unsure = used.where((F.size("at") == 0) | (inside < coverage * F.size("at"))).select("item", F.lit(True).alias("exact"), F.col("tokens").alias("words"), "slots")
+    by_tokens = sized(unsure).where("size > 0").withColumn("at", F.expr(windows)).select(*columns)
+    return by_template.union(by_tokens).withColumn("n_windows", F.size("at"))
+
+
+def matches(docs: DataFrame, items: DataFrame, words_of: Callable[[Column], Column] = template) -> DataFrame:
     """rk, doc_id, item, diagonal and at (the item's windows found on it, from 1): what each row of docs shares with each item."""
     wanted = items.select("item", "size", F.explode("at").alias("at"), "words").select("item", "size", "at", F.expr("xxhash64(slice(words, at, size))").alias("h"))
     wanted = cut(wanted)
     sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # WINDOW values at most
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    words = docs.select(row_key(docs.doc_id, docs.text).alias("rk"), docs.doc_id.alias("doc_id"), template(docs.text).alias("words"))
+    words = docs.select(row_key(docs.doc_id, docs.text).alias("rk"), docs.doc_id.alias("doc_id"), words_of(docs.text).alias("words"))
     found = None
     for size in sizes:
         hashed = words.select("rk", "doc_id", F.posexplode(F.expr(_windows("words", str(size)))).alias("pos", "h"))
@@ -100,10 +124,12 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """rk, doc_id, item, n_windows, n_found and coverage: the items that each row of docs (doc_id, text) holds to `coverage` or more.
 
-    Null and empty texts hold nothing; null and empty items, and items without LITERALS literal words, are held by nothing. Rows of docs equal
+    Null and empty texts hold nothing; null items, and those without letters, digits and signs of arithmetic, are held by nothing. An item as short as one word is held
+    wherever the word stands. Rows of docs equal
     in doc_id and text are judged as one. Equal item texts are one item.
     """
-    items = cut(_items(benchmark))
+    both = cut(_items(benchmark, coverage))
+    items, exact = both.where("not exact"), both.where("exact")
     found = cut(matches(docs, items))
     hit = cut(found.select("rk").distinct())
     hit = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit
@@ -118,6 +144,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     lost = "transform(filter(pairs, p -> exists(votes, v -> v.theirs = p.theirs and v.ours = p.ours and exists(votes, u -> u.theirs = v.theirs and u.ours != v.ours and u.n >= v.n))), p -> p.k)"
     consistent = voted.withColumn("lost", F.expr(lost)).withColumn("at", F.expr("filter(at, a -> not exists(lost, k -> k between a and a + size - 1))"))
     judged = consistent.where("size(at) > 0").groupBy("rk", "doc_id", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_found"))
+    if not exact.isEmpty():
+        verbatim = matches(docs, exact, tokens).join(exact.select("item", "n_windows"), "item")
+        counted = verbatim.groupBy("rk", "doc_id", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_found"))
+        # the better of the two
+        best = F.max(F.struct((F.col("n_found") / F.col("n_windows")).alias("share"), "n_windows", "n_found")).alias("best")
+        judged = judged.unionByName(counted).groupBy("rk", "doc_id", "item").agg(best).select("rk", "doc_id", "item", "best.n_windows", "best.n_found")
     return judged.withColumn("coverage", F.col("n_found") / F.col("n_windows")).where(F.col("coverage") >= coverage)
 
 

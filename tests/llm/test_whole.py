@@ -8,7 +8,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tidewell.llm import decontaminate, passages  # noqa: E402
+from tidewell.llm import decontaminate, passages, secrets  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -128,3 +128,20 @@ def test_verbatim_copies_of_any_items(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.report(documents(spark, list(enumerate(texts))), bench).collect()}
     assert found == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 3)}
+
+
+# 5: secrets
+
+
+def test_names_and_values_of_other_forms(spark):
+    texts = {
+        "run DB_PASSWORD=Xk29fLq8Zt now": "Xk29fLq8Zt", "db_password: 'Xk29fLq8Zt41'": "Xk29fLq8Zt41", "GITHUB_TOKEN=abc123def456": "abc123def456", 'SECRET_KEY = "n8Qz71LmPq0d"': "n8Qz71LmPq0d",
+        "password   =\tXk29fLq8Zt": "Xk29fLq8Zt", "password: P@ss!w0rd#92x": "P@ss!w0rd#92x", '{"api_key_2": "q8$ z(71){L]mP"}': "q8$ z(71){L]mP",
+    }
+    rows = [*texts, "a password_" * 3000, "password" * 7000, "token=" + "." * 50_000, "api.key " + " " * 50_000]
+    docs = documents(spark, list(enumerate(rows)))
+    assert {(r.doc_id, r.value) for r in secrets.candidates(docs, "doc_id").collect()} == set(enumerate(texts.values()))
+    said = {r.doc_id: r.is_secret for r in secrets.scan(docs).collect()}
+    assert all(said[d] for d in range(6)), said
+    false = ["DB_PASSWORD=changeme_please_1 here", "my password: service.account.name is"]
+    assert not any(r.is_secret for r in secrets.scan(documents(spark, list(enumerate(false)))).collect())

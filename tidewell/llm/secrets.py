@@ -22,7 +22,11 @@ _BEFORE = 48
 # Names that secrets are assigned to, public key formats, and words that make a value no secret.
 _NAMES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret|auth[_-]?key"
 _FORMATS = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bxox[baprs]-[A-Za-z0-9-]{10,}|\bsk_live_[A-Za-z0-9]{16,}|\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"
-_ASSIGNED = rf"(?i:\b(?:{_NAMES}))[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9+/_.~-]{{8,}}={{0,2}}[\"']?"
+_SIGN = r"[\"']?[\x20\t]*+(?::=|=>|={1,2}|:)[\x20\t]*+"
+_VALUE = r"(?:\"[^\"\r\n]{8,}+\"|'[^'\r\n]{8,}+'|[\"']?[^\s\"'`,;<>(){}\[\]]{7,}[^\s\"'`,;<>(){}\[\].:?][\"']?)"
+# a whole run of word characters that holds a name; that a sign and a value come after the run is asked first, once a run, for linear time
+_NAMED = rf"(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]++{_SIGN}{_VALUE})(?i:[A-Za-z0-9_.-]*?(?:{_NAMES})[A-Za-z0-9_.-]*+){_SIGN}"
+_ASSIGNED = f"{_NAMED}{_VALUE}"
 _RANDOM = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{24,}={0,2}"
 CANDIDATE = f"{_ASSIGNED}|{_FORMATS}|{_RANDOM}"
 _DICTIONARY = (
@@ -44,7 +48,8 @@ def candidates(docs: DataFrame, *keep: str) -> DataFrame:
     found = found.withColumn("__tw_all", spans(F.col("__tw_text"), CANDIDATE))
     told = F.transform("__tw_all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["raw"].alias("raw"), cut_out(s).alias("before")))
     rows = found.select(*keep, "__tw_source", F.explode(told).alias("__tw"))
-    value = F.regexp_extract("__tw.raw", r"([A-Za-z0-9+/_.~-]{8,}={0,2})[\"']?$", 1)
+    assigned = F.regexp_extract("__tw.raw", rf"^{_NAMED}[\"']?(.{{8,}}?)[\"']?$", 1)
+    value = F.when(assigned != "", assigned).otherwise(F.col("__tw.raw"))
     return _features(rows.select(*keep, F.col("__tw.start").alias("start"), F.col("__tw.end").alias("end"), value.alias("value"), F.col("__tw.raw").alias("__tw_raw"), F.lower("__tw.before").alias("__tw_before"), F.lower("__tw_source").alias("__tw_source")))
 
 
@@ -58,7 +63,7 @@ def _features(rows: DataFrame) -> DataFrame:
         "digits": F.length(F.regexp_replace(v, "[^0-9]", "")) / size,
         "different": F.size(F.array_distinct(F.split(v, ""))) / size,
         "dictionary": 1 - F.length(F.regexp_replace(F.lower(v), "|".join(sorted(_DICTIONARY, key=len, reverse=True)), "")) / size,
-        "assigned": like(F.col("__tw_raw"), rf"(?i)^(?:{_NAMES})[\"']?\x20?[:=]"),
+        "assigned": like(F.col("__tw_raw"), f"^{_ASSIGNED}$"),
         "known_format": like(v, f"^(?:{_FORMATS})$"),
         "path": F.greatest(like(F.col("__tw_before"), r"/[^\s]*$"), like(F.col("__tw_source"), r"(?:^|[/_.-])(?:tests?|examples?|docs?|fixtures?|samples?)(?:$|[/_.-])")),
         "secret_word": like(around, rf"(?:{_NAMES}|credential|bearer|aws)"),
@@ -76,6 +81,8 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     word = lambda k: F.element_at(F.array(*map(F.lit, _DICTIONARY)), (F.xxhash64(F.lit(k), "id") % len(_DICTIONARY) + len(_DICTIONARY)).cast("int") % len(_DICTIONARY) + 1)
     alnum = F.regexp_replace("b64", "[^A-Za-z0-9]", "x")
     long, short = F.left("hex", F.lit(40)), F.substring("hex", F.lit(3), 16 + F.col("id") % 9)
+    mixed = F.left(alnum, 9 + F.col("id").cast("int") % 8)
+    signed = F.translate(F.left(F.col("b64"), 11 + F.col("id").cast("int") % 8), "aeiouAE+/", "@!#$%&*^?")
     true = [
         F.concat(F.lit("set password="), short, F.lit(" on it")),
         F.concat(F.lit('the token = "'), long, F.lit('" is')),
@@ -85,6 +92,12 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         F.concat(F.lit("client_secret='"), F.left("b64", F.lit(32)), F.lit("'")),
         F.concat(F.lit("and then AKIA"), F.substring("upper", F.lit(5), F.lit(16)), F.lit(" a b")),
         F.concat(F.lit("send aws credential "), F.left("b64", F.lit(40)), F.lit(" ok")),
+        F.concat(F.lit("export DB_PASSWORD="), mixed, F.lit(" then")),
+        F.concat(F.lit("db_password: '"), mixed, F.lit("' for")),
+        F.concat(F.lit("GITHUB_TOKEN="), F.left("hex", 12 + F.col("id").cast("int") % 20), F.lit(" in")),
+        F.concat(F.lit('SECRET_KEY  =  "'), signed, F.lit('" set')),
+        F.concat(F.lit("my password: "), signed, F.lit(" is")),
+        F.concat(F.lit("api_key_prod = "), F.left(alnum, F.lit(20)), F.lit(" go")),
     ]
     false = [
         F.concat(F.lit("set password="), word("a"), word("b"), F.lit("123 on it")),
@@ -95,6 +108,12 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         F.concat(F.lit("uuid "), F.left("hex", F.lit(8)), F.lit("-"), F.substring("hex", 9, 4), F.lit("-"), F.substring("hex", 13, 4), F.lit("-"), F.substring("hex", 17, 12)),
         F.concat(F.lit("api_key: your_"), word("a"), F.lit("_"), word("b"), F.lit("_here")),
         F.concat(F.lit("example key AKIA"), F.rpad(F.upper(word("a")), 9, "X"), F.lit("EXAMPLE")),
+        F.concat(F.lit("export DB_PASSWORD="), word("a"), F.lit("_"), word("b"), F.lit("_1 then")),
+        F.concat(F.lit("db_password: '"), word("a"), F.lit(" "), word("b"), F.lit(" "), word("c"), F.lit("' for")),
+        F.concat(F.lit("GITHUB_TOKEN=${"), F.upper(word("a")), F.lit("_TOKEN_"), word("b"), F.lit("} in")),
+        F.concat(F.lit('SECRET_KEY  =  "<'), word("a"), F.lit("-"), word("b"), F.lit('>" set')),
+        F.concat(F.lit("my password: "), word("a"), F.lit("."), word("b"), F.lit("."), word("c"), F.lit(" is")),
+        F.concat(F.lit("api_key_prod = "), word("a"), F.lit("."), word("b"), F.lit("_"), word("c"), F.lit(" go")),
     ]
     pick = lambda texts: F.element_at(F.array(*texts), (F.shiftright("id", 1) % len(texts) + 1).cast("int"))
     good = F.col("id") % 2

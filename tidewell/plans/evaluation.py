@@ -222,7 +222,7 @@ def bootstrap_models(spark, sf_dir):
     for k, name in enumerate(("plain", "noisy", "noisiest")):
         one = metrics.story_auc(pairs.withColumn("sim", F.col("sim") + noise(k)), s).select(F.lit(name).alias("model"), "story", "auc")
         each = one if each is None else each.union(one)
-    out = metrics.bootstrap(each, ["plain", "noisy", "noisiest"], 2_000)
+    out = metrics.bootstrap(each, ["plain", "noisy", "noisiest"])
     return out.select("a", "b", *[F.round(c, 6).alias(c) for c in ("delta", "lo", "hi", "p")], "significant")
 
 

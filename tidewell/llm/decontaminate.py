@@ -140,9 +140,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     pairs = f"transform({covered}, k -> struct(k, {_slot_value('words', 'slots', 'k')} as theirs, {_slot_value('dwords', 'dslots', '(k + diagonal)')} as ours))"
     paired = lined.select("rk", "doc_id", "item", "n_windows", "size", "at", F.expr(f"filter({pairs}, p -> p.theirs is not null and p.ours is not null)").alias("pairs"))
     votes = "transform(array_distinct(transform(pairs, p -> struct(p.theirs, p.ours))), d -> struct(d.theirs, d.ours, size(filter(pairs, p -> p.theirs = d.theirs and p.ours = d.ours)) as n))"
-    voted = paired.withColumn("votes", F.expr(votes))
+    # each step is bound to a lambda's name, so that it is computed once
     lost = "transform(filter(pairs, p -> exists(votes, v -> v.theirs = p.theirs and v.ours = p.ours and exists(votes, u -> u.theirs = v.theirs and u.ours != v.ours and u.n >= v.n))), p -> p.k)"
-    consistent = voted.withColumn("lost", F.expr(lost)).withColumn("at", F.expr("filter(at, a -> not exists(lost, k -> k between a and a + size - 1))"))
+    left = f"transform(transform(array({votes}), votes -> {lost}), lost -> filter(at, a -> not exists(lost, k -> k between a and a + size - 1)))[0]"
+    agree = "size(array_distinct(transform(pairs, p -> struct(p.theirs, p.ours)))) = size(array_distinct(transform(pairs, p -> p.theirs)))"
+    consistent = paired.withColumn("at", F.expr(f"if({agree}, at, {left})"))
     judged = consistent.where("size(at) > 0").groupBy("rk", "doc_id", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_found"))
     if not exact.isEmpty():
         verbatim = matches(docs, exact, tokens).join(exact.select("item", "n_windows"), "item")

@@ -10,7 +10,9 @@ all that share such a value are within 2 bits of each other, so linking each to
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,28 +30,48 @@ MAX_BITS = 2
 CROWD = 64
 #: Up to so many keys of rows (8 bytes each) are broadcast to drop them; with more, the rows that stay are joined by a shuffle.
 BROADCAST_ROWS = 400_000
-_BLOCK = 1 << 15
-
-
-def fingerprint(text: str | None) -> int:
-    """The unsigned 64-bit SimHash of a text; 0 if it has no words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined, n = b" ".join(words), max(1, len(words) - SHINGLE + 1)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    stops = ends[min(SHINGLE, len(words)) - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for i in range(0, n, _BLOCK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + _BLOCK], stops[i : i + _BLOCK], strict=True)], dtype="<u8")
+#: Bytes of a text whose words are held at a time.
+_WINDOW = 1 << 17
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _word_windows(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, window by window; each begins with the SHINGLE - 1 words before it, so that the windows' shingles are the text's."""
+    carried: list[bytes] = []
+    told = 0  # words of carried that a window has had
+    at = 0
+    while at < len(raw):
+        space = _SPACE.search(raw, at + _WINDOW)
+        end = space.start() if space else len(raw)
+        words = carried + raw[at:end].lower().split()
+        at = end
+        if len(words) > told and (len(words) >= SHINGLE or at == len(raw)):
+            yield words
+            carried = words[1 - SHINGLE :]
+            told = len(carried)
+        else:
+            carried = words
+
+
+def fingerprint(text: str | bytes | None) -> int:
+    """The unsigned 64-bit SimHash of a text (bytes are its UTF-8); 0 if it has no words. Holds a window of its words, however long it is."""
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    digest, counts, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0
+    for words in _word_windows(raw):
+        joined, n = b" ".join(words), max(1, len(words) - SHINGLE + 1)
+        ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
+        starts = [0, *(e + 1 for e in ends[: n - 1])]
+        stops = ends[min(SHINGLE, len(words)) - 1 :]
+        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        total += n
+    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), dtype=np.uint64, count=b.num_rows)
+        texts = b.column("text").cast(pa.binary())  # no copy; texts leave the batch one by one
+        fp = np.fromiter((fingerprint(t.as_py()) for t in texts), dtype=np.uint64, count=b.num_rows)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array(fp.view(np.int64))], names=["doc_id", "rk", "fp"])
 
 

@@ -1,10 +1,11 @@
 """Personal data: base spans by pattern and check, and further spans by weak supervision.
 
-Candidates are the base patterns' matches, whether they pass their check or not, and matches of wider patterns. Four labelers vote on each, or
-abstain: the check, a gazetteer (top-level domains, issuers, area codes, reserved networks), the words before it, and its edges. For
+Candidates are the base patterns' matches, whether they pass their check or not, and matches of wider patterns in what these leave: written-out and
+encoded emails, version 6 and bracketed addresses, cards with other signs, phones without a plus. Four labelers vote on each, or
+abstain: the check, a gazetteer (top-level domains, issuers, number plans, reserved networks), the words before it, and its edges. For
 each kind, expectation-maximisation over the counts of vote patterns in the whole corpus estimates how reliable each labeler is and how
 likely each pattern is personal data (Dawid and Skene, 1979). With these as soft labels, a logistic span classifier is trained on
-votes and shape, and adds the candidates that it is sure of. Base spans stay whatever it says.
+votes and on the shape, which no labeler sees (many digits, several parts, different digits), and adds the candidates that it is sure of. Base spans stay whatever it says.
 
 Everything over rows is DataFrame operations; the driver sees one count for each pattern, of which there are 4 * 2 * 27 * 8 at most.
 """
@@ -18,12 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .spans import apart, spans
+from .spans import masked, none, told_spans
 
 KINDS = ("email", "ip", "card", "phone")
 #: Probability from which a span is added.
 SURE = 0.9
-_CONTEXT = 40
 
 # The base patterns. Loops are possessive and starts are bound to the beginning of a run, which changes no match but keeps time and stack linear.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -35,19 +35,27 @@ BASE = {
 }
 #: What a text must match for any span of the kind to be possible.
 _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: Wider patterns: emails with words for signs, phones without a plus, addresses of version 6.
+#: Wider patterns, searched where the base pattern of their kind has no match.
+_AT, _DOT = r"\x20?[\[({]\x20?(?:at|AT|@)\x20?[\])}]\x20?", r"\x20?[\[({]\x20?(?:dot|DOT|\.)\x20?[\])}]\x20?"
+_HEX = "[0-9A-Fa-f]{1,4}"
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]\x20?(?:at|AT|@)\x20?[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\x20?[\[(]\x20?(?:dot|DOT)\x20?[\])]\x20?|\.)[A-Za-z0-9-]{1,63}){1,8}",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "phone": r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:(?:{_AT}|%40|&#64;)[A-Za-z0-9-]{{1,63}}(?:(?:{_DOT}|\.)[A-Za-z0-9-]{{1,63}}){{1,8}}|\x20(?:at|AT)\x20[A-Za-z0-9-]{{1,63}}(?:\x20(?:dot|DOT)\x20[A-Za-z0-9-]{{1,63}}){{1,4}})",
+    "ip": rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|[0-9]{{1,3}}(?:\[\.\][0-9]{{1,3}}){{3}})(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9./_])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9./_])",
+    "phone": r"(?<![0-9A-Za-z+().,/-])(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}|00[1-9][0-9]{0,2}(?:[\x20.-][0-9]{2,4}){2,5}|\(?0[1-9][0-9]{1,4}\)?[\x20/-][0-9]{3,8}(?:[\x20-][0-9]{2,5}){0,2})(?![0-9A-Za-z-])",
+}
+_WIDE_HINT = {
+    "email": r"[\[({]\x20?(?:at|AT|@)\x20?[\])}]|%40|&#64;|\x20(?:dot|DOT)\x20",
+    "ip": r"[0-9A-Fa-f]::?[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]|[0-9A-Fa-f]::[0-9A-Fa-f]|[0-9]\[\.\][0-9]",
+    "card": r"[0-9]{4}[./_][0-9]{4}[./_]",
+    "phone": r"[0-9]{3}[.-][0-9]{4}|(?<![0-9])0[0-9]{2,5}\)?[\x20./-][0-9]",
 }
-_WIDE_HINT = {"email": r"[\[(]\x20?(?:at|AT|@)\x20?[\])]", "ip": "[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]", "phone": r"[0-9]{3}[.-][0-9]{4}"}
 
 # Fixed values of the gazetteer and the context labeler.
-_DOMAINS = "com|org|net|edu|gov|mil|int|info|io|co|eu|uk|de|fr|es|it|nl|us|ca|au|jp|cn|in|br"
+_DOMAINS = "[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|pro|aero|coop|museum|mobi|jobs|travel|app|dev|xyz|online|site|shop|blog|cloud|tech"  # two letters: a country's
 _WORDS = {
     "email": "e-?mail|mail|contact|write|reach|reply|correo|courriel|kontakt",
-    "ip": "ip|host|server|address|client|login|from|adresse|direcci[oó]n",
+    "ip": "ip|ipv6|host|server|address|client|login|from|adresse|direcci[oó]n",
     "card": "card|visa|mastercard|amex|credit|debit|payment|karte|carte|tarjeta",
     "phone": "phone|tel|telephone|call|mobile|cell|fax|contact|telefon|t[eé]l[eé]phone|tel[eé]fono",
 }
@@ -83,29 +91,32 @@ def passes(kind: str, raw: Column) -> Column:
 def _gazetteer(kind: str, raw: Column) -> Column:
     """1 or 0: a list knows what the span names."""
     if kind == "email":
-        known = F.regexp_like(raw, F.lit(rf"(?i)(?:\.|dot[\])\x20]*)(?:{_DOMAINS})$"))
+        known = F.regexp_like(raw, F.lit(rf"(?i)(?:\.|dot|\])[\])}}\x20]*(?:{_DOMAINS})$"))
     elif kind == "ip":
-        known = ~F.regexp_like(raw, F.lit(r"^0|\.0[0-9]|^127\.|^255\.|(?:^|\.)[0-9]{4,}|(?:^|\.)(?:25[6-9]|2[6-9][0-9]|[3-9][0-9]{2})(?:\.|$)"))
+        known = ~F.regexp_like(raw, F.lit(r"^0|\.0[0-9]|^127\.|^169\.254\.|^2(?:2[4-9]|[3-5][0-9])\.|^(?:::1?|[fF][eE]80:.*|2001:0?[dD][bB]8:.*)$|(?:^|\.)[0-9]{4,}|(?:^|\.)(?:25[6-9]|2[6-9][0-9]|[3-9][0-9]{2})(?:\.|$)"))
     elif kind == "card":
         known = F.regexp_like(_digits(raw), F.lit("^(?:4[0-9]{12}(?:[0-9]{3}){0,2}|(?:5[1-5]|2[2-7])[0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12}|3(?:0[0-5]|[68][0-9])[0-9]{11})$"))
     else:
-        known = F.regexp_like(_digits(raw), F.lit("^(?:1?[2-9][0-9]{2}[2-9][0-9]{6}|[2-9][0-9]{9,14})$"))
+        known = F.regexp_like(_digits(raw), F.lit("^(?:1?[2-9][0-9]{2}[2-9][0-9]{6}|[2-9][0-9]{9,14}|0[1-9][0-9]{7,12}|00[1-9][0-9]{7,14})$"))
     return known.cast("int")
 
 
-def _judged(text: Column, found: Column, kind: str, base: bool) -> Column:
-    """found with its kind's number, its check, its votes (1, 0 or -1 to abstain) and a bucket of its shape."""
+def _judged(found: Column, kind: str, base: bool) -> Column:
+    """found with its kind's number, its check, its votes (1, 0 or -1 to abstain) and its shape (0 to 7)."""
 
     def judge(s: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(s["start"] - _CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(_CONTEXT))))
-        edge = F.concat(F.substring(text, s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.lit("|"), F.substring(text, s["end"] + 1, F.lit(1)))
+        before = F.lower(s["before"])
+        edge = F.concat(F.right(s["before"], F.lit(1)), F.lit("|"), s["after"])
         near = F.when(F.regexp_like(before, F.lit(rf"\b(?:{_AGAINST})\b[^\n]{{0,12}}$")), 0).when(F.regexp_like(before, F.lit(rf"\b(?:{_WORDS[kind]})\b")), 1).otherwise(-1)
+        digits = _digits(s["raw"])
+        different = F.size(F.array_distinct(F.split(digits, ""))) >= 4
+        parts = F.regexp_count(s["raw"], F.lit("[^A-Za-z0-9]+")) >= 2
         return F.struct(
             s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"),
             (passes(kind, s["raw"]) if base else F.lit(False)).alias("base"),
             _gazetteer(kind, s["raw"]).alias("gazetteer"), near.alias("context"),
             F.when(F.regexp_like(edge, F.lit(r"[\p{L}\p{N}_]\||\|[\p{L}\p{N}_]")), 0).otherwise(1).alias("edges"),
-            F.least(F.length(_digits(s["raw"])) / 3, F.lit(7)).cast("int").alias("shape"),
+            ((F.length(digits) >= 10).cast("int") * 4 + parts.cast("int") * 2 + different.cast("int")).alias("shape"),
         )
 
     return F.transform(found, judge)
@@ -113,16 +124,15 @@ def _judged(text: Column, found: Column, kind: str, base: bool) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and spans: every candidate of each row of docs (doc_id, text), judged."""
-    none = F.array().cast("array<struct<start:int,end:int,raw:string>>")
-    text = F.coalesce(docs.text.cast("string"), F.lit(""))
-    raws = docs.select("doc_id", text.alias("text"))
+    raws = docs.select("doc_id", F.coalesce(docs.text.cast("string"), F.lit("")).alias("text"))
     for kind in KINDS:
-        raws = raws.withColumn(f"b_{kind}", F.when(F.regexp_like("text", F.lit(_HINT[kind])), spans(F.col("text"), BASE[kind])).otherwise(none))
+        raws = raws.withColumn(f"b_{kind}", F.when(F.regexp_like("text", F.lit(_HINT[kind])), told_spans(F.col("text"), BASE[kind])).otherwise(none()))
     for kind in WIDE:
-        raws = raws.withColumn(f"w_{kind}", F.when(F.regexp_like("text", F.lit(_WIDE_HINT[kind])), spans(F.col("text"), WIDE[kind])).otherwise(none))
+        rest = F.when(F.size(f"b_{kind}") > 0, masked(F.col("text"), BASE[kind])).otherwise(F.col("text"))
+        raws = raws.withColumn(f"w_{kind}", F.when(F.regexp_like("text", F.lit(_WIDE_HINT[kind])), told_spans(rest, WIDE[kind])).otherwise(none()))
     # digits that only a card's pattern meets are a card's failure in too many ways to be a candidate unless there are 13 or more
     raws = raws.withColumn("b_card", F.filter("b_card", lambda s: F.length(_digits(s["raw"])) >= 13))
-    judged = [_judged(F.col("text"), F.col(f"b_{k}"), k, True) for k in KINDS] + [_judged(F.col("text"), apart(F.col(f"w_{k}"), F.col(f"b_{k}")), k, False) for k in WIDE]
+    judged = [_judged(F.col(f"b_{k}"), k, True) for k in KINDS] + [_judged(F.col(f"w_{k}"), k, False) for k in WIDE]
     return raws.select("doc_id", F.concat(*judged).alias("spans"))
 
 

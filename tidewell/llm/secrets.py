@@ -1,27 +1,31 @@
 """Secret scan: patterns find candidates, and a random forest trained on labelled findings removes the false ones.
 
 The forest sees a candidate's length, its changes of character class, its digits and different characters, how much of it dictionary
-words cover, whether a path leads to it, and the words before it. Everything is DataFrame operations and Spark ML's trees.
+words cover, whether a path leads to it, and the words before it. The dictionary is the words of a public vocabulary (a path), some 20,000, and a few that run together. Everything is DataFrame operations and Spark ML's trees.
 """
 
 from __future__ import annotations
 
+import base64
+import re
+from functools import lru_cache
+
+import public_tokenizers
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spans import spans
+from .spans import told_spans
 
 #: Labelled findings that the forest is trained on, where none are given.
 LABELLED = 4_000
 TREES, DEPTH, SEED = 24, 7, 7
-_BEFORE = 48
 
 # Names that secrets are assigned to, public key formats, and words that make a value no secret.
 _NAMES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret|auth[_-]?key"
-_FORMATS = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bxox[baprs]-[A-Za-z0-9-]{10,}|\bsk_live_[A-Za-z0-9]{16,}|\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"
+_FORMATS = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bxox[baprs]-[A-Za-z0-9-]{10,}|\bsk_live_[A-Za-z0-9]{16,}|\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+|(?<=[Bb]earer\x20)[A-Za-z0-9._~+/-]{16,}={0,2}|(?<=:)(?<=://[^\s:/@]{1,64}:)[^\s:/@]{8,64}(?=@)"
 _SIGN = r"[\"']?[\x20\t]*+(?::=|=>|={1,2}|:)[\x20\t]*+"
 _VALUE = r"(?:\"[^\"\r\n]{8,}+\"|'[^'\r\n]{8,}+'|[\"']?[^\s\"'`,;<>(){}\[\]]{7,}[^\s\"'`,;<>(){}\[\].:?][\"']?)"
 # a whole run of word characters that holds a name; that a sign and a value come after the run is asked first, once a run, for linear time
@@ -40,20 +44,31 @@ _FALSE_WORDS = "example|sample|placeholder|dummy|fake|test|commit|sha1|sha256|md
 FEATURES = ("length", "transitions", "digits", "different", "dictionary", "assigned", "known_format", "path", "secret_word", "false_word")
 
 
-def candidates(docs: DataFrame, *keep: str) -> DataFrame:
+@lru_cache(maxsize=2)
+def dictionary(vocabulary: str) -> tuple[str, ...]:
+    """The words of four lower-case letters or more that the vocabulary file (tokens in base64 and their ranks) has with a space before them."""
+    with open(vocabulary, "rb") as f:
+        tokens = (base64.b64decode(line.split()[0]) for line in f if line.strip())
+        return tuple(sorted({t[1:].decode() for t in tokens if re.fullmatch(rb" [a-z]{4,}", t)}))
+
+
+def candidates(docs: DataFrame, *keep: str, vocabulary: str | None = None) -> DataFrame:
     """start, end (code points), value, and FEATURES of each candidate of docs (text, source), with the columns keep of docs."""
     text = F.coalesce(docs.text.cast("string"), F.lit(""))
-    cut_out = lambda s: F.substring(F.col("__tw_text"), F.greatest(s["start"] - _BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(_BEFORE)))
-    found = docs.select(*[docs[k] for k in keep], text.alias("__tw_text"), F.coalesce(docs.source.cast("string"), F.lit("")).alias("__tw_source"))
-    found = found.withColumn("__tw_all", spans(F.col("__tw_text"), CANDIDATE))
-    told = F.transform("__tw_all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["raw"].alias("raw"), cut_out(s).alias("before")))
-    rows = found.select(*keep, "__tw_source", F.explode(told).alias("__tw"))
+    found = docs.select(*[docs[k] for k in keep], F.coalesce(docs.source.cast("string"), F.lit("")).alias("__tw_source"), F.explode(told_spans(text, CANDIDATE)).alias("__tw"))
     assigned = F.regexp_extract("__tw.raw", rf"^{_NAMED}[\"']?(.{{8,}}?)[\"']?$", 1)
     value = F.when(assigned != "", assigned).otherwise(F.col("__tw.raw"))
-    return _features(rows.select(*keep, F.col("__tw.start").alias("start"), F.col("__tw.end").alias("end"), value.alias("value"), F.col("__tw.raw").alias("__tw_raw"), F.lower("__tw.before").alias("__tw_before"), F.lower("__tw_source").alias("__tw_source")))
+    rows = found.select(*keep, F.col("__tw.start").alias("start"), F.col("__tw.end").alias("end"), value.alias("value"), F.col("__tw.raw").alias("__tw_raw"), F.lower("__tw.before").alias("__tw_before"), F.lower("__tw_source").alias("__tw_source"))
+    return _features(rows, dictionary(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+def _covered(words: tuple[str, ...]) -> Column:
+    """How many characters of value are runs of letters that are words."""
+    known = ", ".join(f"'{w}'" for w in words)
+    return F.expr(f"aggregate(regexp_extract_all(value, '[A-Z]?[a-z]+|[A-Z]+', 0), 0, (n, w) -> n + if(lower(w) in ({known}), length(w), 0))")
 
 
-def _features(rows: DataFrame) -> DataFrame:
+def _features(rows: DataFrame, words: tuple[str, ...]) -> DataFrame:
     v, size = F.col("value"), F.greatest(F.length("value"), F.lit(1))
     around = F.concat_ws(" ", "__tw_before", F.lower("__tw_raw"))
     like = lambda c, r: F.regexp_like(c, F.lit(r)).cast("double")
@@ -62,7 +77,7 @@ def _features(rows: DataFrame) -> DataFrame:
         "transitions": F.regexp_count(v, F.lit("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[^A-Za-z0-9])[A-Za-z0-9]")) / size,
         "digits": F.length(F.regexp_replace(v, "[^0-9]", "")) / size,
         "different": F.size(F.array_distinct(F.split(v, ""))) / size,
-        "dictionary": 1 - F.length(F.regexp_replace(F.lower(v), "|".join(sorted(_DICTIONARY, key=len, reverse=True)), "")) / size,
+        "dictionary": F.greatest(1 - F.length(F.regexp_replace(F.lower(v), "|".join(sorted(_DICTIONARY, key=len, reverse=True)), "")) / size, _covered(words) / size),
         "assigned": like(F.col("__tw_raw"), f"^{_ASSIGNED}$"),
         "known_format": like(v, f"^(?:{_FORMATS})$"),
         "path": F.greatest(like(F.col("__tw_before"), r"/[^\s]*$"), like(F.col("__tw_source"), r"(?:^|[/_.-])(?:tests?|examples?|docs?|fixtures?|samples?)(?:$|[/_.-])")),
@@ -98,6 +113,10 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         F.concat(F.lit('SECRET_KEY  =  "'), signed, F.lit('" set')),
         F.concat(F.lit("my password: "), signed, F.lit(" is")),
         F.concat(F.lit("api_key_prod = "), F.left(alnum, F.lit(20)), F.lit(" go")),
+        F.concat(F.lit("Authorization: Bearer "), F.left(alnum, 24 + F.col("id").cast("int") % 16), F.lit(" and")),
+        F.concat(F.lit("at postgres://"), word("a"), F.lit(":"), mixed, F.lit("@db.internal/main")),
+        F.concat(F.lit('{"accessKey": "'), F.left("b64", F.lit(40)), F.lit('"}')),
+        F.concat(F.lit("passwd "), mixed, F.lit(" or pwd="), mixed),
     ]
     false = [
         F.concat(F.lit("set password="), word("a"), word("b"), F.lit("123 on it")),
@@ -114,6 +133,12 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         F.concat(F.lit('SECRET_KEY  =  "<'), word("a"), F.lit("-"), word("b"), F.lit('>" set')),
         F.concat(F.lit("my password: "), word("a"), F.lit("."), word("b"), F.lit("."), word("c"), F.lit(" is")),
         F.concat(F.lit("api_key_prod = "), word("a"), F.lit("."), word("b"), F.lit("_"), word("c"), F.lit(" go")),
+        F.concat(F.lit("src=data:image/png;base64,"), F.col("b64"), F.col("b64"), F.col("b64"), F.lit(" end")),
+        F.concat(F.lit('integrity="sha512-'), F.col("b64"), F.lit('" on')),
+        F.concat(F.lit("call "), word("a"), F.initcap(word("b")), F.initcap(word("c")), F.initcap(word("d")), F.lit("Impl2Factory3Bean it")),
+        F.concat(F.lit("password: ********"), F.lit(" and token=********")),
+        F.concat(F.lit("page /"), word("a"), F.lit("/"), word("b"), F.lit("-"), word("c"), F.lit("-2024-01-"), (F.col("id") % 28 + 1).cast("string"), F.lit("/"), F.left("hex", F.lit(12)), F.lit(" is")),
+        F.concat(F.lit('etag: "'), F.left("hex", F.lit(32)), F.lit('" set')),
     ]
     pick = lambda texts: F.element_at(F.array(*texts), (F.shiftright("id", 1) % len(texts) + 1).cast("int"))
     good = F.col("id") % 2
@@ -121,9 +146,9 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     return made.select(F.when(good == 1, pick(true)).otherwise(pick(false)).alias("text"), source.alias("source"), good.cast("double").alias("is_secret"))
 
 
-def train(findings: DataFrame) -> RandomForestClassificationModel:
+def train(findings: DataFrame, vocabulary: str | None = None) -> RandomForestClassificationModel:
     """The forest for findings (text, source, is_secret); bounded by the caller, who hands over a table of LABELLED rows by default."""
-    rows = _assembled(candidates(findings, "is_secret"))
+    rows = _assembled(candidates(findings, "is_secret", vocabulary=vocabulary))
     return RandomForestClassifier(featuresCol="__tw_features", labelCol="is_secret", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows)
 
 
@@ -131,13 +156,13 @@ def _assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="__tw_features").transform(rows)
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, findings: DataFrame | None = None, vocabulary: str | None = None) -> DataFrame:
     """doc_id, start, end, value_sha256, score and is_secret: a row for each candidate of each row of docs (doc_id, text, source).
 
-    start and end are code points of the candidate, end exclusive. score is the forest's probability of a secret, is_secret whether it is over a half.
+    start and end are code points of the candidate, end exclusive. score is the forest's probability of a secret, is_secret whether it is over a half; at just a half it isn't.
     Null and empty texts have no candidates, a null source says nothing. Rows that repeat are scanned each; other columns of docs are not read.
     """
-    model = train(findings if findings is not None else labelled_findings(docs.sparkSession))
-    judged = model.transform(_assembled(candidates(docs, "doc_id")))
+    model = train(findings if findings is not None else labelled_findings(docs.sparkSession), vocabulary)
+    judged = model.transform(_assembled(candidates(docs, "doc_id", vocabulary=vocabulary)))
     score = F.round(vector_to_array("probability")[1], 6)
     return judged.select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), F.sha2("value", 256).alias("value_sha256"), score.alias("score"), (F.col("prediction") > 0.5).alias("is_secret"))

@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
+from typing import NamedTuple
 
 import xxhash
 
@@ -116,6 +118,55 @@ def best_fit(lengths, capacity):
     return len(gaps)
 
 
+class Run(NamedTuple):
+    """Documents of `length` with ranks from `low` to below `high` go, `each` to a sequence, from sequence `first` on, the first of them at `offset`."""
+
+    length: int
+    low: int
+    high: int
+    first: int
+    each: int
+    offset: int
+
+
+def plan(counts: dict[int, int], capacity: int = 2048) -> list[Run]:
+    """The runs that best-fit decreasing gives for counts, a map of lengths (1 to capacity) to numbers of documents."""
+    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> (first sequence, sequences)
+    sizes: list[int] = []  # the gaps there are, sorted
+    runs, opened = [], 0
+
+    def put(gap: int, first: int, n: int) -> None:
+        if gap and n:
+            if not gaps[gap]:
+                insort(sizes, gap)
+            gaps[gap].append((first, n))
+
+    for length in sorted(counts, reverse=True):
+        rank, left = 0, counts[length]
+        while left:
+            i = bisect_left(sizes, length)
+            if i == len(sizes):
+                need = -(-left // (capacity // length))
+                gap, first, n, opened = capacity, opened, need, opened + need
+            else:
+                gap = sizes[i]
+                first, n = gaps[gap].pop()
+                if not gaps[gap]:
+                    sizes.pop(i)
+            each = gap // length
+            full = min(n, left // each)
+            if full:
+                runs.append(Run(length, rank, rank + full * each, first, each, capacity - gap))
+                rank, left = rank + full * each, left - full * each
+                put(gap - each * length, first, full)
+            if full < n and left:  # fewer than one sequence holds
+                runs.append(Run(length, rank, rank + left, first + full, left, capacity - gap))
+                put(gap - left * length, first + full, 1)
+                rank, left, full = rank + left, 0, full + 1
+            put(gap, first + full, n - full)
+    return runs
+
+
 def shared_runs(docs, n):
     """doc_id -> starts of runs of n words that another document has."""
     seen = defaultdict(set)

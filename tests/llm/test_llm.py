@@ -138,7 +138,7 @@ def test_plan_is_best_fit_decreasing():
     for _ in range(60):
         capacity = r.choice((10, 64, 100))
         lengths = [r.randint(1, capacity if r.random() < 0.5 else capacity // 3 or 1) for _ in range(r.randrange(200))]
-        runs = packing.plan({n: lengths.count(n) for n in set(lengths)}, capacity)
+        runs = brute.plan({n: lengths.count(n) for n in set(lengths)}, capacity)
         used, ranks = defaultdict(list), defaultdict(list)
         for run in runs:
             for k in range(run.high - run.low):

@@ -2,29 +2,28 @@
 
 A piece of the vocabulary holds the word mark only at its start, and none holds a line feed, so a text's tokens are those of its
 pre-tokens one by one: words with the space before them, and line feeds with what follows. Their lengths come from a table. Its
-first tier, the corpus's frequent pre-tokens, is broadcast; each worker adds what it misses to a bounded cache of its own. No
-pre-token is shuffled: to find the frequent ones each task counts its own and passes on its FREQUENT_PER_TASK most frequent. The table decides
-how fast a length is found, never what it is.
+first tier is broadcast: the pre-tokens that are frequent where the vocabulary was made, since those became its pieces. It is bound by the vocabulary's size, and no
+pass over the corpus is needed for it. What it misses each worker encodes once and keeps in a bounded cache of its own, from task to task, which so comes to hold what is
+frequent in this corpus. Nothing of pre-tokens is shuffled. The table decides how fast a length is found, never what it is.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import public_tokenizers
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import sentencepiece_model
+from .tokens import marked_pieces, sentencepiece_model
 
 LIMIT = 4096
-#: Entries of the broadcast table, of at most LONGEST characters each: 2 MB at most.
-FREQUENT, LONGEST = 32_768, 24
-FREQUENT_PER_TASK = 4_096
-#: A task's counter is cut to its more frequent half beyond so many entries, and a worker's cache is emptied.
-COUNTED, CACHED = 400_000, 400_000
+#: Characters of a pre-token of the broadcast table at most: 32,000 such are 2 MB at most. A worker's cache has four times as long ones.
+LONGEST = 24
+#: A worker's cache is emptied beyond so many entries.
+CACHED = 400_000
 MARK = "▁"
 
 
@@ -57,23 +56,21 @@ class Lengths(dict):
         return len(self.encode(text)) if words is None else sum(map(self.__getitem__, words))
 
 
-def _frequent_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counted: Counter[str] = Counter()
-    for b in batches:
-        for text in b.column("text"):
-            counted.update(pre_tokens(text.as_py() or "") or ())
-            if len(counted) > COUNTED:
-                counted = Counter(dict(counted.most_common(COUNTED // 2)))
-    most = [(w, n) for w, n in counted.most_common(FREQUENT_PER_TASK) if len(w) <= LONGEST]
-    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in most], pa.string()), pa.array([n for _, n in most], pa.int64())], names=["word", "n"])
+def frequent_lengths(model: str) -> dict[str, int]:
+    """Tokens of the pre-tokens that are pieces of the vocabulary with a mark."""
+    encode = sentencepiece_model(model)
+    pieces = (p[1:] for p in marked_pieces(model))
+    return {w: len(encode(w)) for w in pieces if w and MARK not in w and len(w) <= LONGEST}
 
 
-def frequent_lengths(docs: DataFrame, model: str) -> dict[str, int]:
-    """Tokens of the corpus's FREQUENT most frequent pre-tokens, as its tasks count them."""
-    found = docs.select(docs.text.alias("text")).mapInArrow(_frequent_of_task, "word string, n long")
-    rows = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    lengths = Lengths({}, sentencepiece_model(model))
-    return {r["word"]: lengths[r["word"]] for r in rows}
+#: This worker's tables by model, for as long as the worker lives.
+_TABLES: dict[str, Lengths] = {}
+
+
+def _lengths(model: str, frequent: Broadcast) -> Lengths:
+    if model not in _TABLES:
+        _TABLES[model] = Lengths(frequent.value, sentencepiece_model(model))
+    return _TABLES[model]
 
 
 def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -83,10 +80,10 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT)
     Rows that repeat are counted each; other columns of docs are not read.
     """
     model = model or public_tokenizers.path("piece_bpe_32k.model")
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, model))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(model))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = Lengths(frequent.value, sentencepiece_model(model))
+        lengths = _lengths(model, frequent)
         for b in batches:
             tokens = [lengths.count(t.as_py() or "") for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])

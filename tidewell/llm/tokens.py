@@ -49,3 +49,9 @@ def byte_bpe(ranks: str) -> Callable[[str], list[int]]:
 def sentencepiece_model(path: str) -> Callable[[str], list[int]]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     return lambda text: model.encode(text, num_threads=1)
+
+
+def marked_pieces(path: str) -> list[str]:
+    """The pieces of a sentencepiece vocabulary that begin with the word mark."""
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return [p for p in map(model.id_to_piece, range(model.get_piece_size())) if p.startswith("\u2581")]

@@ -10,13 +10,15 @@ value has most, none of its windows do. What the other windows cover of the item
 Templates say little of items with few literal words, and nothing of text without spaces. Items that a verbatim copy might not be found of by
 template windows are also matched by windows of their tokens as they stand: words, numbers, signs of arithmetic, single characters of scripts without spaces.
 
-Everything is DataFrame operations. The benchmark's windows are broadcast while they are few; no document text is shuffled.
+Items of equal templates whose values repeat in the same places are held by the same documents, so they are one class from the start: what is
+matched, and by op6 reported, is classes, however many items a benchmark makes of one template.
+
+Everything is DataFrame operations. Documents are read and made templates of once, for windows of all sizes. The benchmark's windows are broadcast while they are
+few; no document text is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,58 +81,67 @@ def _slot_value(words: str, values: str, k: str) -> str:
     return f"case get({words}, {k} - 1) {one(_NAME, 'names')} {one(_QUANTITY, 'quantities')} {one(_NUMBER, 'numbers')} end"
 
 
-def _windows(words: str, size: str) -> str:
-    return f"case when size({words}) >= {size} then transform(sequence(1, size({words}) - {size} + 1), i -> xxhash64(slice({words}, i, {size}))) else cast(array() as array<bigint>) end"
+def _windows(words: str, exact: bool, size: int) -> str:
+    """SQL: the windows of `size` words, each with its place (from 1) and a hash that those of other sizes and kinds don't share."""
+    one = f"i -> named_struct('pos', i, 'h', xxhash64({str(exact).lower()}, {size}, slice({words}, i, {size})))"
+    return f"case when size({words}) >= {size} then transform(sequence(1, size({words}) - {size} + 1), {one}) else cast(array() as array<struct<pos:int,h:bigint>>) end"
 
 
-def _items(benchmark: DataFrame, coverage: float) -> DataFrame:
-    """item (key of the text), exact, words, slots, size (of its windows), at (windows that count) and n_windows of each different item text.
+def _classed(benchmark: DataFrame, coverage: float) -> DataFrame:
+    """item_id, if benchmark has it, item (the class), words, slots, tokens, size (of template windows), at (those that count) and unsure of each item with a text.
 
-    A row with the template's windows that have LITERALS literal words, where there are such. Of a verbatim copy all these are found but those with the first or last
-    word, which what stands beside may change; where the others are too few, or there are none, another row has the windows of tokens (exact).
+    Of a verbatim copy all template windows are found but those with the first or last word, which what stands beside may change; where the others are too few, or there are none, the
+    item is unsure, and its tokens say whose class it is.
     """
-    texts = benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    out = texts.select(F.xxhash64("text").alias("item"), template(F.col("text")).alias("words"), slots(F.col("text")).alias("slots"), tokens(F.col("text")).alias("tokens"))
+    ids = ["item_id"] if "item_id" in benchmark.columns else []
+    text = F.col("__tw_text")
+    texts = benchmark.where("text is not null").select(*ids, F.col("text").cast("string").alias("__tw_text"))
+    out = texts.select(*ids, template(text).alias("words"), slots(text).alias("slots"), tokens(text).alias("tokens"))
     literal = f"size(filter(slice(words, i, size), w -> not w rlike '^[\ue000-\ue002]+$')) >= {LITERALS}"
-    sized = lambda df: df.withColumn("size", F.expr(f"least(size(words), {WINDOW})"))
     windows = "if(size > 0, sequence(1, size(words) - size + 1), cast(array() as array<int>))"
-    used = sized(out).withColumn("at", F.expr(f"filter({windows}, i -> {literal})"))
+    used = out.withColumn("size", F.expr(f"least(size(words), {WINDOW})")).withColumn("at", F.expr(f"filter({windows}, i -> {literal})"))
     inside = F.expr("size(filter(at, i -> i > 1 and i + size - 1 < size(words)))")
+    sure = used.withColumn("unsure", (F.size("at") == 0) | (inside < coverage * F.size("at")))
+    # where each value stands first
+    repeats = ", ".join(f"transform(slots.{k}, v -> array_position(slots.{k}, v))" for k in ("names", "quantities", "numbers"))
+    return sure.withColumn("item", F.expr(f"xxhash64(words, {repeats}, if(unsure, tokens, null))"))
+
+
+def _items(benchmark: DataFrame, coverage: float) -> DataFrame:
+    """item, exact, words, slots, size (of its windows), at (windows that count) and n_windows of each class: a row by its template, if that has windows, and one by its tokens (exact), if unsure."""
+    each = _classed(benchmark, coverage).groupBy("item").agg(F.first(F.struct("words", "slots", "tokens", "size", "at", "unsure")).alias("of")).select("item", "of.*")
     columns = ("item", "exact", "words", "slots", "size", "at")
-    by_template = used.where("size(at) > 0").withColumn("exact", F.lit(False)).select(*columns)
-    unsure = used.where((F.size("at") == 0) | (inside < coverage * F.size("at"))).select("item", F.lit(True).alias("exact"), F.col("tokens").alias("words"), "slots")
-    by_tokens = sized(unsure).where("size > 0").withColumn("at", F.expr(windows)).select(*columns)
+    by_template = each.where("size(at) > 0").withColumn("exact", F.lit(False)).select(*columns)
+    by_tokens = each.where("unsure").select("item", F.lit(True).alias("exact"), F.col("tokens").alias("words"), "slots").withColumn("size", F.expr(f"least(size(words), {WINDOW})"))
+    by_tokens = by_tokens.where("size > 0").withColumn("at", F.expr("sequence(1, size(words) - size + 1)")).select(*columns)
     return by_template.union(by_tokens).withColumn("n_windows", F.size("at"))
 
 
-def matches(docs: DataFrame, items: DataFrame, words_of: Callable[[Column], Column] = template) -> DataFrame:
-    """rk, doc_id, item, diagonal and at (the item's windows found on it, from 1): what each row of docs shares with each item."""
-    wanted = items.select("item", "size", F.explode("at").alias("at"), "words").select("item", "size", "at", F.expr("xxhash64(slice(words, at, size))").alias("h"))
-    wanted = cut(wanted)
-    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # WINDOW values at most
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """rk, doc_id, item, exact, diagonal and at (the item's windows found on it, from 1): what each row of docs shares with each row of items."""
+    one = "xxhash64(exact, size, slice(words, at, size))"
+    wanted = cut(items.select("item", "exact", "size", F.explode("at").alias("at"), "words").select("item", "exact", "size", "at", F.expr(one).alias("h")))
+    kinds = sorted(tuple(r) for r in wanted.select("exact", "size").distinct().collect())  # 2 * WINDOW values at most
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    words = docs.select(row_key(docs.doc_id, docs.text).alias("rk"), docs.doc_id.alias("doc_id"), words_of(docs.text).alias("words"))
-    found = None
-    for size in sizes:
-        hashed = words.select("rk", "doc_id", F.posexplode(F.expr(_windows("words", str(size)))).alias("pos", "h"))
-        some = hashed.join(wanted.where(F.col("size") == size), "h").select("rk", "doc_id", "item", (F.col("pos") + 1 - F.col("at")).alias("diagonal"), "at")
-        found = some if found is None else found.union(some)
-    if found is None:
-        found = words.where("false").select("rk", "doc_id", F.lit(0).cast("long").alias("item"), F.lit(0).alias("diagonal"), F.lit(1).alias("at"))
-    return found.groupBy("rk", "doc_id", "item", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    made = [f(docs.text).alias(c) for exact, f, c in ((False, template, "words"), (True, tokens, "tokens")) if any(k[0] == exact for k in kinds)]
+    texts = docs.select(row_key(docs.doc_id, docs.text).alias("rk"), docs.doc_id.alias("doc_id"), *made)
+    windows = ", ".join(_windows("tokens" if exact else "words", exact, size) for exact, size in kinds) or "cast(array() as array<struct<pos:int,h:bigint>>)"
+    hashed = texts.select("rk", "doc_id", F.explode(F.expr(f"concat({windows})")).alias("w")).select("rk", "doc_id", "w.pos", "w.h")
+    found = hashed.join(wanted, "h").select("rk", "doc_id", "item", "exact", (F.col("pos") - F.col("at")).alias("diagonal"), "at")
+    return found.groupBy("rk", "doc_id", "item", "exact", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("at"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """rk, doc_id, item, n_windows, n_found and coverage: the items that each row of docs (doc_id, text) holds to `coverage` or more.
+    """rk, doc_id, item, n_windows, n_found and coverage: the classes of items that each row of docs (doc_id, text) holds to `coverage` or more.
 
     Null and empty texts hold nothing; null items, and those without letters, digits and signs of arithmetic, are held by nothing. An item as short as one word is held
     wherever the word stands. Rows of docs equal
-    in doc_id and text are judged as one. Equal item texts are one item.
+    in doc_id and text are judged as one. Items of equal texts, or of equal templates with equal values in the same places, are one class.
     """
     both = cut(_items(benchmark, coverage))
-    items, exact = both.where("not exact"), both.where("exact")
-    found = cut(matches(docs, items))
+    all_found = cut(matches(docs, both))
+    found, items, exact = all_found.where("not exact"), both.where("not exact"), both.where("exact")
     hit = cut(found.select("rk").distinct())
     hit = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit
     keyed = docs.select(row_key(docs.doc_id, docs.text).alias("rk"), docs.text.alias("text"))
@@ -147,7 +158,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     consistent = paired.withColumn("at", F.expr(f"if({agree}, at, {left})"))
     judged = consistent.where("size(at) > 0").groupBy("rk", "doc_id", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_found"))
     if not exact.isEmpty():
-        verbatim = matches(docs, exact, tokens).join(exact.select("item", "n_windows"), "item")
+        verbatim = all_found.where("exact").join(exact.select("item", "n_windows"), "item")
         counted = verbatim.groupBy("rk", "doc_id", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_found"))
         # the better of the two
         best = F.max(F.struct((F.col("n_found") / F.col("n_windows")).alias("share"), "n_windows", "n_found")).alias("best")
@@ -155,10 +166,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     return judged.withColumn("coverage", F.col("n_found") / F.col("n_windows")).where(F.col("coverage") >= coverage)
 
 
+def classes(benchmark: DataFrame) -> DataFrame:
+    """item_id and class: which items are held by the same documents. Items without a text have no class."""
+    return _classed(benchmark, COVERAGE).select("item_id", F.col("item").alias("class"))
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, n_found, coverage: a row for each document and benchmark item that it holds; see contaminated()."""
-    names = benchmark.where("text is not null").select(F.xxhash64(F.col("text").cast("string")).alias("item"), "item_id")
-    return contaminated(docs, benchmark).join(names, "item").select("doc_id", "item_id", F.col("n_windows").cast("long"), F.col("n_found").cast("long"), "coverage")
+    held = contaminated(docs, benchmark).join(classes(benchmark).withColumnRenamed("class", "item"), "item")
+    return held.select("doc_id", "item_id", F.col("n_windows").cast("long"), F.col("n_found").cast("long"), "coverage")
+
+
+def report_classes(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_items, n_windows, n_found, coverage: as report(), but one row for a class of items, with its least item_id (null if all are null) and its size."""
+    named = classes(benchmark).groupBy(F.col("class").alias("item")).agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
+    held = contaminated(docs, benchmark).join(named, "item")
+    return held.select("doc_id", "item_id", "n_items", F.col("n_windows").cast("long"), F.col("n_found").cast("long"), "coverage")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

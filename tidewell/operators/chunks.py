@@ -77,4 +77,4 @@ def top(rows: DataFrame, by: str, n: int, *tie: str) -> DataFrame:
 
 def random_pick(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows in an order that seed shuffles, the same on every run."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

@@ -24,18 +24,19 @@ def block_size(rows: int) -> int:
     return max(64, min(BLOCK, -(-rows // LEAST_BLOCKS)))
 
 
-def similar_pairs(vectors: DataFrame, rows: int, window: int | None = None, other_author: bool = False) -> DataFrame:
+def similar_pairs(vectors: DataFrame, rows: int, window: int | None = None, other_author: bool = False, since: int = 0) -> DataFrame:
     """j, i and sim of the pairs of rows with pos j < i, sim = dot product >= i's tau, and i - j <= window if there is one.
 
     vectors: pos (from 0, without gaps, `rows` of them), vec, tau, author. Rows without a vector have no pairs. other_author: only pairs of
-    different authors.
+    different authors. since: only pairs whose i is there or later; blocks that lie before it don't meet each other.
     """
     size = block_size(rows)
     blocks = max(1, -(-rows // size))
     reach = blocks if window is None else -(-window // size)
     placed = vectors.where("vec is not null").select("pos", "vec", "tau", "author", F.expr(f"int(pos div {size})").alias("block"))
     lo, hi = F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, F.lit(blocks - 1))
-    met = placed.withColumn("with", F.explode(F.sequence(lo, hi))).withColumn("early", F.least("block", "with")).withColumn("late", F.greatest("block", "with"))
+    lo = F.when(F.col("block") < since // size, F.greatest(lo, F.lit(since // size))).otherwise(lo)
+    met = placed.where(lo <= hi).withColumn("with", F.explode(F.sequence(lo, hi))).withColumn("early", F.least("block", "with")).withColumn("late", F.greatest("block", "with"))
 
     def multiply(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("pos")
@@ -45,7 +46,7 @@ def similar_pairs(vectors: DataFrame, rows: int, window: int | None = None, othe
         sim = np.stack(b.vec.to_list()) @ np.stack(a.vec.to_list()).T  # late by early
         i, j = np.nonzero(sim >= b.tau.to_numpy()[:, None])
         pi, pj = b.pos.to_numpy()[i], a.pos.to_numpy()[j]
-        keep = pj < pi
+        keep = (pj < pi) & (pi >= since)
         if window is not None:
             keep &= pi - pj <= window
         if other_author:

@@ -213,11 +213,34 @@ def gap_profile(spark, sf_dir):
     return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
 
 
-@query()
+def _noisy(k: int) -> str:
+    return f"(p.sim + (((p.lo * 31 + p.hi * 17 + {k}) % 1000) / 1000.0 - 0.5) * {k * 0.2})"
+
+
+_EACH = " UNION ALL ".join(f"""
+SELECT '{name}' AS model, story, avg(won) AS auc FROM (
+  SELECT p.story, ((SELECT count(*) FROM noisy{k} q WHERE q.y = 0 AND q.s < p.s) + 0.5 * (SELECT count(*) FROM noisy{k} q WHERE q.y = 0 AND q.s = p.s)) / (SELECT count(*) FROM noisy{k} q WHERE q.y = 0) AS won
+  FROM noisy{k} p WHERE p.y = 1) GROUP BY story HAVING count(*) >= 3""" for k, name in enumerate(("plain", "noisy", "noisiest")))
+
+
+@query("WITH " + _SCORED + "".join(f", noisy{k} AS MATERIALIZED (SELECT lo, hi, y, story, {_noisy(k)} AS s FROM scored p)" for k in range(3)) + f""",
+each AS ({_EACH}),
+wide AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY story) - 1 AS nth, * FROM (
+    SELECT story, max(auc) FILTER (WHERE model = 'plain') AS m0, max(auc) FILTER (WHERE model = 'noisy') AS m1, max(auc) FILTER (WHERE model = 'noisiest') AS m2 FROM each GROUP BY story)
+  WHERE m0 IS NOT NULL AND m1 IS NOT NULL AND m2 IS NOT NULL),
+n AS (SELECT count(*) AS n FROM wide),
+drawn AS (SELECT k, (('0x' || substr(md5('42:' || k || ':' || j), 1, 8))::BIGINT) % n AS nth FROM n, range(20000) a(k), range((SELECT n FROM n)) b(j)),
+means AS (SELECT k, avg(m0) AS m0, avg(m1) AS m1, avg(m2) AS m2 FROM drawn JOIN wide USING (nth) GROUP BY k),
+d AS (SELECT 'plain' AS a, 'noisy' AS b, m0 - m1 AS d FROM means UNION ALL SELECT 'noisy', 'noisiest', m1 - m2 FROM means UNION ALL SELECT 'plain', 'noisiest', m0 - m2 FROM means),
+w AS (SELECT avg(m0) AS m0, avg(m1) AS m1, avg(m2) AS m2 FROM wide),
+whole AS (SELECT 'plain' AS a, 'noisy' AS b, m0 - m1 AS delta FROM w UNION ALL SELECT 'noisy', 'noisiest', m1 - m2 FROM w UNION ALL SELECT 'plain', 'noisiest', m0 - m2 FROM w)
+SELECT a, b, round(any_value(delta), 6) AS delta, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, round(avg((d > 0)::INT), 6) AS p, quantile_cont(d, 0.025) > 0 AS significant
+FROM d JOIN whole USING (a, b) GROUP BY a, b""")
 def bootstrap_models(spark, sf_dir):
-    """Three models of more and more noise, on the same stories; resampling has no counterpart in SQL."""
+    """Three models of more and more noise, on the same stories."""
     pairs, s = scored(spark, sf_dir), stories(spark, sf_dir)
-    noise = lambda k: (F.pmod(F.xxhash64("lo", "hi", F.lit(k)), F.lit(1000)) / 1000 - 0.5) * k * 0.2
+    noise = lambda k: ((F.col("lo") * 31 + F.col("hi") * 17 + k) % 1000 / 1000 - 0.5) * (k * 0.2)
     each = None
     for k, name in enumerate(("plain", "noisy", "noisiest")):
         one = metrics.story_auc(pairs.withColumn("sim", F.col("sim") + noise(k)), s).select(F.lit(name).alias("model"), "story", "auc")

@@ -13,10 +13,13 @@ _dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir, or below a temporary folder where that is unset, as in tests."""
+    """This application's folder below spark.checkpoint.dir, or below a temporary folder where that is unset and all runs on one machine, as in tests."""
     app = spark.sparkContext.applicationId
     if app not in _dirs:
-        _dirs[app] = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tidewell-')).rstrip('/')}/tidewell-{uuid.uuid4().hex}"
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        _dirs[app] = f"{(top or tempfile.mkdtemp(prefix='tidewell-')).rstrip('/')}/tidewell-{uuid.uuid4().hex}"
         atexit.register(delete, spark, _dirs[app])
     return _dirs[app]
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import blank_to_null
@@ -49,6 +49,11 @@ def preset(value: object) -> float:
     return next((p for p in PRESETS if value == p), DEFAULT_TAU)
 
 
+def preset_of(value: Column) -> Column:
+    """preset() of a column."""
+    return F.when(value.isin(*PRESETS), value).otherwise(F.lit(DEFAULT_TAU))
+
+
 @dataclass(frozen=True)
 class Limits:
     """Texts of a call, cached vectors of a worker, failures in a row that open the circuit, and the seconds it stays open."""
@@ -122,6 +127,12 @@ def embedded(posts: DataFrame, embed: Embedder, text: str = "text", prompt: str
     return keyed.join(vectors, "__text", "left").drop("__text")
 
 
+def embedded_by(posts: DataFrame, vectors: DataFrame, text: str = "text") -> DataFrame:
+    """posts with vec from vectors (text, vec), a model's vectors of trimmed texts as a table; null for blank texts and those that it lacks."""
+    keyed = posts.withColumn("__text", blank_to_null(text))
+    return keyed.join(vectors.select(F.col("text").alias("__text"), "vec"), "__text", "left").drop("__text")
+
+
 def pieces_known(unknown: int, most: int = 1) -> None:
     """Refuses a tokenizer that knows too little of a plain sentence."""
     if unknown > most:

@@ -77,5 +77,5 @@ def described(labels: DataFrame, posts: DataFrame, known: DataFrame) -> DataFram
 
     texts = posts.where("text is not null and text != ''").select("id", one_line("text").alias("line"))
     first = labels.join(texts, "id").groupBy("story").agg(F.min_by("line", "id").alias("line"))
-    said = known.where("label is not null and label != '' and label != story").select("story", "label")
+    said = known.where("label is not null and label != '' and label != string(story)").select("story", "label")
     return labels.select("story").distinct().join(said, "story", "left").join(first, "story", "left").select("story", F.coalesce("label", "line", F.col("story").cast("string")).alias("label"))

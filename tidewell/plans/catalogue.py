@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clusters, evaluation, texts, timelines  # noqa: F401
+from . import clusters, evaluation, stores, texts, timelines  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

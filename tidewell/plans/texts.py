@@ -16,7 +16,8 @@ from ..schemas import table, vectors_of
 from ..sources import html
 from ..storage import shared_dir
 from ..streaming.engine import Engine
-from .registry import query
+from . import clusters as _clusters  # noqa: F401  (its queries come first)
+from .registry import SQL, query
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +213,7 @@ def _streamed(spark: SparkSession, sf_dir: str, tuning: Tuning) -> DataFrame:
     return engine.state()
 
 
-@query()
+@query(SQL["cluster_stats"])
 def stream_stats(spark, sf_dir):
     from ..operators.cluster import stats
 

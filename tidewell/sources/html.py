@@ -146,6 +146,16 @@ def quoted_text(html: str) -> str:
     return parse(html).text(alt=True).strip("\n")
 
 
+def quoted_texts(rows: DataFrame, key: str) -> DataFrame:
+    """key (a long) and quoted, the quoted_text() of each of rows (key, html)."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "quoted": [quoted_text(h) for h in b.html]})
+
+    return rows.select(key, "html").mapInPandas(read, f"{key} bigint, quoted string")
+
+
 def trend_of(cell: str | Column) -> Column:
     """The name in the text of a trend's cell; null for an advertisement or if no line is one."""
     # fixed values: what lines of a cell that are no name look like

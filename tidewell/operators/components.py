@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, scoped
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,6 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return least.union(moved).toDF("a", "b")
 
 
+@scoped
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b: of one type that has an order); root is the smallest node of its component.
 

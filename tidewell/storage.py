@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +37,36 @@ def delete(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, so that neither its plan nor lost executors cost it again."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables that functions under way have cut, those of the innermost last.
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+def scoped(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, whose result is cut as the last of its tables; the others are deleted when it returns or fails, so that disk is held for what is under way only."""
+
+    @wraps(f)
+    def run(*args: object, **named: object) -> DataFrame:
+        _scopes.append([])
+        try:
+            found = f(*args, **named)
+            own = _scopes.pop()
+            try:
+                return cut(found)
+            finally:
+                _scopes.append(own)
+        finally:
+            for spark, path in _scopes.pop():
+                delete(spark, path)
+
+    return run
+
+
 def numbered(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     """df with the position of each row, from 0, in the total order of the columns `order`.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut  # noqa: F401
+from ..storage import cut, scoped  # noqa: F401
 
 #: White space that ends a word, as Python's bytes.split() has it: space, and tab to carriage return.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, row_key
+from .common import cut, row_key, scoped
 
 #: Shorter lines (in characters, trimmed) are duplicates only of equal ones.
 MIN_FUZZY = 20
@@ -86,6 +86,7 @@ def _variants(segments: DataFrame) -> DataFrame:
     return own.union(segments.where("short").select(F.xxhash64("key", "part"), F.lit(-1), "h", "first"))
 
 
+@scoped
 def near_duplicates(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """h and near: each distinct line that is one edit from an earlier one, and the earliest such (struct first, h)."""
     suspects = _suspects(lines, distinct)
@@ -105,11 +106,12 @@ def near_duplicates(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     return both.where(F.levenshtein("line", "near_line", MAX_EDITS) >= 0).select("h", "near")
 
 
+@scoped
 def _kept(docs: DataFrame) -> DataFrame:
     """rk and kept: the numbers of the lines that each document keeps, in order."""
     lines = lines_of(docs)
     distinct = cut(distinct_lines(lines))
-    near = cut(near_duplicates(lines, distinct).select("h"))
+    near = near_duplicates(lines, distinct).select("h")
     kept = distinct.select("h", "first.rk", "first.pos").join(near, "h", "left_anti")
     return kept.groupBy("rk").agg(F.collect_list("pos").alias("kept"))
 

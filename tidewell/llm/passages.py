@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, row_key
+from .common import cut, row_key, scoped
 from .components import components
 
 SHINGLE = 5
@@ -192,16 +192,17 @@ def units(docs: DataFrame) -> DataFrame:
     return named.mapInArrow(_units, _SCHEMA)
 
 
-def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """h, shingles, size and shared (how many of them another paragraph has, too) of the classes among members (h, at)."""
-    places = cut(members.select("h", F.col("at.rk").alias("rk"), F.col("at.line").alias("line")).distinct())
+@scoped
+def _sets(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """h, shingles, size and shared (how many of them another paragraph has, too) of those of classes (h, at) that are among members (h)."""
+    places = cut(classes.select("h", F.col("at.rk").alias("rk"), F.col("at.line").alias("line")).join(members.select("h").distinct(), "h", "left_semi"))
     wanted = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
     texts = docs.select(row_key(docs.doc_id, docs.text).alias("rk"), docs.text.alias("text")).join(wanted, "rk")
     found = texts.select("h", F.get(F.split("text", "\n"), F.col("line")).alias("text")).dropDuplicates(["h"]).mapInArrow(_shingle_sets, "h long, shingles array<long>")
     sets = cut(found)
     of = sets.select("h", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("h").alias("h"), F.max("h").alias("hi")).where("h = hi")
     own = of.groupBy("h").agg(F.count("*").alias("own"))
-    return cut(sets.join(own, "h", "left").select("h", "shingles", F.size("shingles").alias("size"), (F.size("shingles") - F.coalesce("own", F.lit(0))).cast("int").alias("shared")))
+    return sets.join(own, "h", "left").select("h", "shingles", F.size("shingles").alias("size"), (F.size("shingles") - F.coalesce("own", F.lit(0))).cast("int").alias("shared"))
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -219,6 +220,7 @@ def _open(members: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(placed.join(several, "bucket", "left_semi"))
 
 
+@scoped
 def similar_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(h, root) of the paragraph classes that are similar to others; root is the least of the component.
 
@@ -228,11 +230,11 @@ def similar_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     that the bounds admit, by size and by what each has in common with the hub, so no pair at SIMILAR that meets in a bucket is missed; and
     copies with edits of their own, of which there may be thousands in a bucket, are admitted to few.
     """
-    classes = paragraphs.groupBy("h").agg(F.min(F.struct("rk", "line")).alias("at"), F.first("bands").alias("bands"))
-    entered = cut(classes.select("h", "at", F.explode("bands").alias("bucket")))
+    classes = cut(paragraphs.groupBy("h").agg(F.min(F.struct("rk", "line")).alias("at"), F.first("bands").alias("bands")))
+    entered = classes.select("h", F.explode("bands").alias("bucket"))
     often = entered.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     met = cut(entered.join(often, "bucket", "left_semi"))
-    sets = _sets(docs, met)
+    sets = _sets(docs, classes, met)
     able = cut(met.select("bucket", "h").join(sets.where(F.col("shared") >= SIMILAR * F.col("size")).select("h", "size", "shared"), "h"))
     crowd = able.join(able.groupBy("bucket").agg(F.count("*").alias("n")), "bucket").groupBy("h").agg(F.sum("n").alias("meets"))
     members = cut(able.join(crowd, "h"))
@@ -261,11 +263,12 @@ def similar_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return components(edges).withColumnRenamed("node", "h")
 
 
+@scoped
 def _near(docs: DataFrame, all_units: DataFrame) -> DataFrame:
     """The paragraphs of components that several documents have: first without those below MIN_WORDS, then components that have such."""
     paragraphs = all_units.where("bands is not null")
     long = paragraphs.where(F.col("n") >= MIN_WORDS)
-    roots = cut(similar_paragraphs(docs, long))
+    roots = similar_paragraphs(docs, long)
     # a pair with a short one is among the few; pairs of others are in roots
     linked = cut(roots.union(similar_paragraphs(docs, paragraphs.where("few"))).where("h != root").toDF("a", "b"))
     return _grouped(long, roots, "paragraph").unionByName(_grouped(paragraphs, components(linked).withColumnRenamed("node", "h"), "short"))
@@ -279,6 +282,7 @@ def _grouped(paragraphs: DataFrame, roots: DataFrame, kind: str) -> DataFrame:
     return rooted.join(groups, "component").select("doc_id", F.lit(kind).alias("kind"), F.col("start").alias("start_word"), (F.col("start") + F.col("n")).alias("end_word"), "component", "first_doc_id")
 
 
+@scoped
 def _more(docs: DataFrame, spans: DataFrame, islands: DataFrame) -> DataFrame:
     """rk, start, side, shared and later: by how many words what several documents have goes on before (side 0) or after (1) the block at start, and as far as another has it first."""
     edges = islands.select(F.col("h0").alias("h"), F.lit(0).alias("side")).union(islands.select("h1", F.lit(1))).distinct()
@@ -297,6 +301,7 @@ def _more(docs: DataFrame, spans: DataFrame, islands: DataFrame) -> DataFrame:
     return runs.select("doc_id", "rk", "start", "side", "all").join(told, "all").select("rk", "start", "side", "shared", later.alias("later")).distinct()
 
 
+@scoped
 def _verbatim(docs: DataFrame, all_units: DataFrame) -> DataFrame:
     """The spans of what several documents have; a component is a span of the document that has its blocks first."""
     blocks = all_units.where("bands is null").select("doc_id", "rk", "start", "h")
@@ -310,7 +315,7 @@ def _verbatim(docs: DataFrame, all_units: DataFrame) -> DataFrame:
     named = spans.join(firsts, "h", "left")
     edges = [F.min("start").alias("s0"), F.max("start").alias("s1"), F.min_by("h", "start").alias("h0"), F.max_by("h", "start").alias("h1")]
     islands = cut(named.groupBy("rk", "doc_id", "later", "island").agg(*edges, F.min("component").alias("component"), F.min("first_doc_id").alias("first_doc_id")))
-    more = cut(_more(docs, spans, islands))
+    more = _more(docs, spans, islands)
     for side in (0, 1):
         own = more.where(F.col("side") == side).select("rk", F.col("start").alias(f"s{side}"), F.col("shared").alias(f"all{side}"), F.col("later").alias(f"later{side}"))
         islands = islands.join(own, ["rk", f"s{side}"], "left").fillna(0, [f"all{side}", f"later{side}"])
@@ -323,6 +328,7 @@ def _verbatim(docs: DataFrame, all_units: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lit("passage").alias("kind"), "p.start_word", "p.end_word", "component", "p.first_doc_id")
 
 
+@scoped
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, kind (passage, paragraph or short), start_word, end_word, component, first_doc_id and removed: what documents share with others.
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import cut, row_key, scoped
 from .components import components
 
 SEED = 42
@@ -114,6 +114,7 @@ def links(distinct: DataFrame) -> DataFrame:
     return near.union(stars)
 
 
+@scoped
 def groups(prints: DataFrame) -> DataFrame:
     """(fp, root): for each distinct fingerprint the least one, as a signed long, that it is linked with, itself included."""
     distinct = cut(prints.select("fp").distinct())
@@ -129,7 +130,7 @@ def assign(docs: DataFrame) -> DataFrame:
     null component_id. Other columns of docs are not read.
     """
     prints = cut(fingerprints(docs))
-    roots = cut(groups(prints))
+    roots = groups(prints)
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     named = least.join(roots, "fp")
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))

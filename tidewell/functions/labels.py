@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from .text import one_line
 
 def largest_object(text: str | None) -> str | None:
     """The longest balanced part of text, from a brace on, that is a JSON object; None without one."""
-    text = re.sub(r"```(?:json)?", "", text or "")
+    text = text or ""
     opened: list[int] = []
     closes: dict[int, int] = {}
     for i, c in enumerate(text):

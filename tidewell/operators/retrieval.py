@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..storage import cut
+from ..storage import cut, numbered
 
 #: Stories for each post, shown of these, and of the biggest.
 PER_POST, SHOWN, BIGGEST = 8, 400, 60
 FEATURES = 200_000
+#: Stories of a block, and words whose grams a worker keeps.
+BLOCK, KEPT_WORDS = 4_096, 100_000
+_BLANK = re.compile("[ \t\n\x0b\f\r]+")
 
 
 def char_ngrams(df: DataFrame, text: str, low: int = 3, high: int = 5, known: DataFrame | None = None) -> DataFrame:
@@ -47,14 +59,102 @@ def fit(stories: DataFrame, features: int = FEATURES) -> DataFrame:
     return counted.crossJoin(F.broadcast(stories.agg(F.count("*").alias("n")))).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+class Block:
+    """Stories from position `first` on as weights by feature, for products with texts."""
+
+    def __init__(self, first: int, stories: np.ndarray, features: np.ndarray, weights: np.ndarray, n_features: int):
+        order = np.argsort(features, kind="stable")
+        self.first, self.n = first, int(stories.max()) + 1 - first if len(stories) else 0
+        self.stories, self.weights = stories[order] - first, weights[order]
+        self.starts = np.searchsorted(features[order], np.arange(n_features + 1))
+
+    def sims(self, features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The dot product of a text (different features and their weights) with each story."""
+        lengths = self.starts[features + 1] - self.starts[features]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[features] - (ends - lengths), lengths)
+        return np.bincount(self.stories[at], np.repeat(weights, lengths) * self.weights[at], self.n)
+
+
+class Grams:
+    """The features of texts that are lower-cased: their n-grams' numbers, as char_ngrams() has them. Those of words are kept while there are few."""
+
+    def __init__(self, numbers: dict[str, int], low: int = 3, high: int = 5):
+        self.numbers, self.low, self.high = numbers, low, high
+        self.of: dict[str, list[int]] = {}
+
+    def of_word(self, word: str) -> list[int]:
+        found = self.of.get(word)
+        if found is None:
+            padded = f" {word} "
+            grams = [padded[i : i + n] for n in range(self.low, self.high + 1) for i in range(len(padded) - n + 1)] or [padded]
+            found = [x for x in map(self.numbers.get, grams) if x is not None]
+            if len(self.of) > KEPT_WORDS:
+                self.of.clear()
+            if len(word) <= 64:
+                self.of[word] = found
+        return found
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The different features of a text and how often they come."""
+        words = Counter(w for w in _BLANK.split(text) if w)
+        ids = [self.of_word(w) for w in words]
+        features = np.fromiter(chain.from_iterable(ids), np.int64)
+        times = np.repeat(np.fromiter(words.values(), np.float64, len(words)), np.fromiter(map(len, ids), np.int64, len(ids)))
+        found, at = np.unique(features, return_inverse=True)
+        return found, np.bincount(at, times, len(found))
+
+
 def nearest(posts: DataFrame, stories: DataFrame, k: int = PER_POST) -> DataFrame:
-    """post, story, sim and rank (from 1): the k stories (story, text) most similar to each of posts (post, text), of those that share a gram."""
+    """post, story, sim and rank (from 1): the k stories (story, text) most similar to each of posts (post, text; post is unique), of those that share a gram.
+
+    The grams known are FEATURES at most. Stories go to the workers in blocks of BLOCK; each block is multiplied with batches of posts where these are, and only the
+    k nearest of a block go on. No post is shuffled, and no gram is a key that many rows meet at.
+    """
+    spark = posts.sparkSession
     idf = cut(fit(stories))
-    a = weighted(char_ngrams(posts.select("post", "text"), "text", known=idf), idf, "post")
-    b = weighted(char_ngrams(stories.select("story", "text"), "text"), idf, "story").withColumnRenamed("w", "v")
-    sims = a.join(b, "gram").groupBy("post", "story").agg(F.sum(F.col("w") * F.col("v")).alias("sim")).where("sim > 0")
-    ranked = sims.withColumn("rank", F.row_number().over(W.partitionBy("post").orderBy(F.desc(F.round("sim", 9)), "story")))
-    return ranked.where(F.col("rank") <= k)
+    vectors = weighted(char_ngrams(stories.select("story", "text"), "text"), idf, "story")
+    places = cut(numbered(stories.select("story").distinct(), "story"))
+    told = idf.orderBy("gram").collect()  # FEATURES rows at most
+    numbers = spark.sparkContext.broadcast({r["gram"]: i for i, r in enumerate(told)})
+    rare = spark.sparkContext.broadcast(np.array([r["idf"] for r in told]))
+    placed = cut(vectors.join(places, "story").select("pos", "gram", "w"))
+    found = None
+    for first in range(0, places.count(), BLOCK):
+        rows = placed.where(F.col("pos").between(first, first + BLOCK - 1)).toPandas()
+        at = rows["gram"].map(numbers.value).to_numpy(np.int64)
+        block = spark.sparkContext.broadcast(Block(first, rows["pos"].to_numpy(np.int64), at, rows["w"].to_numpy(np.float64), len(told)))
+        part = posts.select("post", F.lower("text").alias("text")).mapInArrow(_multiplier(numbers, rare, block, k), T.StructType([posts.schema["post"], *_SIMS]))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return posts.select("post").join(stories.select("story"), F.lit(False)).select("post", "story", F.lit(0.0).alias("sim"), F.lit(1).alias("rank"))
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("post").orderBy(F.desc(F.round("sim", 9)), "pos")))
+    return ranked.where(F.col("rank") <= k).join(places, "pos").select("post", "story", "sim", "rank")
+
+
+_SIMS = [T.StructField("pos", T.LongType()), T.StructField("sim", T.DoubleType())]
+
+
+def _multiplier(numbers: Broadcast, rare: Broadcast, block: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, idf, these = Grams(numbers.value), rare.value, block.value
+        for b in batches:
+            take, pos, near = [], [], []
+            for i, text in enumerate(b.column("text")):
+                features, times = grams.counts(text.as_py() or "")
+                w = times * idf[features]
+                length = np.sqrt(w @ w)
+                if not length:
+                    continue
+                sims = these.sims(features, w / length)
+                able = np.flatnonzero(sims > 0)
+                best = able[np.lexsort((able, -np.round(sims[able], 9)))[:k]]
+                take += [i] * len(best)
+                pos += (best + these.first).tolist()
+                near += sims[best].tolist()
+            yield pa.RecordBatch.from_arrays([b.column("post").take(pa.array(take, pa.int64())), pa.array(pos, pa.int64()), pa.array(near, pa.float64())], names=["post", "pos", "sim"])
+
+    return multiply
 
 
 def round_robin(near: DataFrame, budget: int = SHOWN) -> DataFrame:

@@ -33,6 +33,8 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What of the base matches hides text from the wider patterns, where that isn't all: short numbers may be parts of a card.
+_MASKED = {"card": r"[0-9](?:[\x20-]?[0-9]){12,}+"}
 #: What a text must match for any span of the kind to be possible.
 _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: Wider patterns, searched where the base pattern of their kind has no match.
@@ -88,6 +90,13 @@ def passes(kind: str, raw: Column) -> Column:
     return n.between(10, 15) if kind == "phone" else F.when(n.between(14, 19), luhn(_digits(raw))).otherwise(False)
 
 
+def _passes_wide(kind: str, raw: Column) -> Column:
+    """The check of a wider pattern's match: that of the kind, but for how it is written."""
+    if kind == "ip":
+        return F.when(raw.contains("[.]"), passes(kind, F.replace(raw, F.lit("[.]"), F.lit(".")))).otherwise(True)
+    return passes(kind, raw)
+
+
 def _gazetteer(kind: str, raw: Column) -> Column:
     """1 or 0: a list knows what the span names."""
     if kind == "email":
@@ -102,7 +111,7 @@ def _gazetteer(kind: str, raw: Column) -> Column:
 
 
 def _judged(found: Column, kind: str, base: bool) -> Column:
-    """found with its kind's number, its check, its votes (1, 0 or -1 to abstain) and its shape (0 to 7)."""
+    """found with its kind's number, whether it is a base span, its check, the other votes (1, 0 or -1 to abstain) and its shape (0 to 7)."""
 
     def judge(s: Column) -> Column:
         before = F.lower(s["before"])
@@ -113,13 +122,14 @@ def _judged(found: Column, kind: str, base: bool) -> Column:
         parts = F.regexp_count(s["raw"], F.lit("[^A-Za-z0-9]+")) >= 2
         return F.struct(
             s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"),
-            (passes(kind, s["raw"]) if base else F.lit(False)).alias("base"),
+            F.lit(base).alias("base"), (passes if base else _passes_wide)(kind, s["raw"]).alias("check"),
             _gazetteer(kind, s["raw"]).alias("gazetteer"), near.alias("context"),
             F.when(F.regexp_like(edge, F.lit(r"[\p{L}\p{N}_]\||\|[\p{L}\p{N}_]")), 0).otherwise(1).alias("edges"),
             ((F.length(digits) >= 10).cast("int") * 4 + parts.cast("int") * 2 + different.cast("int")).alias("shape"),
         )
 
-    return F.transform(found, judge)
+    marked = lambda s: F.struct(*[(s["base"] & s["check"] if c == "base" else s[c]).alias(c) for c in ("start", "end", "kind", "base", "check", "gazetteer", "context", "edges", "shape")])
+    return F.transform(F.transform(found, judge), marked)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -128,7 +138,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         raws = raws.withColumn(f"b_{kind}", F.when(F.regexp_like("text", F.lit(_HINT[kind])), told_spans(F.col("text"), BASE[kind])).otherwise(none()))
     for kind in WIDE:
-        rest = F.when(F.size(f"b_{kind}") > 0, masked(F.col("text"), BASE[kind])).otherwise(F.col("text"))
+        rest = F.when(F.size(f"b_{kind}") > 0, masked(F.col("text"), _MASKED.get(kind, BASE[kind]))).otherwise(F.col("text"))
         raws = raws.withColumn(f"w_{kind}", F.when(F.regexp_like("text", F.lit(_WIDE_HINT[kind])), told_spans(rest, WIDE[kind])).otherwise(none()))
     # digits that only a card's pattern meets are a card's failure in too many ways to be a candidate unless there are 13 or more
     raws = raws.withColumn("b_card", F.filter("b_card", lambda s: F.length(_digits(s["raw"])) >= 13))
@@ -136,11 +146,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     return raws.select("doc_id", F.concat(*judged).alias("spans"))
 
 
-Pattern = tuple[int, int, int, int, int]  # base, gazetteer, context, edges; shape
+Pattern = tuple[int, int, int, int, int]  # check, gazetteer, context, edges; shape
 
 
 def estimate(counts: dict[Pattern, int], rounds: int = 50) -> dict[Pattern, float]:
-    """The probability of each vote pattern being personal data, by EM over two classes; base, gazetteer, context and edges vote, -1 abstains.
+    """The probability of each vote pattern being personal data, by EM over two classes; check, gazetteer, context and edges vote, -1 abstains.
 
     Starts from the votes' majority. Each labeler's rates are smoothed by one vote a cell, so that none is ever thought infallible.
     """
@@ -186,7 +196,7 @@ def _score(s: Column, weights: Iterable[list[float]]) -> Column:
     """The classifier's log odds for a candidate."""
 
     def of(w: list[float]) -> Column:
-        total = F.lit(w[0]) + F.when(s["base"], w[2]).otherwise(w[1])
+        total = F.lit(w[0]) + F.when(s["check"], w[2]).otherwise(w[1])
         for j, name in enumerate(("gazetteer", "context", "edges"), 1):
             total = total + F.when(s[name] == 1, w[2 + 2 * j]).when(s[name] == 0, w[1 + 2 * j]).otherwise(0.0)
         return total + F.element_at(F.array(*map(F.lit, w[9:])), s["shape"] + 1)
@@ -216,11 +226,11 @@ def find(docs: DataFrame) -> DataFrame:
     not read. Spans are in code points.
     """
     found = cut(candidates(docs))
-    keys = ("kind", "base", "gazetteer", "context", "edges", "shape")
+    keys = ("kind", "check", "gazetteer", "context", "edges", "shape")
     rows = found.select(F.explode("spans").alias("s")).groupBy(*[F.col(f"s.{k}").alias(k) for k in keys]).agg(F.count("*").alias("n")).collect()
     weights = []
     for k in range(len(KINDS)):
-        counts = {(int(r["base"]), r["gazetteer"], r["context"], r["edges"], r["shape"]): r["n"] for r in rows if r["kind"] == k}
+        counts = {(int(r["check"]), r["gazetteer"], r["context"], r["edges"], r["shape"]): r["n"] for r in rows if r["kind"] == k}
         weights.append(train(counts, estimate(counts)))
     base = F.filter("spans", lambda s: s["base"])
     sure = F.filter("spans", lambda s: s["base"] | (_score(s, weights) >= math.log(SURE / (1 - SURE))))

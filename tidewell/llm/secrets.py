@@ -79,7 +79,7 @@ def _features(rows: DataFrame, words: tuple[str, ...]) -> DataFrame:
         "different": F.size(F.array_distinct(F.split(v, ""))) / size,
         "dictionary": F.greatest(1 - F.length(F.regexp_replace(F.lower(v), "|".join(sorted(_DICTIONARY, key=len, reverse=True)), "")) / size, _covered(words) / size),
         "assigned": like(F.col("__tw_raw"), f"^{_ASSIGNED}$"),
-        "known_format": like(v, f"^(?:{_FORMATS})$"),
+        "known_format": F.greatest(like(v, f"^(?:{_FORMATS})$"), like(F.concat("__tw_before", "__tw_raw"), f"(?:{_FORMATS})$")),
         "path": F.greatest(like(F.col("__tw_before"), r"/[^\s]*$"), like(F.col("__tw_source"), r"(?:^|[/_.-])(?:tests?|examples?|docs?|fixtures?|samples?)(?:$|[/_.-])")),
         "secret_word": like(around, rf"(?:{_NAMES}|credential|bearer|aws)"),
         "false_word": like(around, rf"(?:{_FALSE_WORDS})"),
@@ -113,7 +113,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         F.concat(F.lit('SECRET_KEY  =  "'), signed, F.lit('" set')),
         F.concat(F.lit("my password: "), signed, F.lit(" is")),
         F.concat(F.lit("api_key_prod = "), F.left(alnum, F.lit(20)), F.lit(" go")),
-        F.concat(F.lit("Authorization: Bearer "), F.left(alnum, 24 + F.col("id").cast("int") % 16), F.lit(" and")),
+        F.concat(F.lit("Authorization: Bearer "), F.left(F.concat(alnum, F.reverse(alnum)), 20 + F.col("id").cast("int") % 61), F.lit(" and")),
         F.concat(F.lit("at postgres://"), word("a"), F.lit(":"), mixed, F.lit("@db.internal/main")),
         F.concat(F.lit('{"accessKey": "'), F.left("b64", F.lit(40)), F.lit('"}')),
         F.concat(F.lit("passwd "), mixed, F.lit(" or pwd="), mixed),
@@ -138,6 +138,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         F.concat(F.lit("call "), word("a"), F.initcap(word("b")), F.initcap(word("c")), F.initcap(word("d")), F.lit("Impl2Factory3Bean it")),
         F.concat(F.lit("password: ********"), F.lit(" and token=********")),
         F.concat(F.lit("page /"), word("a"), F.lit("/"), word("b"), F.lit("-"), word("c"), F.lit("-2024-01-"), (F.col("id") % 28 + 1).cast("string"), F.lit("/"), F.left("hex", F.lit(12)), F.lit(" is")),
+        F.concat(F.lit("request "), F.left("hex", F.lit(8)), F.lit("-"), F.substring("hex", 9, 4), F.lit("-4"), F.substring("hex", 13, 3), F.lit("-"), F.substring("hex", 17, 4), F.lit("-"), F.substring("hex", 21, 12), F.lit(" from")),
         F.concat(F.lit('etag: "'), F.left("hex", F.lit(32)), F.lit('" set')),
     ]
     pick = lambda texts: F.element_at(F.array(*texts), (F.shiftright("id", 1) % len(texts) + 1).cast("int"))

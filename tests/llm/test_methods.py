@@ -276,6 +276,27 @@ def test_fingerprints_by_windows(monkeypatch):
             assert simhash.fingerprint(text) == brute.simhash(text), (window, text)
 
 
+def test_similar_rows_are_one(spark):
+    """Copies with a word in sixty edited share 0.8 or more of their shingles; those with one in eight don't. Nine of ten of the former are linked, by a plain count of what is similar."""
+    r, rows = random.Random(30), []
+    word = lambda: f"w{r.randrange(10**5)}"
+    for i in range(40):
+        base = [word() for _ in range(r.choice((120, 300)))]
+        rows.append((10 * i, " ".join(base)))
+        for k, every in ((1, 60), (2, 60), (3, 8)):
+            copy = [word() if j % every == every // 2 + k % 3 else w for j, w in enumerate(base)]
+            rows.append((10 * i + k, "\n".join(" ".join(copy[a : a + 40]) for a in range(0, len(copy), 40))))
+    rows += [(900, None), (901, ""), (902, " \n"), (903, "two words"), (904, "two  words"), (905, "two other")]
+    shingles = {d: {tuple(w[i : i + 5]) for w in [(t or "").split()] for i in range(max(1, len(w) - 4))} for d, t in rows}
+    like = [(a, b) for a in shingles for b in shingles if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]) and a < 900]
+    assert len(like) >= 80 and not any(a % 10 == 3 or b % 10 == 3 for a, b in like)
+    root = brute.components(sorted(shingles), like)
+    kept = {x.doc_id for x in simhash.keep_one(documents(spark, rows)).collect()}
+    gone = {d for d in shingles if d < 900 and root[d] != d}
+    assert not {d for d in shingles if d < 900 and root[d] == d} - kept and len(gone - kept) >= 0.9 * len(gone)
+    assert {d for d in kept if d >= 900} == {900, 903, 905}
+
+
 # 10: cutoffs
 
 

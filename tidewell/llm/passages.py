@@ -3,7 +3,8 @@
 Paragraphs are the newline-separated parts of a text. Those with equal words are one class; classes meet in bands of a MinHash
 signature tuned for high recall at the threshold (16 bands of 4: a pair at Jaccard 0.8 meets with probability .9998). The colliding are
 verified by the exact Jaccard similarity of their 5-word shingles, and components of verified pairs are what removals go by. Below 5 words
-equal words alone make a class. Paragraphs below MIN_WORDS are compared with all that can be like them, in components of their own kind.
+equal words alone make a class. Paragraphs below MIN_WORDS are compared with all that can be like them, in components of their own kind: with so few shingles a
+signature is the least hashes of one permutation, and a band is two of those that like ones must share two of, so that none is missed.
 
 Passages are also copied into the middle of paragraphs, where no paragraph is like another. So content-defined blocks are paragraphs, too: of every
 24 consecutive shingles the one of least hash begins a block of 26 words. Two documents that share any 50 words in a row share a block, wherever it
@@ -14,8 +15,10 @@ STEP - 1 words at an end would hold a block of their own. What a longer run has
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,7 @@ BROADCAST_ROWS = 400_000
 #: Words whose hashes a worker keeps.
 _CACHED = 100_000
 _P = 0x9E3779B97F4A7C15
-_SCHEMA = "doc_id long, rk long, start int, n int, h long, line int, few boolean, bands array<long>"
+_SCHEMA = "doc_id long, rk long, start int, n int, h long, line int, bands array<long>, keys array<long>"
 _U = np.uint64
 
 
@@ -114,9 +117,9 @@ class Words:
         at = at[at + BLOCK <= len(self.hash)]
         return at[self.text[at] == self.text[at + BLOCK - 1]]
 
-    def shingled(self) -> np.ndarray:
-        """Which paragraphs of lines have a shingle."""
-        return self.lines[:, 2] - self.lines[:, 1] >= SHINGLE
+    def long(self) -> np.ndarray:
+        """Which paragraphs of lines have MIN_WORDS words or more."""
+        return self.lines[:, 2] - self.lines[:, 1] >= MIN_WORDS
 
     def few(self) -> np.ndarray:
         """Which paragraphs of lines have a shingle and no more than FEW different ones."""
@@ -128,8 +131,8 @@ class Words:
         return out
 
     def bands(self) -> np.ndarray:
-        """BANDS keys for each paragraph that is shingled."""
-        edges = self.lines[self.shingled(), 1:] - np.array([0, SHINGLE - 1])
+        """BANDS keys for each paragraph that is long."""
+        edges = self.lines[self.long(), 1:] - np.array([0, SHINGLE - 1])
         if not len(edges):
             return np.empty((0, BANDS), np.uint64)
         used = np.append(self.shingles, _U(0))  # an edge may be the end
@@ -142,6 +145,28 @@ class Words:
         return keys
 
 
+    def few_keys(self) -> list[list[int] | None]:
+        """For each paragraph of lines that is among the few, keys of which it shares one with any that is SIMILAR; for those without a shingle none; null for others.
+
+        Of n different shingles like paragraphs have o = ceil(SIMILAR * n) in common at least, so of the n - o + 2 with the least hashes two, if o is two or more.
+        """
+        pairs: list[tuple[int, int]] = []
+        counts = []
+        shingled = self.lines[:, 2] - self.lines[:, 1] >= SHINGLE
+        for (_, a, z), few, has in zip(self.lines.tolist(), self.few().tolist(), shingled.tolist(), strict=True):
+            if not few:
+                counts.append(-1 if has else 0)
+                continue
+            s = sorted(set(self.shingles[a : z - SHINGLE + 1].tolist()))
+            o = math.ceil(SIMILAR * len(s) - 1e-9)
+            mine = [(s[0], 0)] if o < 2 else list(combinations(s[: len(s) - o + 2], 2))
+            pairs += mine
+            counts.append(len(mine))
+        flat = np.array(pairs, np.uint64).reshape(-1, 2)
+        keys = iter(_mixed(_mixed(flat[:, 0]) * _U(_P) + flat[:, 1]).view(np.int64).tolist())
+        return [None if n < 0 else list(islice(keys, n)) for n in counts]
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for i in range(0, whole.num_rows, 400):
@@ -150,12 +175,11 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = w.blocks()
             text, start, stop = (np.concatenate(x) for x in zip((w.text[at], at, at + BLOCK), w.lines.T, strict=True))
             line = pa.array([None] * len(at) + w.numbers, pa.int32())
-            keys = iter(w.bands().view(np.int64).tolist())
-            lists = [None] * len(at) + [next(keys) if x else [] for x in w.shingled()]
-            few = pa.array(np.concatenate((np.zeros(len(at), bool), w.few())))
+            bands, none = iter(w.bands().view(np.int64).tolist()), [None] * len(at)
+            lists = [none + [next(bands) if x else None for x in w.long()], none + w.few_keys()]
             take = pa.array(text)
             columns = [b.column("doc_id").take(take), b.column("rk").take(take), pa.array((start - w.starts[text]).astype(np.int32)), pa.array((stop - start).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(w.run_hash(start, stop).view(np.int64)), line, few, pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "rk", "start", "n", "h", "line", "few", "bands"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(w.run_hash(start, stop).view(np.int64)), line, *(pa.array(x, pa.list_(pa.int64())) for x in lists)], names=["doc_id", "rk", "start", "n", "h", "line", "bands", "keys"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +211,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, rk, start and n (words), h (hash of the words), line (number), few and bands of every block (line and bands null) and paragraph of docs (doc_id, text)."""
+    """doc_id, rk, start and n (words), h (hash of the words), line (number), bands (of long paragraphs) and keys (of the few) of every block (line null) and paragraph of docs (doc_id, text)."""
     named = docs.select(docs.doc_id.cast("long").alias("doc_id"), row_key(docs.doc_id, docs.text).alias("rk"), docs.text.alias("text"))
     return named.mapInArrow(_units, _SCHEMA)
 
@@ -266,11 +290,12 @@ def similar_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
 @scoped
 def _near(docs: DataFrame, all_units: DataFrame) -> DataFrame:
     """The paragraphs of components that several documents have: first without those below MIN_WORDS, then components that have such."""
-    paragraphs = all_units.where("bands is not null")
+    paragraphs = all_units.where("line is not null")
     long = paragraphs.where(F.col("n") >= MIN_WORDS)
     roots = similar_paragraphs(docs, long)
     # a pair with a short one is among the few; pairs of others are in roots
-    linked = cut(roots.union(similar_paragraphs(docs, paragraphs.where("few"))).where("h != root").toDF("a", "b"))
+    few = paragraphs.where("keys is not null").withColumn("bands", F.col("keys"))
+    linked = cut(roots.union(similar_paragraphs(docs, few)).where("h != root").toDF("a", "b"))
     return _grouped(long, roots, "paragraph").unionByName(_grouped(paragraphs, components(linked).withColumnRenamed("node", "h"), "short"))
 
 
@@ -286,9 +311,12 @@ def _grouped(paragraphs: DataFrame, roots: DataFrame, kind: str) -> DataFrame:
 def _more(docs: DataFrame, spans: DataFrame, islands: DataFrame) -> DataFrame:
     """rk, start, side, shared and later: by how many words what several documents have goes on before (side 0) or after (1) the block at start, and as far as another has it first."""
     edges = islands.select(F.col("h0").alias("h"), F.lit(0).alias("side")).union(islands.select("h1", F.lit(1))).distinct()
-    places = spans.join(cut(edges), "h").groupBy("rk").agg(F.collect_set(F.struct("start", "h", "side")).alias("places"))
-    texts = docs.select(docs.doc_id.cast("long").alias("doc_id"), row_key(docs.doc_id, docs.text).alias("rk"), docs.text.alias("text")).join(places, "rk")
-    joined = cut(texts.select("doc_id", "rk", "text", "places"))  # so that the join's memory is free when Python runs
+    places = cut(spans.join(cut(edges), "h").groupBy("rk").agg(F.collect_set(F.struct("start", "h", "side")).alias("places")))
+    n = places.agg(F.sum(F.size("places"))).first()[0] or 0
+    texts = docs.select(docs.doc_id.cast("long").alias("doc_id"), row_key(docs.doc_id, docs.text).alias("rk"), docs.text.alias("text"))
+    joined = texts.join(F.broadcast(places) if n <= BROADCAST_ROWS else places, "rk").select("doc_id", "rk", "text", "places")
+    if n > BROADCAST_ROWS:
+        joined = cut(joined)  # so that the join's memory is free when Python runs
     runs = cut(joined.mapInArrow(_contexts, "doc_id long, rk long, start int, side int, keys array<long>").where("size(keys) > 0").withColumn("all", F.element_at("keys", -1)))
     # those that agree in all words are one class; only one of it is compared with others, word by word
     classes = cut(runs.groupBy("all").agg(F.min("doc_id").alias("own"), F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.first("keys").alias("keys")))
@@ -304,7 +332,7 @@ def _more(docs: DataFrame, spans: DataFrame, islands: DataFrame) -> DataFrame:
 @scoped
 def _verbatim(docs: DataFrame, all_units: DataFrame) -> DataFrame:
     """The spans of what several documents have; a component is a span of the document that has its blocks first."""
-    blocks = all_units.where("bands is null").select("doc_id", "rk", "start", "h")
+    blocks = all_units.where("line is null").select("doc_id", "rk", "start", "h")
     classes = blocks.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.min("rk").alias("lo"), F.max("rk").alias("hi")).where("lo != hi").drop("lo", "hi")
     marked = blocks.join(cut(classes), "h").withColumn("later", ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
     order = W.partitionBy("rk", "doc_id", "later").orderBy("start")

@@ -1,6 +1,10 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, decontamination and packing, each over all that the one before kept.
 
 Each stage takes and returns a DataFrame; the caller writes it as Parquet and reads it again. All but the last keep the columns of documents.
+
+A null text has no words, so the first stage drops it; a null or unlisted lang is a stratum of its own there; source is never read. Rows that repeat a doc_id with another
+text are documents of their own; rows equal in both are one document delivered twice, of which line dedup leaves each its lines and near-dedup one row. A null doc_id
+comes before all others. Empty tables give empty ones.
 """
 
 from __future__ import annotations

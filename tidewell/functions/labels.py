@@ -11,24 +11,23 @@ from pyspark.sql import functions as F
 
 from .text import one_line
 
+_JSON = json.JSONDecoder()
+
 
 def largest_object(text: str | None) -> str | None:
-    """The longest balanced part of text, from a brace on, that is a JSON object; None without one."""
-    text = text or ""
-    opened: list[int] = []
-    closes: dict[int, int] = {}
-    for i, c in enumerate(text):
-        if c == "{":
-            opened.append(i)
-        elif c == "}" and opened:
-            closes[opened.pop()] = i
-    for start, stop in sorted(closes.items(), key=lambda x: (x[0] - x[1], x[0])):
+    """The longest part of text that is a JSON object, the first of equals; None without one."""
+    text, best = text or "", None
+    start = text.find("{")
+    while start >= 0:
         try:
-            if isinstance(json.loads(text[start : stop + 1]), dict):
-                return text[start : stop + 1]
-        except ValueError:
+            end = _JSON.raw_decode(text, start)[1]
+        except (ValueError, RecursionError):
+            start = text.find("{", start + 1)
             continue
-    return None
+        if best is None or end - start > len(best):
+            best = text[start:end]
+        start = text.find("{", end)  # those inside are shorter
+    return best
 
 
 def _objects(texts: pd.Series) -> pd.Series:

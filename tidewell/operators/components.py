@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 @scoped
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b: of one type that has an order); root is the smallest node of its component.
 
     Null ends and loops are ignored, repeated edges count once, no edges give no rows. Each round is cut to the shared
@@ -33,10 +33,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = cut(edges.toDF("a", "b").where("a != b").distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:  # each round brings nodes nearer to their roots, about the logarithm of the longest chain in all
         now = cut(_small_star(_large_star(now)).where("a != b").distinct())
         found = now.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38, 0)))")).first()
         if found == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
         mark = found
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -303,7 +303,8 @@ def _grouped(paragraphs: DataFrame, roots: DataFrame, kind: str) -> DataFrame:
     rooted = paragraphs.select("doc_id", "rk", "start", "n", "h").join(roots, "h", "left").withColumn("component", F.coalesce("root", "h"))
     rooted = cut(rooted.select("doc_id", "rk", "start", "n", "component"))
     groups = rooted.groupBy("component").agg(F.min("doc_id").alias("first_doc_id"), F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.min("n").alias("least")).where("lo != hi")
-    groups = (groups.where(F.col("least") < MIN_WORDS) if kind == "short" else groups).drop("lo", "hi", "least")
+    # cut, so that the join isn't bound to the aggregate's partitions and a very large component's rows can be split
+    groups = cut((groups.where(F.col("least") < MIN_WORDS) if kind == "short" else groups).drop("lo", "hi", "least"))
     return rooted.join(groups, "component").select("doc_id", F.lit(kind).alias("kind"), F.col("start").alias("start_word"), (F.col("start") + F.col("n")).alias("end_word"), "component", "first_doc_id")
 
 
@@ -362,7 +363,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     A row for each span, in words; removed is true in all documents but first_doc_id, the least doc_id that has it. Paragraphs of
     MIN_WORDS or more are of the kind paragraph where they are alike; a component that has shorter ones, too, is given whole as short, so that a paragraph
-    may stand in both. Null and empty texts, and those without words, share nothing. Rows equal in doc_id and text are one document. Other columns of docs are not read.
+    may stand in both. Null and empty texts, and those without words, share nothing. Rows equal in doc_id and text are one document. Rows with a null doc_id are documents of
+    their own; null is no least doc_id but where all are null, and then all of these keep what they share. Other columns of docs are not read.
     """
     all_units = cut(units(docs))
     found = _verbatim(docs, all_units).unionByName(_near(docs, all_units))

@@ -142,3 +142,12 @@ def test_presets_and_vectors_of_a_table(spark):
     values = [0.94, 0.92, 0.89, 0.5, None]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", preset_of(F.col("v")).alias("p")).collect()
     assert all(x.p == preset(x.v) for x in rows)
+
+
+@pytest.mark.parametrize("stories", [[], [[3]], [[1, 2]], [[0, 5, 6, 100], [1, 2, 50], [7]], [list(range(0, 200, 3)), [1, 400]]])
+def test_gaps_against_all_pairs(spark, stories):
+    rows = [(p, s) for s, positions in enumerate(stories) for p in positions]
+    found = metrics.gap_profile(spark.createDataFrame(rows, "pos long, story long"), (10, 100)).first()
+    gaps = [b - a for positions in stories for i, a in enumerate(positions) for b in positions[i + 1 :]]
+    want = (*np.percentile(gaps, (50, 90)), *(np.mean([g <= w for g in gaps]) for w in (10, 100))) if gaps else (None,) * 4
+    assert tuple(found) == pytest.approx(want) if gaps else tuple(found) == want

@@ -369,3 +369,21 @@ def test_choice_against_a_plain_version(spark):
             families[s, rule.name] = quality.Family(ladder, tuple(sum(hits(rule, x, d) for d in second) for x in ladder), len(second), risk.share / len(chosen))
     want = quality.certify(dict(sorted(families.items())), risk.delta)
     assert quality.choose_cutoffs(measured, labels, risk) == want and len(want) >= 4
+
+
+# 7: passages
+
+
+def test_places_tell_their_words_apart():
+    """Two places that one hash calls equal: what is seen of their words says otherwise."""
+    import pyarrow as pa
+
+    from tidewell.llm import passages
+
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words), " ".join(["x", *words]), " ".join(words[:20] + ["other"] + words[20:])]
+    places = [[{"start": 10, "h": 5, "side": 0}], [{"start": 11, "h": 5, "side": 0}], [{"start": 10, "h": 5, "side": 1}]]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("h", pa.int64()), ("side", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([1, 2, 3]), pa.array(texts), pa.array(places, kind)], names=["doc_id", "rk", "text", "places"])
+    a, b, c = (r["seen"] for r in pa.Table.from_batches(passages._contexts([batch])).to_pylist())
+    assert a == b != c

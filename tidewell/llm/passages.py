@@ -183,7 +183,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, rk, start, side and keys for each place (start, h, side) of rows (rk, doc_id, text, places): of h and the 1, 2 .. STEP - 1 words before (side 0) or after the block."""
+    """doc_id, rk, start, side, h, seen (another hash of the block's words, one after the other) and keys for each place (start, h, side) of rows (rk, doc_id, text, places).
+
+    keys are of h and the 1, 2 .. STEP - 1 words before (side 0) or after the block.
+    """
     k = np.arange(1, STEP)
     for whole in batches:
         for i in range(0, whole.num_rows, 100):
@@ -199,7 +202,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.append(0, np.cumsum(inside.sum(axis=1))).astype(np.int32)
             take = pa.array(text)
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("rk").take(take), pa.array(start), pa.array(side), keys], names=["doc_id", "rk", "start", "side", "keys"])
+            seen = np.array([xxhash.xxh64_intdigest(w.hash[x : x + BLOCK].tobytes(), 7) for x in at[:, 0].tolist()], np.uint64).view(np.int64)
+            columns = [b.column("doc_id").take(take), b.column("rk").take(take), *map(pa.array, (start, side, h, seen)), keys]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "start", "side", "h", "seen", "keys"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +315,10 @@ def _grouped(paragraphs: DataFrame, roots: DataFrame, kind: str) -> DataFrame:
 
 @scoped
 def _more(docs: DataFrame, spans: DataFrame, islands: DataFrame) -> DataFrame:
-    """rk, start, side, shared and later: by how many words what several documents have goes on before (side 0) or after (1) the block at start, and as far as another has it first."""
+    """rk, start, side, shared, later and equal: by how many words what several documents have goes on before (side 0) or after (1) the block at start, and as far as another has it first.
+
+    Blocks were taken for equal by one hash; equal says whether the words are, too, as those of most other places of that hash.
+    """
     edges = islands.select(F.col("h0").alias("h"), F.lit(0).alias("side")).union(islands.select("h1", F.lit(1))).distinct()
     places = cut(spans.join(cut(edges), "h").groupBy("rk").agg(F.collect_set(F.struct("start", "h", "side")).alias("places")))
     n = places.agg(F.sum(F.size("places"))).first()[0] or 0
@@ -318,7 +326,11 @@ def _more(docs: DataFrame, spans: DataFrame, islands: DataFrame) -> DataFrame:
     joined = texts.join(F.broadcast(places) if n <= BROADCAST_ROWS else places, "rk").select("doc_id", "rk", "text", "places")
     if n > BROADCAST_ROWS:
         joined = cut(joined)  # so that the join's memory is free when Python runs
-    runs = cut(joined.mapInArrow(_contexts, "doc_id long, rk long, start int, side int, keys array<long>").where("size(keys) > 0").withColumn("all", F.element_at("keys", -1)))
+    places = cut(joined.mapInArrow(_contexts, "doc_id long, rk long, start int, side int, h long, seen long, keys array<long>"))
+    mixed = places.groupBy("h").agg(F.min("seen").alias("lo"), F.max("seen").alias("hi"), F.mode("seen").alias("most")).where("lo != hi").select("h", "most")
+    wrong = cut(places.join(mixed, "h").where("seen != most").select("rk", "start", "side").distinct())
+    fine = places if wrong.isEmpty() else places.join(wrong, ["rk", "start", "side"], "left_anti")
+    runs = fine.where("size(keys) > 0").withColumn("all", F.element_at("keys", -1))
     # those that agree in all words are one class; only one of it is compared with others, word by word
     classes = cut(runs.groupBy("all").agg(F.min("doc_id").alias("own"), F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.first("keys").alias("keys")))
     each = classes.select("all", "own", "lo", "hi", F.posexplode("keys").alias("k", "key"))
@@ -327,7 +339,8 @@ def _more(docs: DataFrame, spans: DataFrame, islands: DataFrame) -> DataFrame:
     told = cut(found.groupBy("all", "own").agg(F.max("n").alias("shared"), F.max(F.when(~F.col("own").eqNullSafe(F.col("first")), F.col("n"))).alias("others")))
     # whoever isn't the first of the class has that before it at every length
     later = F.when(F.col("doc_id").eqNullSafe(F.col("own")), F.col("others")).otherwise(F.col("shared"))
-    return runs.select("doc_id", "rk", "start", "side", "all").join(told, "all").select("rk", "start", "side", "shared", later.alias("later")).distinct()
+    more = runs.select("doc_id", "rk", "start", "side", "all").join(told, "all").select("rk", "start", "side", "shared", later.alias("later"), F.lit(True).alias("equal")).distinct()
+    return more.unionByName(wrong.select("*", F.lit(0).alias("shared"), F.lit(0).alias("later"), F.lit(False).alias("equal")))
 
 
 @scoped
@@ -346,8 +359,8 @@ def _verbatim(docs: DataFrame, all_units: DataFrame) -> DataFrame:
     islands = cut(named.groupBy("rk", "doc_id", "later", "island").agg(*edges, F.min("component").alias("component"), F.min("first_doc_id").alias("first_doc_id")))
     more = _more(docs, spans, islands)
     for side in (0, 1):
-        own = more.where(F.col("side") == side).select("rk", F.col("start").alias(f"s{side}"), F.col("shared").alias(f"all{side}"), F.col("later").alias(f"later{side}"))
-        islands = islands.join(own, ["rk", f"s{side}"], "left").fillna(0, [f"all{side}", f"later{side}"])
+        own = more.where(F.col("side") == side).select("rk", F.col("start").alias(f"s{side}"), F.col("shared").alias(f"all{side}"), F.col("later").alias(f"later{side}"), "equal")
+        islands = islands.join(own, ["rk", f"s{side}"], "left").where("coalesce(equal, true)").drop("equal").fillna(0, [f"all{side}", f"later{side}"])
         islands = islands.withColumn(f"by{side}", F.when(F.col("later"), F.col(f"later{side}")).otherwise(F.col(f"all{side}")))
     start, end = F.col("s0") - F.col("by0"), F.col("s1") + BLOCK + F.col("by1")
     piece = lambda a, z, first: F.struct(a.alias("start_word"), z.alias("end_word"), first.alias("first_doc_id"))

@@ -142,11 +142,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     both = cut(_items(benchmark, coverage))
     all_found = cut(matches(docs, both))
     found, items, exact = all_found.where("not exact"), both.where("not exact"), both.where("exact")
-    hit = cut(found.select("rk").distinct())
+    verbatim = not exact.isEmpty()
+    hit = cut((all_found if verbatim else found).select("rk").distinct())
     hit = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit
     keyed = docs.select(row_key(docs.doc_id, docs.text).alias("rk"), docs.text.alias("text"))
-    held = keyed.join(hit, "rk", "left_semi").dropDuplicates(["rk"]).select("rk", template(F.col("text")).alias("dwords"), slots(F.col("text")).alias("dslots"))
-    lined = found.join(items.select("item", "words", "slots", "size", "n_windows"), "item").join(held, "rk")
+    held = keyed.join(hit, "rk", "left_semi").dropDuplicates(["rk"])
+    made = [template(F.col("text")).alias("dwords"), slots(F.col("text")).alias("dslots"), *([tokens(F.col("text")).alias("dtokens")] if verbatim else [])]
+    held = held.select("rk", *made)
+    # windows were taken for equal by a hash; here are their words
+    same = lambda words: F.expr(f"filter(at, a -> slice(words, a, size) = slice({words}, a + diagonal, size))")
+    lined = found.join(items.select("item", "words", "slots", "size", "n_windows"), "item").join(held, "rk").withColumn("at", same("dwords"))
     covered = "array_distinct(flatten(transform(at, a -> sequence(a, a + size - 1))))"
     pairs = f"transform({covered}, k -> struct(k, {_slot_value('words', 'slots', 'k')} as theirs, {_slot_value('dwords', 'dslots', '(k + diagonal)')} as ours))"
     paired = lined.select("rk", "doc_id", "item", "n_windows", "size", "at", F.expr(f"filter({pairs}, p -> p.theirs is not null and p.ours is not null)").alias("pairs"))
@@ -157,9 +162,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     agree = "size(array_distinct(transform(pairs, p -> struct(p.theirs, p.ours)))) = size(array_distinct(transform(pairs, p -> p.theirs)))"
     consistent = paired.withColumn("at", F.expr(f"if({agree}, at, {left})"))
     judged = consistent.where("size(at) > 0").groupBy("rk", "doc_id", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_found"))
-    if not exact.isEmpty():
-        verbatim = all_found.where("exact").join(exact.select("item", "n_windows"), "item")
-        counted = verbatim.groupBy("rk", "doc_id", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_found"))
+    if verbatim:
+        told = all_found.where("exact").join(exact.select("item", "words", "size", "n_windows"), "item").join(held, "rk").withColumn("at", same("dtokens")).where("size(at) > 0")
+        counted = told.groupBy("rk", "doc_id", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_found"))
         # the better of the two
         best = F.max(F.struct((F.col("n_found") / F.col("n_windows")).alias("share"), "n_windows", "n_found")).alias("best")
         judged = judged.unionByName(counted).groupBy("rk", "doc_id", "item").agg(best).select("rk", "doc_id", "item", "best.n_windows", "best.n_found")

@@ -37,6 +37,8 @@ BROADCAST_ROWS = 400_000
 #: Fingerprints of 32 bits for keep_one(). Texts at SIMILAR meet in one of them with probability .9, if words are edited here and there; at .9 with .999.
 TABLES = 8
 SIMILAR_SHINGLE, SIMILAR = 5, 0.8
+#: Rows of a task that enters their values within one bit, 264 a row.
+ENTERED = 4_000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Bytes of a text whose words are held at a time.
 _WINDOW = 1 << 17
@@ -201,7 +203,9 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 @scoped
 def similar_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root): the keys among rows (rk, tables) of docs whose texts share SIMILAR of their shingles with another's, directly or by a chain; root is the least."""
-    pairs = cut(_candidates(rows))
+    rows = cut(rows)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ENTERED))
+    pairs = cut(_candidates(rows.repartition(tasks, "rk")))
     wanted = cut(pairs.select(F.col("a").alias("rk")).union(pairs.select("b")).distinct())
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     # cut, so that the join's memory is free when Python runs

@@ -25,18 +25,16 @@ KINDS = ("email", "ip", "card", "phone")
 #: Probability from which a span is added.
 SURE = 0.9
 
-# The base patterns. Loops are possessive and starts are bound to the beginning of a run, which changes no match but keeps time and stack linear.
+# The base patterns. Loops are possessive and starts are bound to the beginning of a run, which changes no match that passes but keeps time and stack linear.
 _LOCAL = "[A-Za-z0-9._%+-]"
 BASE = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",  # those of fewer digits fail, and are too many in a text full of numbers to be told one by one
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What of the base matches hides text from the wider patterns, where that isn't all: short numbers may be parts of a card.
-_MASKED = {"card": r"[0-9](?:[\x20-]?[0-9]){12,}+"}
 #: What a text must match for any span of the kind to be possible.
-_HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+_HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 #: Wider patterns, searched where the base pattern of their kind has no match.
 _AT, _DOT = r"\x20?[\[({]\x20?(?:at|AT|@)\x20?[\])}]\x20?", r"\x20?[\[({]\x20?(?:dot|DOT|\.)\x20?[\])}]\x20?"
 _HEX = "[0-9A-Fa-f]{1,4}"
@@ -138,10 +136,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         raws = raws.withColumn(f"b_{kind}", F.when(F.regexp_like("text", F.lit(_HINT[kind])), told_spans(F.col("text"), BASE[kind])).otherwise(none()))
     for kind in WIDE:
-        rest = F.when(F.size(f"b_{kind}") > 0, masked(F.col("text"), _MASKED.get(kind, BASE[kind]))).otherwise(F.col("text"))
+        rest = F.when(F.size(f"b_{kind}") > 0, masked(F.col("text"), BASE[kind])).otherwise(F.col("text"))
         raws = raws.withColumn(f"w_{kind}", F.when(F.regexp_like("text", F.lit(_WIDE_HINT[kind])), told_spans(rest, WIDE[kind])).otherwise(none()))
-    # digits that only a card's pattern meets are a card's failure in too many ways to be a candidate unless there are 13 or more
-    raws = raws.withColumn("b_card", F.filter("b_card", lambda s: F.length(_digits(s["raw"])) >= 13))
     judged = [_judged(F.col(f"b_{k}"), k, True) for k in KINDS] + [_judged(F.col(f"w_{k}"), k, False) for k in WIDE]
     return raws.select("doc_id", F.concat(*judged).alias("spans"))
 

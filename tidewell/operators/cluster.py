@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.vectors import dot
 from ..storage import cut, numbered
 from .similarity import similar_pairs
 
@@ -75,6 +76,15 @@ def assign(edges: DataFrame, members: DataFrame, rule: str = "first") -> DataFra
     return reps.groupBy("i").agg(best.alias("rep"))
 
 
+def copies_of(placed: DataFrame, tau: float) -> DataFrame:
+    """pos and first: rows of placed (pos, vec) whose vector an earlier row has, and the earliest such. Vectors too short to match themselves have none."""
+    hashed = placed.select("pos", "vec", F.xxhash64("vec").alias("h"))
+    again = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    some = hashed.join(again, "h", "left_semi").where(dot("vec", "vec") >= tau).drop("h")
+    firsts = some.groupBy("vec").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return some.join(firsts, "vec").where("pos != first").select("pos", "first")
+
+
 def cluster(posts: DataFrame, tuning: Tuning = Tuning(), memory: DataFrame | None = None) -> DataFrame:
     """id, seq, author, cluster_id, is_rep, is_prior and live: each row of posts (id, seq, vec, author, and tau if rows have their own), and of memory.
 
@@ -92,12 +102,21 @@ def cluster(posts: DataFrame, tuning: Tuning = Tuning(), memory: DataFrame | Non
         prior = kept.join(again, "id", "left").select("id", F.lit(None).cast("long").alias("seq"), "vec", "author", F.lit(tuning.tau).alias("tau"), F.lit(True).alias("is_prior"), F.coalesce("live", F.lit(False)).alias("live"))
         rows = prior.unionByName(rows.join(kept.select("id"), "id", "left_anti"))
     placed = cut(numbered(rows, "seq", "id"))  # nulls, which memory's seqs are, come first
-    edges = similar_pairs(placed, placed.count(), tuning.window, tuning.other_author)
+    # where only tau decides, a copy goes where the first of its kind went or joins it, so one of each kind meets the others
+    copies = None
+    if memory is None and "tau" not in posts.columns and tuning.rule == "first" and tuning.window is None and not tuning.other_author:
+        copies = cut(copies_of(placed, tuning.tau))
+        copies = None if copies.isEmpty() else copies
+    different = placed if copies is None else cut(placed.join(copies.select("pos"), "pos", "left_anti"))
+    edges = similar_pairs(different, different.count(), tuning.window, tuning.other_author)
     if memory is not None:
         edges = edges.join(placed.where("is_prior").select(F.col("pos").alias("i")), "i", "left_anti")
     edges = cut(edges)
     members = cut(members_of(edges))
     joined = assign(edges, members, tuning.rule)
+    if copies is not None:
+        followed = copies.join(joined.withColumnRenamed("i", "first"), "first", "left").select(F.col("pos").alias("i"), F.coalesce("rep", "first").alias("rep"))
+        joined = joined.unionByName(followed)
     reps = placed.select(F.col("pos").alias("rep"), F.col("id").alias("cluster_id"))
     full = placed.join(joined, placed.pos == joined.i, "left").withColumn("rep", F.coalesce("rep", "pos")).join(reps, "rep")
     out = full.select("id", "seq", "author", "cluster_id", (F.col("rep") == F.col("pos")).alias("is_rep"), "is_prior", "live")

@@ -143,10 +143,14 @@ WHERE list_dot_product(a.e, b.e) >= 0.3 AND {where}"""
 
 def _pairs(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     rows = numbered(posts(spark, sf_dir), "seq", "id").withColumn("tau", F.lit(0.3))
+    return _named_pairs(rows, **how).withColumn("sim", F.round("sim", 6))
+
+
+def _named_pairs(rows: DataFrame, **how) -> DataFrame:
     found = similar_pairs(rows, rows.count(), **how)
     ids = rows.select("pos", F.col("id").alias("__id"))
     named = found.join(ids.withColumnRenamed("pos", "j"), "j").drop("j").withColumnRenamed("__id", "j")
-    return named.join(ids.withColumnRenamed("pos", "i"), "i").drop("i").withColumnRenamed("__id", "i").select("j", "i", F.round("sim", 6).alias("sim"))
+    return named.join(ids.withColumnRenamed("pos", "i"), "i").drop("i").withColumnRenamed("__id", "i").select("j", "i", "sim")
 
 
 @query(_pairs_sql("TRUE"))
@@ -166,6 +170,37 @@ q AS (SELECT vec_id, e, (CASE WHEN m = 0 THEN 1.0::DOUBLE ELSE m END) / 127 AS s
 z AS (SELECT vec_id, e, s, list_transform(e, lambda x: greatest(least(floor(x / s + 0.5), 127), -127)) AS q FROM q)"""
 
 
+_BENT = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings UNION ALL
+  SELECT 1000000 + vec_id, list_concat([embedding[1]::DOUBLE * -1], embedding[2:]::DOUBLE[]) FROM embeddings UNION ALL
+  SELECT 2000000 + vec_id, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 10 = 0)"""
+
+
+def _bent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors, each again with its first number negated, and every tenth a third time as it is."""
+    rows = posts(spark, sf_dir).select("id", "seq", "vec", "author")
+    near = rows.withColumn("vec", F.concat(F.array(-F.col("vec")[0]), F.slice("vec", 2, F.size("vec") - 1)))
+    later = lambda df, n: df.withColumn("id", F.col("id") + n).withColumn("seq", F.col("seq") + n)
+    return rows.unionByName(later(near, 1_000_000)).unionByName(later(rows.where("id % 10 = 0"), 2_000_000))
+
+
+@query(_BENT + """
+SELECT b.vec_id AS j, a.vec_id AS i, round(list_dot_product(a.e, b.e), 6) AS sim, list_dot_product(a.e, b.e) >= 0.94 AS same FROM v a JOIN v b ON b.vec_id < a.vec_id
+WHERE list_dot_product(a.e, b.e) >= 0.6""")
+def similarity_near_copies(spark, sf_dir):
+    """Pairs at a threshold where pivots and bounds leave few products to make; same: those that the default threshold folds."""
+    rows = numbered(_bent(spark, sf_dir), "seq", "id")
+    return _named_pairs(rows.withColumn("tau", F.lit(0.6))).withColumn("same", F.col("sim") >= 0.94).select("j", "i", F.round("sim", 6).alias("sim"), "same")
+
+
+@query(greedy_sql("SELECT vec_id, coalesce(hit, vec_id) AS cluster_id FROM all_ids LEFT JOIN g ON g.i = vec_id", tau=0.94).replace(
+    "WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)", "WITH RECURSIVE " + _BENT.replace("WITH v", "v", 1) + ", all_ids AS (SELECT vec_id FROM v)"))
+def cluster_copies(spark, sf_dir):
+    """Clusters at the default threshold where some vectors are copies; these follow the first of their kind."""
+    return _ids(cluster(_bent(spark, sf_dir)))
+
+
 @query(_QUANTISED + """
 SELECT vec_id, round(s, 9) AS s, list_sum(q)::BIGINT AS q_sum, array_to_string(list_transform(q, lambda x: x::BIGINT), ',') AS q FROM z""")
 def quantise(spark, sf_dir):

@@ -42,6 +42,8 @@ RATE, RATE_SOFTMAX, DECAY, SEED = 3.0, 0.1, 1e-3, 42
 #: Longer words are taken apart into pieces of so many characters.
 PIECE = 32
 THRESHOLD = 0.7
+#: Words that n-grams are found of at a time when fitting.
+WORDS = 20_000
 #: Words that a worker keeps, and characters of a text whose words are held at a time.
 CACHED, SLICE = 400_000, 1 << 17
 _SPACE = re.compile(r"\s")
@@ -126,12 +128,28 @@ def _starts(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, np.minimum(begin + WINDOW, first + lengths[of]), of
 
 
-def _texts_of(places: np.ndarray, lengths: np.ndarray, word_of: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many features each word has, and their buckets, word by word; found for some words at a time."""
+    sizes, buckets = [], []
+    for i in range(0, len(words), WORDS):
+        of, bucket = grams(words[i : i + WORDS])
+        sizes.append(np.bincount(of))
+        buckets.append(bucket[np.argsort(of, kind="stable")].astype(np.uint16))
+    return np.concatenate(sizes), np.concatenate(buckets)
+
+
+def _texts_of(places: np.ndarray, lengths: np.ndarray, size: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """Of texts laid end to end as words' numbers, how many have each bucket, or more: a word counts for as many as it stands in."""
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    words = np.unique(text * (places.max() + 1) + places) % (places.max() + 1)
-    texts = np.bincount(words, minlength=word_of.max() + 1)
-    return np.bincount(bucket, weights=texts[word_of], minlength=BUCKETS)
+    found, first = np.zeros(BUCKETS), 0
+    texts = np.zeros(len(size))
+    for n in lengths:
+        texts[np.unique(places[first : first + n])] += 1
+        first += n
+    ends = np.cumsum(size, dtype=np.int64)
+    for i in range(0, len(size), WORDS):
+        some = slice(i, i + WORDS)
+        found += np.bincount(bucket[ends[i] - size[i] : ends[some][-1]], weights=np.repeat(texts[some], size[some]), minlength=BUCKETS)
+    return found
 
 
 class _Adam:
@@ -151,35 +169,32 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     """The model of labelled texts; the same for the same texts in the same order. Without texts of both labels all vectors are zero, and scores the share of toxic ones."""
     r = np.random.default_rng(SEED)
     prior = (sum(toxic) + 1) / (len(toxic) + 2)
-    told = [(w, y) for t, y in zip(texts, toxic, strict=True) if (w := [x for some in words_of(t) for x in some])]
+    ids: dict[str, int] = {}
+    numbers = [np.fromiter((ids.setdefault(w, len(ids)) for some in words_of(t) for w in some), np.int32) for t in texts]
+    told = [(n, label) for n, label in zip(numbers, toxic, strict=True) if len(n)]
     vectors, softmax, bias = r.normal(0, 1e-3, (BUCKETS, DIM)), r.normal(0, 1, (2, DIM)), np.log([1 - prior, prior])
-    if len({y for _, y in told}) < 2:
+    if len({label for _, label in told}) < 2:
         return Model(np.zeros((BUCKETS, DIM), np.float32), softmax.astype(np.float32), bias, prior)
-    ids: dict[str, int] = {}
-    places = np.array([ids.setdefault(w, len(ids)) for ws, _ in told for w in ws])
+    places, lengths, y = np.concatenate([n for n, _ in told]), np.array([len(n) for n, _ in told]), np.array([label for _, label in told])
     plain = list(ids)
-    ways = np.array([[i] + [ids.setdefault(misspelt(w, r) if len(w) > 3 else w, len(ids)) for _ in range(WAYS)] for i, w in enumerate(plain)])
-    word_of, bucket = grams(list(ids))
-    size = np.bincount(word_of, minlength=len(ids)).astype(float)
-    order = np.argsort(word_of, kind="stable")
-    bucket = bucket[order]
-    lengths = np.array([len(ws) for ws, _ in told])
-    learnt = _texts_of(places, lengths, word_of[order], bucket) >= LEAST_TEXTS
-    ends = np.cumsum(size).astype(np.int64)
-    y = np.array([label for _, label in told])
+    ways = np.array([[i] + [ids.setdefault(misspelt(w, r) if len(w) > 3 else w, len(ids)) for _ in range(WAYS)] for i, w in enumerate(plain)], np.int32)
+    size, bucket = _features(list(ids))
+    ends = np.cumsum(size, dtype=np.int64)
+    learnt = _texts_of(places, lengths, size, bucket) >= LEAST_TEXTS
     begin, end, of = _starts(lengths)
     first_window = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     last = np.cumsum(lengths)
     steps = [_Adam(vectors, RATE), _Adam(softmax, RATE_SOFTMAX), _Adam(bias, RATE_SOFTMAX)]
     for k in range(ROUNDS):
-        change = np.where(r.random(len(places)) < MISSPELT, r.integers(1, WAYS + 1, len(places)), 0)
+        change = np.where(r.random(len(places), np.float32) < MISSPELT, r.integers(1, WAYS + 1, len(places), np.int8), 0)
         now = ways[places, change]
         if k < FIRST:
             chosen_begin = last - lengths + (r.random(len(y)) * np.maximum(1, lengths - STRETCH + 1)).astype(np.int64)
             chosen_end = np.minimum(chosen_begin + STRETCH, last)
         else:  # the most toxic window of each text
-            gain = (vectors @ (softmax[1] - softmax[0]))[bucket]
-            by_word = np.add.reduceat(gain, ends - size.astype(np.int64))
+            gain = (vectors @ (softmax[1] - softmax[0])).astype(np.float32)[bucket]
+            by_word = np.add.reduceat(gain, ends - size, dtype=np.float64)
+            del gain
             total, n = np.r_[0, np.cumsum(by_word[now])], np.r_[0, np.cumsum(size[now])]
             z = (total[end] - total[begin]) / (n[end] - n[begin])
             best = np.maximum.reduceat(z, first_window)
@@ -190,7 +205,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         text_of = np.repeat(np.arange(len(y)), count)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(chosen_begin, count)
         used, word = np.unique(now[at], return_inverse=True)
-        sizes = size[used].astype(np.int64)
+        sizes = size[used]
         feature = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(ends[used] - sizes, sizes)
         b, head = bucket[feature], np.cumsum(sizes) - sizes
         summed = np.add.reduceat(vectors[b], head)  # of each used word

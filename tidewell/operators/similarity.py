@@ -129,7 +129,7 @@ def _parts(assigned: DataFrame, dim: int) -> DataFrame:
     return own.unionByName(guests.select(*kept, "cell", "at_home", "part", "a", F.col("part").alias("b")))
 
 
-class _Products:
+class Products:
     """Pairs of rows of two matrices whose dot product reaches a bound; counts what it multiplies."""
 
     def __init__(self, rotation: np.ndarray, least: float, tallest: float):
@@ -185,7 +185,7 @@ def _work(vectors: DataFrame, rows: int, other_author: bool, since: int, told: b
         turns = [(fresh, others, None), (old, others[pos[others] >= since], None)]
         if a == b:  # a part with itself, and where they are one part with the cell's visitors
             turns.append((fresh, own, len(old)))
-        products, found = _Products(made.rotation, made.least, made.tallest), []
+        products, found = Products(made.rotation, made.least, made.tallest), []
         for x, y, before in turns:
             for i, j, sim in products.reach(vec[x], vec[y], before):
                 i, j = x[i], y[j]

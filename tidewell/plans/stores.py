@@ -20,6 +20,7 @@ from ..schemas import table
 from ..sources import files, html, memory
 from ..storage import numbered, shared_dir
 from ..streaming.engine import Engine, observed
+from ..streaming.live import LiveEngine, pivots_for
 from .clusters import greedy_sql
 from .clusters import posts as vectors
 from .evaluation import _LABELS, shared
@@ -406,6 +407,50 @@ def stream_threshold_change(spark, sf_dir):
     return _steps(spark, sf_dir, 0.5).state().select(F.col("id").alias("vec_id"), "cluster_id")
 
 
+def _timed(spark: SparkSession, sf_dir: str, again: int = 0) -> tuple[DataFrame, str]:
+    """The vectors as posts a minute apart in a folder of ten files, and a stream of it, a file a micro-batch. again: the posts come a second time, so many minutes later, 20 of them with the
+    next file and all at the end."""
+    path, rows = scratch(spark), vectors(spark, sf_dir).select("id", "seq", "vec", "author")
+    rows = rows.withColumn("t", F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("id")))
+    size = -(-rows.count() // 10)
+    for k in range(10):
+        some = rows.where((F.col("id") >= k * size) & (F.col("id") < (k + 1) * size))
+        if again and k:
+            some = some.unionByName(rows.where((F.col("id") >= k * size - 20) & (F.col("id") < k * size)))
+        some.coalesce(1).write.mode("append").parquet(path)
+    if again:
+        later = rows.withColumn("t", F.col("t") + F.make_dt_interval(mins=F.lit(again)))
+        for k in (1, 2):  # time goes on, as two posts of other ids tell, and what has expired is forgotten
+            later.where("id = 0").withColumn("id", F.lit(-k).cast("long")).coalesce(1).write.mode("append").parquet(path)
+        later.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), path
+
+
+def _live(spark: SparkSession, sf_dir: str, ttl: str, again: int = 0) -> tuple[LiveEngine, list]:
+    stream, path = _timed(spark, sf_dir, again)
+    rows = vectors(spark, sf_dir)
+    engine = LiveEngine(spark, scratch(spark), pivots_for(rows, 0.3, rows.count()), Tuning(0.3), ttl)
+    running = engine.start(stream, scratch(spark))
+    running.awaitTermination()
+    return engine, [p["stateOperators"] for p in running.recentProgress]
+
+
+@query(greedy_sql("SELECT vec_id, cluster_id FROM placed", where="a.vec_id - b.vec_id <= 60"))
+def stream_ttl(spark, sf_dir):
+    """A stream of posts a minute apart whose representatives count for an hour, in ten micro-batches; nothing older stays in its state."""
+    engine, _ = _live(spark, sf_dir, "60 minutes")
+    return engine.state().select(F.col("id").alias("vec_id"), "cluster_id")
+
+
+@query("""
+WITH seen AS (SELECT vec_id, 1 AS nth FROM embeddings UNION ALL SELECT vec_id, 2 FROM embeddings)
+SELECT vec_id, count(*) AS placed FROM seen GROUP BY vec_id""")
+def stream_redelivered(spark, sf_dir):
+    """Posts that come again with the next micro-batch fall out; those that come again when their first coming has expired are new posts."""
+    engine, _ = _live(spark, sf_dir, "60 minutes", 100_000)
+    return engine.state().where("id >= 0").groupBy(F.col("id").alias("vec_id")).agg(F.count("*").alias("placed"))
+
+
 @query(greedy_sql(""", c AS (SELECT cluster_id, count(*) AS n FROM placed GROUP BY cluster_id)
 SELECT sum(n)::BIGINT AS posts, count(*) AS clusters, count(*) FILTER (WHERE n > 1) AS multi, sum(n - 1)::BIGINT AS collapsed, 0::BIGINT AS remembered, 0.3::DOUBLE AS threshold,
        (SELECT count(*) FROM placed WHERE vec_id <> cluster_id) AS duplicates, 0::BIGINT AS forgotten FROM c"""))
@@ -413,6 +458,7 @@ def stats_published(spark, sf_dir):
     """What the stream tells whoever watches; nothing is left once all is forgotten."""
     engine = _steps(spark, sf_dir)
     path = scratch(spark)
-    engine.published().select("*", F.size("duplicate_ids").cast("long").alias("duplicates")).drop("duplicate_ids").write.parquet(path)
+    told = [c for c in engine.stats().columns] + ["threshold"]
+    engine.published().groupBy(*told).agg(F.sum(F.size("duplicate_ids")).alias("duplicates")).write.parquet(path)
     engine.forget_all()
     return spark.read.parquet(path).select("*", F.lit(engine.state().count()).cast("long").alias("forgotten"))

@@ -5,9 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 from functools import wraps
+from threading import get_ident
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,25 +30,62 @@ def shared_dir(spark: SparkSession) -> str:
     return _dirs[app]
 
 
+def filesystem(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """A path and its file system, as Spark's own readers reach it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = filesystem(spark, path)
+    return fs.exists(p)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     try:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p, fs = filesystem(spark, path)
+        fs.delete(p, True)
     except Exception:  # the session has ended before the interpreter; whoever owns the folder clears it
         pass
 
 
+@dataclass(eq=False)
+class _Scope:
+    """The tables that a function under way has cut, and the thread that it runs in: a stream's batches run in one of their own."""
+
+    thread: int
+    tables: list[tuple[SparkSession, str]] = field(default_factory=list)
+
+
+#: Of all threads, those of the innermost functions last.
+_scopes: list[_Scope] = []
+
+
+def _innermost() -> _Scope | None:
+    return next((s for s in reversed(_scopes) if s.thread == get_ident()), None)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, so that neither its plan nor lost executors cost it again."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append((df.sparkSession, path))
+    if scope := _innermost():
+        scope.tables.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Tables that functions under way have cut, those of the innermost last.
-_scopes: list[list[tuple[SparkSession, str]]] = []
+@contextmanager
+def passing() -> Iterator[None]:
+    """What this thread cuts inside is deleted at the end: for work that leaves what it finds somewhere else."""
+    own = _Scope(get_ident())
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        if own in _scopes:
+            _scopes.remove(own)
+        for spark, path in own.tables:
+            delete(spark, path)
 
 
 def scoped(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -52,17 +93,11 @@ def scoped(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @wraps(f)
     def run(*args: object, **named: object) -> DataFrame:
-        _scopes.append([])
-        try:
+        with passing():
+            own = _innermost()
             found = f(*args, **named)
-            own = _scopes.pop()
-            try:
-                return cut(found)
-            finally:
-                _scopes.append(own)
-        finally:
-            for spark, path in _scopes.pop():
-                delete(spark, path)
+            _scopes.remove(own)  # the result is its caller's
+            return cut(found)
 
     return run
 

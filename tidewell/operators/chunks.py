@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import numbered
+
 
 def capped(rows: DataFrame, by: list[str], order: list[str], cap: int) -> DataFrame:
     """The first `cap` rows of each group."""
@@ -39,28 +38,41 @@ def group_key(trend: str, source: str) -> Column:
     return F.coalesce(trend, F.concat(F.lit("__"), source))
 
 
+def _runs(counts: dict[int, int], size: int, chunk: int) -> list[tuple[int, int, int, int, int]]:
+    """Of groups by their size n, the largest first: n, the groups before them, how many go to the chunk under way, its number, and how many a chunk of their own holds."""
+    runs, before, held = [], 0, 0
+    for n in sorted(counts, reverse=True):
+        each = size // n
+        joining = min(counts[n], (size - held) // n) if held else 0
+        first = chunk if held else chunk - 1
+        runs.append((n, before, joining, first, each))
+        left = counts[n] - joining
+        if left:
+            filled = -(-left // each)
+            chunk, held = first + filled, (left - (filled - 1) * each) * n
+        else:
+            held += joining * n
+        before += counts[n]
+    return runs
+
+
 def chunk_of_groups(groups: DataFrame, size: int = 220) -> DataFrame:
     """grp and chunk (from 0) of groups (grp, n, first): the largest first, equal ones by first; those of `size` or more are chunks of their own, the others
-    are put together until the next would overflow. One task decides, which sees a row for each group and no posts."""
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = list(batches)
-        if not found:
-            return
-        out, chunk, waiting, held = [], 0, [], 0
-        for r in pd.concat(found).sort_values(["n", "first"], ascending=[False, True]).itertuples():
-            if r.n >= size:
-                out.append((r.grp, chunk))
-                chunk += 1
-                continue
-            if waiting and held + r.n > size:
-                out += [(g, chunk) for g in waiting]
-                chunk, waiting, held = chunk + 1, [], 0
-            waiting.append(r.grp)
-            held += r.n
-        yield pd.DataFrame(out + [(g, chunk) for g in waiting], columns=["grp", "chunk"])
-
-    return groups.select("grp", "n", "first").coalesce(1).mapInPandas(pack, "grp string, chunk long")
+    are put together until the next would overflow.
+
+    Groups of one size fill chunks evenly, after those that join the chunk under way. So a count for each of the sizes below `size` tells where each of them begins, and a group's place among
+    those of its size tells its chunk; no task walks over groups.
+    """
+    spark = groups.sparkSession
+    placed = numbered(groups.withColumn("down", -F.col("n")).select("grp", "n", "first", "down"), "down", "first", "grp")
+    small = {r["n"]: r["c"] for r in groups.where(F.col("n") < size).groupBy("n").agg(F.count("*").alias("c")).collect()}  # size - 1 rows at most
+    big = groups.count() - sum(small.values())
+    runs = F.broadcast(spark.createDataFrame(_runs(small, size, big), "n long, before long, joining long, chunk long, each long"))
+    nth = F.col("pos") - big - F.col("before")
+    own = F.col("chunk") + 1 + F.expr("int((pos - big - before - joining) div each)")
+    found = placed.withColumn("big", F.lit(big).cast("long")).withColumn("n", F.col("n").cast("long")).join(runs, "n", "left")
+    chunk = F.when(F.col("n") >= size, F.col("pos")).when(nth < F.col("joining"), F.col("chunk")).otherwise(own)
+    return found.select("grp", chunk.cast("long").alias("chunk"))
 
 
 def chunked(posts: DataFrame, size: int = 220, text_limit: int = 400) -> DataFrame:

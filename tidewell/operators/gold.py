@@ -6,14 +6,19 @@ where both say same in one, disputed if only the main labeller or only others ev
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import cut
 from .components import components
 
 #: Beyond so many judged pairs negatives aren't written out; they follow from overlaps, positives and disputed pairs.
 ENUMERATED = 6_000_000
+#: Keys of a row up to which all their sets are counted.
+MOST_KEYS = 10
 
 
 def same_pairs(rows: DataFrame, *by: str) -> DataFrame:
@@ -22,6 +27,28 @@ def same_pairs(rows: DataFrame, *by: str) -> DataFrame:
     return a.join(b, list(by)).where("lo < hi")
 
 
+def shared_pairs(keyed: DataFrame, by: list[str], most: int = MOST_KEYS) -> DataFrame:
+    """by and pairs: how many pairs of rows of keyed (id, keys: sorted, and by), equal in by, have a key in common; no pair is listed.
+
+    By inclusion and exclusion: the rows that have all of some keys pair up, and a pair that has n keys in common counts in 2 ** n - 1 such sets, which with signs by their size make one.
+    Sets are counted where rows are before they are shuffled, so a key that a third of all rows have is one more sum. Rows of more than `most` keys would have too many sets: these are taken
+    by classes of equal keys, and their classes meet those that share a key.
+    """
+    few, many = keyed.where(F.size("keys").between(1, most)), keyed.where(F.size("keys") > most)
+    subsets = F.expr("transform(sequence(1, shiftleft(1, size(keys)) - 1), mask -> filter(keys, (k, i) -> (mask & shiftleft(1, i)) != 0))")
+    sets = few.select(*by, F.explode(subsets).alias("some"))
+    counted = sets.groupBy(*by, "some").agg(F.count("*").alias("n")).where("n > 1")
+    sign = F.when(F.size("some") % 2 == 1, 1).otherwise(-1)
+    total = counted.select(*by, (sign * F.expr("n * (n - 1) div 2")).alias("pairs"))
+    # of wide rows: classes of equal keys, with themselves and with others
+    classes = keyed.groupBy(*by, "keys").agg(F.count("*").alias("n")).withColumn("wide", F.size("keys") > most)
+    same = classes.where("wide").select(*by, F.expr("n * (n - 1) div 2").alias("pairs"))
+    wide = classes.where("wide").select(*by, F.col("keys").alias("a"), F.col("n").alias("na"), F.explode("keys").alias("key"))
+    other = classes.select(*by, F.col("keys").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("both"), F.explode("keys").alias("key"))
+    met = wide.join(other, [*by, "key"]).where("a != b and (not both or a < b)").select(*by, "a", "b", "na", "nb").distinct()
+    found = total if many.isEmpty() else total.unionByName(same).unionByName(met.select(*by, (F.col("na") * F.col("nb")).alias("pairs")))
+    return found.groupBy(*by).agg(F.sum("pairs").alias("pairs"))
+
 def overlaps(labels: DataFrame, main: str) -> DataFrame:
     """labeller, id, story and main_story of the rows (labeller, id, story) that both a labeller and the main one have."""
     own = labels.where(F.col("labeller") == main).select("id", F.col("story").alias("main_story"))
@@ -101,14 +128,40 @@ def size_histogram(labels: DataFrame) -> DataFrame:
     return labels.groupBy("labeller", "story").agg(F.count("*").alias("size")).groupBy("labeller", "size").agg(F.count("*").alias("stories"))
 
 
+def said_of(shared: DataFrame) -> DataFrame:
+    """id, who, agreed, main and other: the overlaps that a row is in, and in each what both sides, the main one and the other call it."""
+    kept = lambda *c: F.collect_set(F.when(F.expr(" and ".join(f"{x} is not null" for x in c)), F.struct("labeller", *c)))
+    return shared.groupBy("id").agg(F.collect_set("labeller").alias("who"), kept("story", "main_story").alias("agreed"), kept("main_story").alias("main"), kept("story").alias("other"))
+
+
 def judge(pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """pairs (lo, hi, ...) with y: 1 if positive, 0 if negative, null if disputed or unjudged."""
-    said = judgements(shared).where("n_positive > 0 or (n_main > 0) != (n_other > 0)").select("lo", "hi", F.when(F.col("n_positive") > 0, 1).alias("__said"), F.lit(True).alias("__any"))
-    rows = shared.groupBy("id").agg(F.array_sort(F.collect_set("labeller")).alias("who"))
-    a, b = rows.select(F.col("id").alias("lo"), F.col("who").alias("__a")), rows.select(F.col("id").alias("hi"), F.col("who").alias("__b"))
-    found = pairs.join(said, ["lo", "hi"], "left").join(a, "lo", "left").join(b, "hi", "left")
-    inside: Column = F.coalesce(F.arrays_overlap("__a", "__b"), F.lit(False))
-    return found.withColumn("y", F.when(F.col("__any"), F.col("__said")).when(inside, 0)).drop("__said", "__any", "__a", "__b")
+    """pairs (lo, hi, ...) with y: 1 if positive, 0 if negative, null if disputed or unjudged. What is said of each row decides; no other pair is made."""
+    rows = said_of(shared)
+    a, b = rows.select(F.col("id").alias("lo"), F.struct("who", "agreed", "main", "other").alias("__a")), rows.select(F.col("id").alias("hi"), F.struct("who", "agreed", "main", "other").alias("__b"))
+    met: Callable[[str], Column] = lambda c: F.coalesce(F.arrays_overlap(f"__a.{c}", f"__b.{c}"), F.lit(False))
+    found = pairs.join(a, "lo", "left").join(b, "hi", "left")
+    return found.withColumn("y", F.when(met("agreed"), 1).when(met("main") != met("other"), None).when(met("who"), 0)).drop("__a", "__b")
+
+
+def pair_counts(shared: DataFrame) -> DataFrame:
+    """judged, positive, negative and disputed: how many pairs there are of each, in one row. Pairs are products of what rows have in common, and are counted as such, not made."""
+    told = lambda c: F.transform(c, lambda x: F.to_json(x))
+    rows = cut(said_of(shared).select(F.lit(1).alias("all"), "id", "who", told("agreed").alias("agreed"), told("main").alias("main"), told("other").alias("other")))
+    either = F.concat(F.transform("main", lambda x: F.concat(F.lit("m"), x)), F.transform("other", lambda x: F.concat(F.lit("o"), x)))
+    counts = None
+    for name, keys in (("judged", F.col("who")), ("positive", F.col("agreed")), ("main", F.col("main")), ("other", F.col("other")), ("either", either)):
+        n = shared_pairs(rows.select("all", "id", F.array_sort(keys).alias("keys")), ["all"]).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias(name))
+        counts = n if counts is None else counts.crossJoin(n)
+    # by main or by others alone: by either, less what is said by main or by others, is what both say
+    odd = 2 * F.col("either") - F.col("main") - F.col("other")
+    return counts.select("judged", "positive", (F.col("judged") - F.col("positive") - odd).alias("negative"), odd.alias("disputed"))
+
+
+def gold_form(shared: DataFrame, limit: int = ENUMERATED) -> dict[str, DataFrame]:
+    """The gold in the form that its size allows. Where there are few judged pairs, pairs: gold_pairs(). Else rows: said_of(), from which judge() tells any pair, and counts: pair_counts()."""
+    if is_enumerable(shared, limit):
+        return {"pairs": gold_pairs(shared)}
+    return {"rows": said_of(shared), "counts": pair_counts(shared)}
 
 
 def is_enumerable(shared: DataFrame, limit: int = ENUMERATED) -> bool:

@@ -15,13 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..storage import cut, numbered
+from ..storage import cumulative, cut, numbered
 
 #: Stories for each post, shown of these, and of the biggest.
 PER_POST, SHOWN, BIGGEST = 8, 400, 60
 FEATURES = 200_000
-#: Stories of a block, and words whose grams a worker keeps.
-BLOCK, KEPT_WORDS = 4_096, 100_000
+#: Stories of a block, and entries of its vectors (16 bytes each); a story has FEATURES at most.
+BLOCK, ENTRIES = 100_000, 4_000_000
+#: Entries of posts' vectors that a row holds (12 bytes each), and rows that a task streams through a block, about.
+PACK, PACKS = 200_000, 64
+#: Features that a search starts with, and how much rounding may be off by.
+FIRST, NEAR = 64, 1e-9
+#: Words whose grams a worker keeps.
+KEPT_WORDS = 100_000
 _BLANK = re.compile("[ \t\n\x0b\f\r]+")
 
 
@@ -60,20 +66,63 @@ def fit(stories: DataFrame, features: int = FEATURES) -> DataFrame:
 
 
 class Block:
-    """Stories from position `first` on as weights by feature, for products with texts."""
-
-    def __init__(self, first: int, stories: np.ndarray, features: np.ndarray, weights: np.ndarray, n_features: int):
-        order = np.argsort(features, kind="stable")
-        self.first, self.n = first, int(stories.max()) + 1 - first if len(stories) else 0
-        self.stories, self.weights = stories[order] - first, weights[order]
+    """Some stories as an inverted index: each feature's postings by impact, and each story's features for those that a bound leaves."""
+
+    def __init__(self, places: np.ndarray, lengths: np.ndarray, features: np.ndarray, weights: np.ndarray, n_features: int):
+        """places: of the stories, whose features and weights lie end to end."""
+        self.places, self.features, self.weights = places, features, weights
+        self.ends = np.cumsum(lengths)
+        self.lengths = lengths
+        story = np.repeat(np.arange(len(places), dtype=np.int32), lengths)
+        order = np.lexsort((-weights, features))
+        self.stories, self.impacts = story[order], weights[order]
         self.starts = np.searchsorted(features[order], np.arange(n_features + 1))
+        self.most = np.zeros(n_features)
+        has = np.flatnonzero(self.starts[1:] > self.starts[:-1])
+        self.most[has] = self.impacts[self.starts[has]]
+        self.dense = np.zeros(n_features)
 
-    def sims(self, features: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The dot product of a text (different features and their weights) with each story."""
+    def _postings(self, features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What some features of a text add to each story's product with it."""
         lengths = self.starts[features + 1] - self.starts[features]
         ends = np.cumsum(lengths)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[features] - (ends - lengths), lengths)
-        return np.bincount(self.stories[at], np.repeat(weights, lengths) * self.weights[at], self.n)
+        return np.bincount(self.stories[at], np.repeat(weights, lengths) * self.impacts[at], len(self.places))
+
+    def _whole(self, stories: np.ndarray, features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The products of some stories with a text."""
+        self.dense[features] = weights
+        lengths = self.lengths[stories]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1]) + np.repeat(self.ends[stories] - lengths - (ends - lengths), lengths)
+        found = np.add.reduceat(self.dense[self.features[at]] * self.weights[at], ends - lengths)
+        self.dense[features] = 0
+        return found
+
+    def top(self, features: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and products of the k stories nearest to a text (different features and their weights), of equal ones the first; none without a common feature.
+
+        Features are taken from those that can add most; once all that are left can't lift a new story to the k-th best, only stories that still may get there are multiplied whole.
+        """
+        bound = weights * self.most[features]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        features, weights = features[order], weights[order]
+        rest = np.r_[np.cumsum(bound[order][::-1])[::-1], 0.0]
+        sims, done, size = np.zeros(len(self.places)), 0, FIRST
+        able = np.arange(0)
+        while done < len(features):
+            sims += self._postings(features[done : done + size], weights[done : done + size])
+            done, size = min(len(features), done + size), 4 * size
+            kth = np.partition(sims, -k)[-k] if k <= len(sims) else 0.0
+            if done < len(features) and rest[done] < kth - NEAR:
+                able = np.flatnonzero(sims + rest[done] >= kth - NEAR)
+                sims[able] = self._whole(able, features, weights)
+                break
+        else:
+            able = np.flatnonzero(sims > 0)
+        best = able[np.lexsort((self.places[able], -np.round(sims[able], 9)))[:k]]
+        return self.places[best], sims[best]
 
 
 class Grams:
@@ -108,55 +157,127 @@ class Grams:
 def nearest(posts: DataFrame, stories: DataFrame, k: int = PER_POST) -> DataFrame:
     """post, story, sim and rank (from 1): the k stories (story, text) most similar to each of posts (post, text; post is unique), of those that share a gram.
 
-    The grams known are FEATURES at most. Stories go to the workers in blocks of BLOCK; each block is multiplied with batches of posts where these are, and only the
-    k nearest of a block go on. No post is shuffled, and no gram is a key that many rows meet at.
+    The grams known are FEATURES at most; they alone are collected and broadcast. Texts are read and cut into grams once. Stories lie in blocks of bounded size and posts' features in packs of
+    bounded size; a task builds the index of one block and streams packs through it, which must meet each block. Only the k nearest of a block go on.
     """
     spark = posts.sparkSession
+    whole = stories.groupBy("story").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
     idf = cut(fit(stories))
-    vectors = weighted(char_ngrams(stories.select("story", "text"), "text"), idf, "story")
-    places = cut(numbered(stories.select("story").distinct(), "story"))
     told = idf.orderBy("gram").collect()  # FEATURES rows at most
     numbers = spark.sparkContext.broadcast({r["gram"]: i for i, r in enumerate(told)})
     rare = spark.sparkContext.broadcast(np.array([r["idf"] for r in told]))
-    placed = cut(vectors.join(places, "story").select("pos", "gram", "w"))
-    found = None
-    for first in range(0, places.count(), BLOCK):
-        rows = placed.where(F.col("pos").between(first, first + BLOCK - 1)).toPandas()
-        at = rows["gram"].map(numbers.value).to_numpy(np.int64)
-        block = spark.sparkContext.broadcast(Block(first, rows["pos"].to_numpy(np.int64), at, rows["w"].to_numpy(np.float64), len(told)))
-        part = posts.select("post", F.lower("text").alias("text")).mapInArrow(_multiplier(numbers, rare, block, k), T.StructType([posts.schema["post"], *_SIMS]))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return posts.select("post").join(stories.select("story"), F.lit(False)).select("post", "story", F.lit(0.0).alias("sim"), F.lit(1).alias("rank"))
+    vectors = whole.select("story", F.lower("text").alias("text")).mapInArrow(_encoder(numbers, rare, "story"), T.StructType([stories.schema["story"], *_VECTOR]))
+    places = cut(numbered(vectors, "story").withColumn("n", F.size("features").cast("long")))
+    running = cumulative(places.select("pos", "n"), "pos", entries="n").select("pos", (F.expr(f"pos div {BLOCK}") + F.expr(f"entries div {ENTRIES}")).alias("block"))
+    blocks = cut(places.join(running, "pos").select("block", "pos", "features", "weights"))
+    packs = cut(posts.select("post", F.lower("text").alias("text")).mapInArrow(_packer(numbers, rare), "pack binary"))
+    n_packs, last = packs.count(), blocks.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
+    tasks = max(1, min(n_packs, max(-(-n_packs // PACKS), spark.sparkContext.defaultParallelism)))
+    each = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task")
+    index = blocks.select("block", each, F.lit(0).alias("kind"), "pos", "features", "weights", F.lit(None).cast("binary").alias("pack"))
+    texts = packs.withColumn("task", F.pmod(F.xxhash64("pack"), F.lit(tasks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+    texts = texts.select("block", "task", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("array<int>").alias("features"), F.lit(None).cast("array<double>").alias("weights"), "pack")
+    dealt = index.unionByName(texts).repartition("block", "task").sortWithinPartitions("block", "task", "kind", "pos")
+    found = dealt.mapInArrow(_multiplier(len(told), k), T.StructType([posts.schema["post"], *_SIMS]))
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("post").orderBy(F.desc(F.round("sim", 9)), "pos")))
-    return ranked.where(F.col("rank") <= k).join(places, "pos").select("post", "story", "sim", "rank")
+    return ranked.where(F.col("rank") <= k).join(places.select("pos", "story"), "pos").select("post", "story", "sim", "rank")
 
 
 _SIMS = [T.StructField("pos", T.LongType()), T.StructField("sim", T.DoubleType())]
+_VECTOR = [T.StructField("features", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))]
+_Batches = Iterator[pa.RecordBatch]
 
 
-def _multiplier(numbers: Broadcast, rare: Broadcast, block: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, idf, these = Grams(numbers.value), rare.value, block.value
+def _encoder(numbers: Broadcast, rare: Broadcast, key: str) -> Callable[[_Batches], _Batches]:
+    """key, features and weights (of length 1 together) of texts; a text without known grams has none."""
+
+    def encode(batches: _Batches) -> _Batches:
+        grams, idf = Grams(numbers.value), rare.value
+        for b in batches:
+            features, weights = [], []
+            for text in b.column("text"):
+                found, times = grams.counts(text.as_py() or "")
+                w = times * idf[found]
+                features.append(found.astype(np.int32))
+                weights.append(w / (np.sqrt(w @ w) or 1.0))
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(features, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], names=[key, "features", "weights"])
+
+    return encode
+
+
+def _packer(numbers: Broadcast, rare: Broadcast) -> Callable[[_Batches], _Batches]:
+    """Posts' features, so many entries a row, as Arrow tables."""
+    encode = _encoder(numbers, rare, "post")
+
+    def packed(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, some[0].schema) as stream:
+            for b in some:
+                stream.write_batch(b)
+        return pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["pack"])
+
+    def pack(batches: _Batches) -> _Batches:
+        some, size = [], 0
+        for whole in batches:
+            for i in range(0, whole.num_rows, 100):
+                for b in encode(iter([whole.slice(i, 100)])):
+                    some.append(b)
+                    size += len(b.column("features").flatten())
+                    if size >= PACK:
+                        yield packed(some)
+                        some, size = [], 0
+        if some:
+            yield packed(some)
+
+    return pack
+
+
+def _multiplier(n_features: int, k: int) -> Callable[[_Batches], _Batches]:
+    """The nearest of a block for each post of a pack; rows come by block and task, a block's stories before packs."""
+
+    def multiply(batches: _Batches) -> _Batches:
+        at, stories, block = None, [], None
         for b in batches:
-            take, pos, near = [], [], []
-            for i, text in enumerate(b.column("text")):
-                features, times = grams.counts(text.as_py() or "")
-                w = times * idf[features]
-                length = np.sqrt(w @ w)
-                if not length:
-                    continue
-                sims = these.sims(features, w / length)
-                able = np.flatnonzero(sims > 0)
-                best = able[np.lexsort((able, -np.round(sims[able], 9)))[:k]]
-                take += [i] * len(best)
-                pos += (best + these.first).tolist()
-                near += sims[best].tolist()
-            yield pa.RecordBatch.from_arrays([b.column("post").take(pa.array(take, pa.int64())), pa.array(pos, pa.int64()), pa.array(near, pa.float64())], names=["post", "pos", "sim"])
+            keys = list(zip(b.column("block").to_pylist(), b.column("task").to_pylist(), b.column("kind").to_pylist(), strict=True))
+            start = 0
+            while start < len(keys):
+                end = start + 1
+                while end < len(keys) and keys[end] == keys[start]:
+                    end += 1
+                part, (*key, kind) = b.slice(start, end - start), keys[start]
+                start = end
+                if key != at:
+                    at, stories, block = key, [], None
+                if kind == 0:
+                    stories.append(part)
+                elif stories:
+                    block = block or _block_of(stories, n_features)
+                    for pack in part.column("pack"):
+                        yield from (_near(block, some, k) for some in pa.ipc.open_stream(pack.as_py()))
 
     return multiply
 
 
+def _block_of(stories: list[pa.RecordBatch], n_features: int) -> Block:
+    table = pa.Table.from_batches(stories).combine_chunks()
+    features, weights = (table.column(c).combine_chunks() for c in ("features", "weights"))
+    lengths = np.diff(features.offsets.to_numpy()).astype(np.int64)
+    return Block(table.column("pos").to_numpy(), lengths, features.flatten().to_numpy(), weights.flatten().to_numpy(), n_features)
+
+
+def _near(block: Block, texts: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    features, weights = texts.column("features"), texts.column("weights")
+    ends = features.offsets.to_numpy() - features.offsets[0].as_py()
+    f, w = features.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy()
+    take, pos, sims = [], [], []
+    for i in range(texts.num_rows):
+        near, sim = block.top(f[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]], k)
+        take += [i] * len(near)
+        pos += near.tolist()
+        sims += sim.tolist()
+    return pa.RecordBatch.from_arrays([texts.column("post").take(pa.array(take, pa.int64())), pa.array(pos, pa.int64()), pa.array(sims, pa.float64())], names=["post", "pos", "sim"])
+
+
 def round_robin(near: DataFrame, budget: int = SHOWN) -> DataFrame:
     """story and place (from 1) of the stories to show: all posts' nearest before any post's second; each once; `budget` of them."""
     first = near.groupBy("story").agg(F.min(F.struct("rank", "post")).alias("at"))

@@ -285,3 +285,23 @@ def exact_signals(spark, sf_dir):
     pairs = near.join(p.select(F.col("id").alias("hi"), F.col("lang").alias("lb")), "hi").select("lo", "hi", (F.col("la") == F.col("lb")).cast("int").alias("y"))
     out = metrics.exact_signals(pairs, p)
     return out.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "pairs_caught", "false_pairs")
+
+
+@query(_SIGNALS + """,
+c4 AS (SELECT list(url) AS common FROM f WHERE n > 4),
+u AS (SELECT id, quoted, media, lang, list_filter(urls, lambda x: NOT list_contains(common, x)) AS urls FROM p CROSS JOIN c4),
+j AS (SELECT x.lang = y.lang AS y, coalesce(x.quoted = y.quoted, FALSE) OR list_has_any(x.urls, y.urls) OR list_has_any(x.media, y.media) AS said FROM u x JOIN u y ON y.id > x.id),
+c AS (SELECT count(*) FILTER (WHERE said AND y) AS tp, count(*) FILTER (WHERE said AND NOT y) AS fp, count(*) FILTER (WHERE NOT said AND y) AS fn FROM j)
+SELECT round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1,
+       tp AS pairs_caught, fp AS false_pairs FROM c""")
+def exact_signals_all(spark, sf_dir):
+    """All pairs of documents, counted from what they share; the same language counts as the same story."""
+    out = metrics.exact_signals_of_all(signal_posts(spark, sf_dir).withColumnRenamed("lang", "story"))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "pairs_caught", "false_pairs")
+
+
+@query(f"""WITH {_LABELS}
+SELECT count(*) AS judged, count(*) FILTER (WHERE pos) AS positive, count(*) FILTER (WHERE NOT pos AND sa = sb) AS negative, count(*) FILTER (WHERE sa <> sb) AS disputed FROM pairs""")
+def gold_pair_totals(spark, sf_dir):
+    """How many pairs of each kind there are, by what rows have in common."""
+    return gold.pair_counts(shared(spark, sf_dir))

@@ -179,14 +179,24 @@ def memory_upsert(spark, sf_dir):
 # settings and models
 
 
-@query("SELECT * FROM (VALUES ('followers_at_least', '5'), ('hide_more', 'false'), ('hide_more_from_author', 'true'), ('hide_quotes_from', 'a,b')) t(setting, said)")
+@query("""
+SELECT source, unnest(['followers_at_least', 'hide_more', 'hide_more_from_author', 'hide_quotes_from']) AS setting,
+       unnest([count(*)::VARCHAR, CASE WHEN count(*) % 2 = 0 THEN 'false' ELSE 'true' END, 'true', string_agg(DISTINCT lang, ',' ORDER BY lang)]) AS said FROM documents GROUP BY source""")
 def config_merge(spark, sf_dir):
-    """Stored settings over the defaults; those that nothing knows are ignored."""
-    stored = {"followers_at_least": 5, "hide_more": False, "hide_quotes_from": ("a", "b"), "unheard_of": 1}
-    now = FilterConfig().merged(stored)
-    told = {k: getattr(now, k) for k in ("followers_at_least", "hide_more", "hide_more_from_author", "hide_quotes_from")}
-    said = lambda v: ",".join(v) if isinstance(v, tuple) else json.dumps(v)
-    return spark.createDataFrame([(k, said(v)) for k, v in told.items()], "setting string, said string")
+    """Each source's stored settings, from what its documents are, over the defaults; those that nothing knows are ignored."""
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for source, stored in zip(b["source"], b["stored"].map(json.loads), strict=True):
+                now = FilterConfig().merged(stored | {"hide_quotes_from": tuple(stored["hide_quotes_from"]), "unheard_of": 1})
+                told = {k: getattr(now, k) for k in ("followers_at_least", "hide_more", "hide_more_from_author", "hide_quotes_from")}
+                rows += [(source, k, ",".join(v) if isinstance(v, tuple) else json.dumps(v)) for k, v in told.items()]
+            yield pd.DataFrame(rows, columns=["source", "setting", "said"])
+
+    n = F.count("*")
+    stored = F.to_json(F.struct(n.alias("followers_at_least"), (n % 2 != 0).alias("hide_more"), F.array_sort(F.collect_set("lang")).alias("hide_quotes_from")))
+    return docs(spark, sf_dir).groupBy("source").agg(stored.alias("stored")).mapInPandas(merge, "source string, setting string, said string")
 
 
 @query("SELECT doc_id, CASE WHEN k IN (89, 92, 94) THEN k / 100 ELSE 0.94 END AS tau FROM (SELECT doc_id, 85 + doc_id % 12 AS k FROM documents)")
@@ -195,23 +205,31 @@ def threshold_presets(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", embed.preset_of((85 + F.col("doc_id") % 12) / 100).alias("tau"))
 
 
-@query("SELECT 'lexical' AS id, 256 AS dim, 0.94::DOUBLE AS tau, 'mean' AS pooling")
+@query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 256 ELSE NULL END AS dim, CASE WHEN vec_id % 2 = 0 THEN 0.94::DOUBLE ELSE NULL END AS tau, len(embedding) = 256 AND vec_id % 2 = 0 AS fits FROM embeddings")
 def model_registry(spark, sf_dir):
-    return spark.createDataFrame([(m.id, m.dim, m.tau, m.pooling) for m in embed.MODELS.values()], "id string, dim int, tau double, pooling string")
+    """Vectors by the model that they say they are of; those of a model that nobody registered have no specification."""
+    known = spark.createDataFrame([(m.id, m.dim, m.tau) for m in embed.MODELS.values()], "model string, dim int, tau double")
+    rows = vectors(spark, sf_dir).withColumn("model", F.when(F.col("id") % 2 == 0, "lexical").otherwise("unheard of"))
+    fits = F.coalesce(F.size("vec") == F.col("dim"), F.lit(False))
+    return rows.join(F.broadcast(known), "model", "left").select(F.col("id").alias("vec_id"), "dim", "tau", fits.alias("fits"))
 
 
-@query("SELECT * FROM (VALUES (0, FALSE), (1, FALSE), (2, TRUE), (9, TRUE)) t(unknown, refused)")
+@query("SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[\x00-\x7F]', '', 'g')) > 1 AS refused FROM documents")
 def tokenizer_guard(spark, sf_dir):
-    """A tokenizer that knows too little of a plain sentence is refused."""
+    """A tokenizer of ASCII alone is refused by texts that have more characters besides than one."""
+
+    @F.pandas_udf("boolean")
+    def refused(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> bool:
+            try:
+                embed.pieces_known(sum(not c.isascii() for c in text or ""))
+            except ValueError:
+                return True
+            return False
 
-    def refused(n: int) -> bool:
-        try:
-            embed.pieces_known(n)
-        except ValueError:
-            return True
-        return False
+        return texts.map(one)
 
-    return spark.createDataFrame([(n, refused(n)) for n in (0, 1, 2, 9)], "unknown int, refused boolean")
+    return docs(spark, sf_dir).select("doc_id", refused("text").alias("refused"))
 
 
 _BLOCKS = "SELECT *, doc_id // 500 AS block, trim(text) AS t FROM documents WHERE trim(text) <> ''"

@@ -136,3 +136,34 @@ def test_home_and_profile_run(spark):
         assert pages.main_timeline(df, timeline.FilterConfig(), page).count() == 30
     assert pages.timeline_options(spark).count() == len(timeline.TIMELINE_OPTIONS)
     assert [x[0] for x in spark.createDataFrame([("/login",), ("/home",)], "p string").select(pages.outside_app("p")).collect()] == [True, False]
+
+
+def test_only_changed_timelines_are_decided_anew(spark):
+    from tidewell.operators.refresh import refreshed
+
+    r = random.Random(14)
+    users = spark.createDataFrame([("u1", True, False, 5)], "screen_name string, following boolean, followed_by boolean, followers_count long")
+    config, seen = timeline.FilterConfig(), []
+
+    def decide(df):
+        seen.append(sorted(x[0] for x in df.select("timeline_id").distinct().collect()))
+        return pages.thread(df, users, config, "u1", "u2").select("timeline_id", "pos", "kind", "hide", "changed")
+
+    frame = lambda ts: spark.createDataFrame([tuple(x[n] for n in NAMES) for t in ts for x in t], pages.FEATURES)
+    told = lambda df: {(x.timeline_id, x.pos, x.kind, x.hide, x.changed) for x in df.collect()}
+    now = [[item(r, t, p) for p in range(8)] for t in range(12)]
+    state = refreshed(frame(now), decide)
+    assert state.redone == 12 and told(state.decisions) == told(pages.thread(frame(now), users, config, "u1", "u2"))
+    for late, gone, new in ((3, None, 20), (5, 7, None), (None, None, None)):
+        held = told(state.decisions)
+        now = [t for t in now if gone is None or t[0]["timeline_id"] != now[gone][0]["timeline_id"]]
+        if late is not None:  # a heading comes late, and what follows it goes
+            now[late] = [x | {"is_post": False, "has_article": False, "heading": True, "heading_described": True, "button": None} if x["pos"] == 1 else x for x in now[late]]
+        if new:
+            now.append([item(r, new, p) for p in range(8)])
+        random.Random(15).shuffle(now)
+        state = refreshed(frame(now), decide, state)
+        assert state.redone == (late is not None) + bool(new) == len(seen[-1])
+        whole = told(pages.thread(frame(now), users, config, "u1", "u2"))
+        assert told(state.decisions) == whole
+        assert told(state.changes.where("op = '-'")) == held - whole and told(state.changes.where("op = '+'")) == whole - held

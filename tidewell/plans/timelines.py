@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import pages
+from ..operators import pages, refresh
 from ..operators import timeline as T
 from ..schemas import table
 from .registry import query
@@ -72,6 +72,20 @@ def sticky_section(spark, sf_dir):
     return _named(df.withColumn("hide", T.sticky(df, F.col("n") % 7 == 0)), "hide")
 
 
+@query(f"""WITH {_ITEMS},
+w AS (SELECT *, coalesce(bool_or(n % 7 = 0) OVER o, FALSE) AS now, conv_id % 4 <> 0 AND coalesce(bool_or(n % 7 = 0) OVER o, FALSE) AS was
+      FROM items WINDOW o AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT conv_id, turn, unnest(['-', '+']) AS op, unnest([was, now]) AS hide FROM w WHERE was <> now)
+SELECT conv_id, turn, op, hide, (SELECT count(DISTINCT conv_id) FROM items WHERE conv_id % 4 = 0 AND n % 7 = 0) AS redone FROM c""")
+def pages_refreshed(spark, sf_dir):
+    """Headings that come late, in every fourth timeline: what was decided before is retracted, and only timelines with such a heading are decided anew."""
+    now = items(spark, sf_dir).withColumn("heading", F.col("n") % 7 == 0)
+    decide = lambda df: df.withColumn("hide", T.sticky(df, F.col("heading"))).select("timeline_id", "pos", "hide")
+    first = refresh.refreshed(now.withColumn("heading", F.col("heading") & (F.col("timeline_id") % 4 != 0)), decide)
+    later = refresh.refreshed(now, decide, first)
+    return _named(later.changes.withColumn("redone", F.lit(later.redone).cast("long")), "op", "hide", "redone")
+
+
 @query(f"""WITH {_ITEMS}, f AS (SELECT conv_id, max(turn) AS last FROM items WHERE n % 6 = 0 GROUP BY conv_id)
 SELECT conv_id, turn FROM items LEFT JOIN f USING (conv_id) WHERE own <> cur AND (last IS NULL OR turn > last)""")
 def focused_reset(spark, sf_dir):

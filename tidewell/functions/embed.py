@@ -6,6 +6,8 @@ import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from queue import Empty, SimpleQueue
+from threading import Thread
 
 import numpy as np
 import pandas as pd
@@ -56,16 +58,20 @@ def preset_of(value: Column) -> Column:
 
 @dataclass(frozen=True)
 class Limits:
-    """Texts of a call, cached vectors of a worker, failures in a row that open the circuit, and the seconds it stays open."""
+    """Texts of a call, cached vectors of a worker, failures in a row that open the circuit, the seconds it stays open, and those that a call may take."""
 
     batch: int = 32
     cached: int = 5_000
     failures: int = 5
     pause_s: float = 30.0
+    timeout_s: float = 60.0
 
 
 class Guarded:
-    """An embedder with a cache of the last used vectors, which gives None for texts whose call failed or came while the circuit was open."""
+    """An embedder with a cache of the last used vectors, which gives None for texts whose call failed, took too long or came while the circuit was open.
+
+    A call that takes too long is left to itself: its answer is dropped when it comes. An answer of another number of vectors is a failure.
+    """
 
     def __init__(self, embed: Embedder, limits: Limits = Limits(), clock: Callable[[], float] = time.monotonic):
         self.embed, self.limits, self.clock = embed, limits, clock
@@ -84,7 +90,7 @@ class Guarded:
                 break
             some = new[i : i + self.limits.batch]
             try:
-                vectors = self.embed(some)
+                vectors = self._answer(some)
                 self.failed = 0
             except Exception:
                 self.failed += 1
@@ -98,6 +104,27 @@ class Guarded:
         return [found.get(t) for t in texts]
 
 
+    def _answer(self, some: list[str]) -> list[list[float]]:
+        answers: SimpleQueue[tuple[list[list[float]] | None, Exception | None]] = SimpleQueue()
+
+        def call() -> None:
+            try:
+                answers.put((self.embed(some), None))
+            except Exception as e:
+                answers.put((None, e))
+
+        Thread(target=call, daemon=True).start()  # a daemon, so that one that never answers doesn't hold the worker
+        try:
+            vectors, failure = answers.get(timeout=self.limits.timeout_s)
+        except Empty:
+            raise TimeoutError(f"no answer in {self.limits.timeout_s} s") from None
+        if failure:
+            raise failure
+        if len(vectors) != len(some):
+            raise ValueError(f"{len(vectors)} vectors for {len(some)} texts")
+        return vectors
+
+
 def lexical(dim: int = 256) -> Embedder:
     """Unit vectors of hashed character trigrams: the same on every machine, without a model."""
     import zlib

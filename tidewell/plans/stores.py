@@ -17,7 +17,7 @@ from ..operators import chunks, gold, metrics, retrieval
 from ..operators.cluster import Tuning
 from ..operators.timeline import FilterConfig
 from ..schemas import table
-from ..sources import files, html, memory
+from ..sources import files, html, memory, tail
 from ..storage import numbered, shared_dir
 from ..streaming.engine import Engine, observed
 from ..streaming.live import LiveEngine, pivots_for
@@ -153,6 +153,21 @@ def config_markdown(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(told.split("\n"), 1)), "at long, line string")
 
 
+@query("SELECT doc_id, count(*) AS times FROM documents WHERE doc_id % 7 <> 3 GROUP BY doc_id UNION ALL SELECT NULL, count(*) FROM documents WHERE doc_id % 7 = 3")
+def lines_streamed(spark, sf_dir):
+    """Documents appended as JSON lines to a folder while a stream reads it, every seventh line broken off; each is told once, those broken off as torn."""
+    folder, out, checkpoint = scratch(spark), scratch(spark), scratch(spark)
+    rows = docs(spark, sf_dir).select("doc_id", "lang")
+    whole = F.to_json(F.struct("doc_id", "lang"))
+    line = F.when(F.col("doc_id") % 7 == 3, F.expr("left(line, length(line) - 3)")).otherwise(F.col("line"))
+    for part in range(3):
+        rows.where(F.col("doc_id") % 3 == part).withColumn("line", whole).select(line).write.mode("append").text(folder)
+        told = tail.parsed(tail.lines(spark, folder, True, ".txt"), "doc_id long, lang string")
+        told.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.parquet(out)
+    return read.groupBy(F.when(~F.col("torn"), F.col("doc_id")).alias("doc_id")).agg(F.count("*").alias("times"))
+
+
 # memory
 
 

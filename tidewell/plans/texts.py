@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import learnt
 from ..functions import text as X
 from ..functions.embed import embedded, lexical
 from ..functions.labels import salvage
@@ -228,3 +229,24 @@ def stream_equals_batch(spark, sf_dir):
     return batch.join(streamed, "id", "full").agg(F.count("*").alias("n"), F.count_if(~F.col("s").eqNullSafe(F.col("b"))).alias("different"))
 
 
+@query(r"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, trim(text) AS t, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT count(t) AS n FROM w),
+voc AS MATERIALIZED (
+  SELECT word, ln((1 + (SELECT n FROM n)) / (1 + df)) + 1 AS rarity FROM (
+    SELECT word, count(*) AS tf, count(DISTINCT row) AS df FROM (SELECT row, unnest(w) AS word FROM w) GROUP BY word ORDER BY tf DESC, word LIMIT 20000)),
+met AS (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)),
+near AS (SELECT word, beside, ln(1 + count(*)) * r.rarity AS pull FROM (SELECT a AS word, b AS beside FROM met UNION ALL SELECT b, a FROM met) JOIN voc USING (word) JOIN voc r ON r.word = beside GROUP BY word, beside, r.rarity),
+way AS MATERIALIZED (
+  SELECT word, i, CASE WHEN ((instr('0123456789abcdef', substr(md5(word), 1 + i // 4, 1)) - 1) >> (i % 4)) & 1 = 1 THEN 1.0 ELSE -1.0 END AS sign FROM voc, (SELECT unnest(range(64))::INT AS i)),
+sums AS (SELECT n.word, i, sum(pull * sign) AS v FROM near n JOIN way ON way.word = n.beside GROUP BY n.word, i),
+unit AS MATERIALIZED (SELECT word, i, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY word)), 1e-9) AS v FROM sums),
+tf AS (SELECT row, word, count(*) AS tf FROM (SELECT row, unnest(w) AS word FROM w) GROUP BY row, word),
+text AS (SELECT row, i, sum(tf * rarity * v) AS v FROM tf JOIN voc USING (word) JOIN unit USING (word) GROUP BY row, i),
+u AS (SELECT row, i, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY row)), 1e-9) AS v FROM text)
+SELECT doc_id, round(max(v) FILTER (WHERE i = 0), 4) AS v0, round(max(v) FILTER (WHERE i = 17), 4) AS v17, round(max(v) FILTER (WHERE i = 63), 4) AS v63 FROM w LEFT JOIN u USING (row) GROUP BY row, doc_id""")
+def embed_learnt(spark, sf_dir):
+    """Texts' vectors by a model learnt from the texts."""
+    d = docs(spark, sf_dir).select("doc_id", "text")
+    found = learnt.with_vectors(d, learnt.learn(d))
+    return found.select("doc_id", *[F.round(F.col("vec")[i], 4).alias(f"v{i}") for i in (0, 17, 63)])

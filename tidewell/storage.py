@@ -66,14 +66,29 @@ def _innermost() -> _Scope | None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, so that neither its plan nor lost executors cost it again."""
+    """df written to the shared folder and read back, so that neither its plan nor lost executors cost it again. Its shuffles' files go with the write."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     if scope := _innermost():
         scope.tables.append((df.sparkSession, path))
-    df.write.parquet(path)
+    with _shuffles_deleted(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Whether a query's shuffle files go when it has ended, where Spark knows the setting; they stay until the driver collects garbage otherwise.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+
+
 @contextmanager
 def passing() -> Iterator[None]:
     """What this thread cuts inside is deleted at the end: for work that leaves what it finds somewhere else."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import judged, metrics
+from tidewell.operators import gold, judged, metrics
 
 SHARED = "labeller string, id long, story long, main_story long"
 
@@ -73,3 +73,16 @@ def test_an_id_told_twice_is_refused(spark):
     shared = spark.createDataFrame([("a", 1, 1, 1), ("a", 1, 2, 1)], SHARED)
     with pytest.raises(ValueError):
         judged.Judged(shared, spark.range(2).select("id", F.array(F.lit(1.0)).alias("vec")))
+
+
+@pytest.mark.parametrize("most", [10, 1])
+def test_sums_and_lists_of_gold_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(gold, "RANGE", 7)
+    shared, *_, want = made(spark, 45, 73)
+    sums = {y: (len(p), sum(x for x, _ in p), sum(x for _, x in p)) for y in (0, 1) if (p := [k for k, (kind, _) in want.items() if kind == y])}
+    assert {x.y: (x.pairs, x.lo_sum, x.hi_sum) for x in gold.pair_sums(shared, most).collect()} == sums
+    twice = shared.union(shared.limit(1))
+    for rows in (shared, twice):
+        assert sorted((x.lo, x.hi, x.y) for x in gold.gold_pairs(rows).collect()) == sorted((*p, y) for p, (y, _) in want.items() if y < 2)
+        assert sorted((x.lo, x.hi) for x in gold.disputed(rows).collect()) == sorted(p for p, (y, _) in want.items() if y == 2)
+    assert gold.pair_sums(shared.limit(0)).count() == 0

@@ -1,6 +1,7 @@
 """Judged pairs met block by block, beside all pairs in plain Python."""
 
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import gold, judged, metrics
+from tidewell.plans import catalogue
 
 SHARED = "labeller string, id long, story long, main_story long"
 
@@ -86,3 +88,43 @@ def test_sums_and_lists_of_gold_pairs(spark, monkeypatch, most):
         assert sorted((x.lo, x.hi, x.y) for x in gold.gold_pairs(rows).collect()) == sorted((*p, y) for p, (y, _) in want.items() if y < 2)
         assert sorted((x.lo, x.hi) for x in gold.disputed(rows).collect()) == sorted(p for p, (y, _) in want.items() if y == 2)
     assert gold.pair_sums(shared.limit(0)).count() == 0
+
+
+def test_gaps_of_one_story_in_the_time_of_a_sort(spark):
+    n = 60_000
+    rows = spark.range(n).select(F.col("id").alias("pos"), F.lit("s").alias("story"))
+    found = metrics.gap_profile(rows, (100, n)).first()
+    assert found.within_100 == pytest.approx(sum(n - g for g in range(1, 101)) / (n * (n - 1) / 2)) and found[f"within_{n}"] == 1
+    assert found.median == pytest.approx(n * (1 - 0.5**0.5), abs=1)
+
+
+def tables(spark, path, **named):
+    for name, parts in named.items():
+        for rows in parts:
+            rows.coalesce(1).write.mode("append").parquet(f"{path}/{name}.parquet")
+            time.sleep(0.1)
+    return str(path)
+
+
+def some_vectors(spark, ids):
+    r = np.random.default_rng(74)
+    rows = [(i, [float(x) for x in v / np.linalg.norm(v)], int(i) % 5) for i, v in zip(ids, r.normal(size=(len(ids), 8)), strict=True)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+
+def test_texts_with_equal_vectors_stay_apart(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t, "s", "en", len(t)) for i, t in enumerate(["Same text", "same text", "Same text"])], "doc_id long, text string, source string, lang string, n_chars int")
+    found = catalogue.queries()["embed_fanout"](spark, tables(spark, tmp_path, documents=[docs]))
+    assert sorted(tuple(x) for x in found.select("doc_id", "same_as").collect()) == [(0, 0), (1, 1), (2, 0)]
+
+
+def test_a_stream_is_in_order_of_ids_whenever_its_files_were_written(spark, tmp_path):
+    late, early = some_vectors(spark, range(60, 120)), some_vectors(spark, range(60))
+    found = catalogue.queries()["stream_equals_batch"](spark, tables(spark, tmp_path, embeddings=[late, early]))
+    assert tuple(found.select("n", "different").first()) == (120, 0)
+
+
+def test_ids_far_apart_are_streamed_and_come_again(spark, tmp_path):
+    ids = [4000 * i for i in range(40)]
+    found = catalogue.queries()["stream_redelivered"](spark, tables(spark, tmp_path, embeddings=[some_vectors(spark, ids)]))
+    assert {x.vec_id: x.placed for x in found.collect()} == dict.fromkeys(ids, 2)

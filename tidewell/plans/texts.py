@@ -15,7 +15,7 @@ from ..operators import chunks, retrieval
 from ..operators.cluster import Tuning, cluster
 from ..schemas import table, vectors_of
 from ..sources import html
-from ..storage import shared_dir
+from ..storage import cut, numbered, shared_dir
 from ..streaming.engine import Engine
 from . import clusters as _clusters  # noqa: F401  (its queries come first)
 from .registry import SQL, query
@@ -204,13 +204,22 @@ def embed_texts(spark, sf_dir):
     return e.agg(F.count("*").alias("n"), F.count("vec").alias("with_vector")).crossJoin(p.agg(F.countDistinct("text").alias("texts")))
 
 
+#: Rows of a micro-batch of the vectors' stream, and micro-batches of fewer rows.
+BATCH, BATCHES = 25_000, 4
+
+
 def _streamed(spark: SparkSession, sf_dir: str, tuning: Tuning) -> DataFrame:
-    """The vectors as a stream, one file a micro-batch."""
+    """The vectors as a stream in the order of their ids, one file a micro-batch. Files are taken by the times they were written at, so these are written one by one."""
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
-    stream = vectors_of(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/embeddings.parque[t]"))  # a pattern, since the table may be one file
+    rows = cut(numbered(vectors_of(table(spark, sf_dir, "embeddings")).select("id", "seq", "vec", "author"), "seq", "id"))
+    n = rows.count()
+    size = max(1, min(BATCH, -(-n // BATCHES)))
+    fields = rows.drop("pos").schema
+    for k in range(max(1, -(-n // size))):
+        rows.where((F.col("pos") >= k * size) & (F.col("pos") < (k + 1) * size)).drop("pos").coalesce(1).write.mode("append").parquet(f"{root}/posts")
+    stream = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).parquet(f"{root}/posts")
     engine = Engine(spark, f"{root}/state", tuning)
-    engine.start(stream.select("id", "seq", "vec", "author"), f"{root}/checkpoint").awaitTermination()
+    engine.start(stream, f"{root}/checkpoint").awaitTermination()
     return engine.state()
 
 
@@ -223,7 +232,7 @@ def stream_stats(spark, sf_dir):
 
 @query("SELECT count(*) AS n, 0::BIGINT AS different FROM embeddings")
 def stream_equals_batch(spark, sf_dir):
-    """How many rows the stream puts elsewhere than the batch does. Files come in their order by name, which is that of the rows."""
+    """How many rows the stream puts elsewhere than the batch does. Files come in the order of the rows."""
     streamed = _streamed(spark, sf_dir, Tuning(0.3)).select("id", F.col("cluster_id").alias("s"))
     batch = cluster(vectors_of(table(spark, sf_dir, "embeddings")), Tuning(0.3)).select("id", F.col("cluster_id").alias("b"))
     return batch.join(streamed, "id", "full").agg(F.count("*").alias("n"), F.count_if(~F.col("s").eqNullSafe(F.col("b"))).alias("different"))

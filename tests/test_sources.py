@@ -53,6 +53,15 @@ def test_gold_pairs_sources_agree(spark):
         files.gold_pairs(spark, None, None, None)
 
 
+def test_compact_pairs_are_one_each_whatever_tells_them_often(spark):
+    overlaps = spark.createDataFrame([(w, x) for w, own in (("l", range(600)), ("m", range(300, 900)), (None, (900, 901))) for x in own] + [("l", 1)], "labeller string, id long")
+    pairs = lambda p: spark.createDataFrame(p, "lo long, hi long")
+    positive, disputed = [(1, 2), (1, 2), (3, 590), (310, 320), (0, 899), (900, 901), (7, 9)], [(2, 5), (310, 890), (7, 9), (5000, 6000)]
+    found = files.gold_pairs(spark, {"overlaps": overlaps, "positives": pairs(positive), "disputed": pairs(disputed)}, None, None).collect()
+    want = {(a, b): int((a, b) in positive) for own in (range(600), range(300, 900)) for a in own for b in own if a < b and (a, b) not in disputed}
+    assert len(found) == len(want) and {(r.lo, r.hi): r.y for r in found} == want
+
+
 def test_largest_object():
     assert json.loads(largest_object('{"a": 1} then ```json\n{"b": {"c": "x"}, "d": 2}``` {bad}')) == {"b": {"c": "x"}, "d": 2}
     assert largest_object("no {json") is None and largest_object(None) is None and largest_object("{" * 50_000) is None

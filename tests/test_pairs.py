@@ -122,3 +122,11 @@ def test_the_index_stops_early_and_finds_the_same(monkeypatch):
             places, near = block.top(features, w, k)
             assert places.tolist() == (best + 1000).tolist() and np.allclose(near, sims[best])
     assert whole and np.mean(whole) < n / 10  # where bounds cut, few stories are multiplied whole
+
+
+def test_pairs_of_one_group_are_dealt_over_tasks(spark):
+    rows = spark.range(5000).selectExpr("'l' as labeller", "id")
+    found = gold.same_pairs(rows, "labeller").groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi")).collect()
+    assert len(found) > 1
+    n = 5000 * 4999 // 2
+    assert sum(r.n for r in found) == n and sum(r.lo for r in found) == sum(k * (4999 - k) for k in range(5000)) and sum(r.hi for r in found) == sum(k * k for k in range(5000))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import chunks, gold, metrics, retrieval
+from tidewell.operators.cluster import Tuning
 
 SHARED = "labeller string, id long, story long, main_story long"
 
@@ -130,3 +131,17 @@ def test_pairs_of_one_group_are_dealt_over_tasks(spark):
     assert len(found) > 1
     n = 5000 * 4999 // 2
     assert sum(r.n for r in found) == n and sum(r.lo for r in found) == sum(k * (4999 - k) for k in range(5000)) and sum(r.hi for r in found) == sum(k * k for k in range(5000))
+
+
+def test_collapse_decides_from_a_tuning_s_own_edges(spark, monkeypatch):
+    """What decides few edges in one task reads those alone, not all edges through a filter."""
+    plans, real = [], metrics.members_of
+    monkeypatch.setattr(metrics, "members_of", lambda edges: plans.append(edges._jdf.queryExecution().optimizedPlan().toString()) or real(edges))
+    at = np.random.default_rng(3).normal(size=(60, 8))
+    at /= np.linalg.norm(at, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(k, k, v.tolist(), k % 7) for k, v in enumerate(at)], "pos long, id long, vec array<double>, author long")
+    shared = spark.createDataFrame([("b", k, k % 4, k % 5) for k in range(60)], "labeller string, id long, story long, main_story long")
+    grid = [Tuning(0.3), Tuning(0.4, window=10, other_author=True)]
+    found = metrics.simulate_collapse(vectors, 60, shared, grid).collect()
+    assert len(found) == 2 and all(r.hidden > 0 for r in found)
+    assert plans and not any("Filter" in p or "Join" in p for p in plans)

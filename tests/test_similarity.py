@@ -1,6 +1,7 @@
 """The similarity join by cells beside a product of all rows, and how much of that product it makes."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,14 @@ def test_copies_follow_the_first_of_their_kind(spark, monkeypatch):
     assert found == want
     monkeypatch.setattr(clustering, "copies_of", lambda placed, tau: placed.where("false"))
     assert {x.id: x.cluster_id for x in clustering.cluster(posts, clustering.Tuning(0.7)).collect()} == want
+
+
+def test_a_task_gives_its_pairs_step_by_step():
+    n = 3 * similarity.STEP
+    made = similarity.Partition(np.ones((1, 2)), np.eye(2), 0.5, 2.0)
+    table = pa.table({
+        "pos": np.arange(n), "vec": pa.array([[1.0, 0.0]] * n, pa.list_(pa.float64())), "tau": np.full(n, 0.5), "author": pa.array([None] * n, pa.int64()),
+        "at_home": np.full(n, True), "part": np.zeros(n, np.int32),
+    })
+    sizes = [b.num_rows for b in similarity._met((0, 0, 0), table, made, False, 0, False)]
+    assert sum(sizes) == n * (n - 1) // 2 and max(sizes) <= similarity.STEP**2

@@ -28,7 +28,7 @@ BLOCK = 2048
 #: A smaller input is cut into about this many blocks or cells, so that all cores have pairs.
 LEAST_BLOCKS = 6
 #: Bytes of the vectors of a part of a cell, of which a task holds two; rows of it that are multiplied at a time.
-PART_BYTES, STEP = 16 << 20, 2048
+PART_BYTES, STEP = 16 << 20, 1024
 #: Rows that pivots and the rotation are chosen from, brought to the driver: at 768 doubles a row, 12 MB.
 SAMPLE = 2048
 #: Copies of a row that more pivots may cost beyond those of the fewest.
@@ -165,6 +165,33 @@ class Products:
                 yield i + s, j + t, sim
 
 
+def _met(task: tuple[int, int, int], table: pa.Table, made: Partition, other_author: bool, since: int, told: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs of a task, a step's at a time, so that it never holds all of its own; or if told its work."""
+    cell, a, b = task
+    vec, pos, tau = _stacked(table.column("vec")), table.column("pos").to_numpy(), table.column("tau").to_numpy()
+    author, first = table.column("author").to_numpy(), table.column("at_home").to_numpy(zero_copy_only=False) & (table.column("part").to_numpy() == a)
+    own, others = np.flatnonzero(first), np.flatnonzero(~first)
+    own = own[np.argsort(pos[own])]
+    fresh, old = own[pos[own] >= since], own[pos[own] < since]
+    turns = [(fresh, others, None), (old, others[pos[others] >= since], None)]
+    if a == b:  # a part with itself, and where they are one part with the cell's visitors
+        turns.append((fresh, own, len(old)))
+    products = Products(made.rotation, made.least, made.tallest)
+    for x, y, before in turns:
+        for i, j, sim in products.reach(vec[x], vec[y], before):
+            i, j = x[i], y[j]
+            late, early = np.where(pos[i] > pos[j], i, j), np.where(pos[i] > pos[j], j, i)
+            keep = sim >= tau[late]
+            if before is not None:
+                keep &= pos[i] > pos[j]
+            if other_author:
+                keep &= author[late] != author[early]
+            if not told and keep.any():
+                yield pa.record_batch({"j": pos[early[keep]], "i": pos[late[keep]], "sim": sim[keep]})
+    if told:
+        yield pa.record_batch({"cell": pa.array([cell], pa.int32()), "rows": [len(pos)], "bounded": [products.bounded], "whole": [products.whole]})
+
+
 def _work(vectors: DataFrame, rows: int, other_author: bool, since: int, told: bool) -> DataFrame:
     """The pairs, or if told the work of each task."""
     placed = vectors.where("vec is not null").select("pos", "vec", "tau", F.col("author") if other_author else F.lit(None).alias("author"))
@@ -175,31 +202,8 @@ def _work(vectors: DataFrame, rows: int, other_author: bool, since: int, told: b
     held = vectors.sparkSession.sparkContext.broadcast(made)
     members = _parts(cut(_assigned(placed, held)), made.pivots.shape[1])
 
-    def multiply(key: tuple, table: pa.Table) -> pa.Table:
-        cell, a, b = (k.as_py() for k in key)
-        made, vec, pos, tau = held.value, _stacked(table.column("vec")), table.column("pos").to_numpy(), table.column("tau").to_numpy()
-        author, first = table.column("author").to_numpy(), table.column("at_home").to_numpy(zero_copy_only=False) & (table.column("part").to_numpy() == a)
-        own, others = np.flatnonzero(first), np.flatnonzero(~first)
-        own = own[np.argsort(pos[own])]
-        fresh, old = own[pos[own] >= since], own[pos[own] < since]
-        turns = [(fresh, others, None), (old, others[pos[others] >= since], None)]
-        if a == b:  # a part with itself, and where they are one part with the cell's visitors
-            turns.append((fresh, own, len(old)))
-        products, found = Products(made.rotation, made.least, made.tallest), []
-        for x, y, before in turns:
-            for i, j, sim in products.reach(vec[x], vec[y], before):
-                i, j = x[i], y[j]
-                late, early = np.where(pos[i] > pos[j], i, j), np.where(pos[i] > pos[j], j, i)
-                keep = sim >= tau[late]
-                if before is not None:
-                    keep &= pos[i] > pos[j]
-                if other_author:
-                    keep &= author[late] != author[early]
-                found.append((pos[early][keep], pos[late][keep], sim[keep]))
-        if told:
-            return pa.table({"cell": pa.array([cell], pa.int32()), "rows": [len(pos)], "bounded": [products.bounded], "whole": [products.whole]})
-        j, i, sim = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        return pa.table({"j": j, "i": i, "sim": sim})
+    def multiply(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _met(tuple(k.as_py() for k in key), pa.Table.from_batches(list(batches)), held.value, other_author, since, told)
 
     return members.groupBy("cell", "a", "b").applyInArrow(multiply, schema)
 

@@ -1,5 +1,7 @@
 import math
 import random
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -206,3 +208,20 @@ def test_stream_of_files_resumes_where_it_stopped(spark, tmp_path):
         assert engine.start(stream, str(tmp_path / "checkpoint")).awaitTermination(120)
     batch = {r.id: r.cluster_id for r in cluster(frame(spark, rows), Tuning(0.8)).collect()}
     assert {r.id: r.cluster_id for r in engine.state().collect()} == batch
+
+
+def test_lexical_vectors_are_those_of_each_trigram_s_crc32_and_take_long_texts():
+    def plain(text, dim):
+        out, padded = np.zeros(dim), f"  {text.lower()} ".encode()
+        for i in range(len(padded) - 2):
+            h = zlib.crc32(padded[i : i + 3])
+            out[h % dim] += 1 if h >> 31 else -1
+        return (out / max(np.linalg.norm(out), 1e-9)).tolist()
+
+    texts = ["", "a", "Ab c", "\0\0", "é漢字 ÄÖ", "word " * 60_000]
+    for dim in (7, 8, 256):
+        for text, vec in zip(texts, lexical(dim)(texts), strict=True):
+            assert np.allclose(vec, plain(text, dim), rtol=0, atol=1e-12)
+    start = time.monotonic()
+    lexical()(["some words " * 1_000_000])
+    assert time.monotonic() - start < 4  # one by one, 11 MB take some 11 s

@@ -125,17 +125,33 @@ class Guarded:
         return vectors
 
 
+#: Bytes of a text whose trigrams are hashed at a time.
+HASHED = 128 << 10
+
+
+def _crc_tables() -> tuple[np.ndarray, np.uint32]:
+    """What a byte at each place of three adds to their crc32; the three parts and the crc32 of three zero bytes make it by exclusive or."""
+    import zlib
+
+    zero = zlib.crc32(bytes(3))
+    return np.array([[zlib.crc32(bytes(b if k == place else 0 for k in range(3))) ^ zero for b in range(256)] for place in range(3)], np.uint32), np.uint32(zero)
+
+
 def lexical(dim: int = 256) -> Embedder:
     """Unit vectors of hashed character trigrams: the same on every machine, without a model."""
-    import zlib
+    (first, second, third), zero = _crc_tables()
+    third = third ^ zero
 
     def embed(texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), dim))
         for row, t in zip(out, texts, strict=True):
-            padded = f"  {t.lower()} ".encode()
-            for i in range(len(padded) - 2):
-                h = zlib.crc32(padded[i : i + 3])
-                row[h % dim] += 1 if h >> 31 else -1
+            padded = np.frombuffer(f"  {t.lower()} ".encode(), np.uint8)
+            for i in range(0, len(padded) - 2, HASHED):
+                some = padded[i : i + HASHED + 2]
+                h = first[some[:-2]] ^ second[some[1:-1]] ^ third[some[2:]]
+                # up or down by the highest bit
+                counts = np.bincount((h % np.uint32(dim)).astype(np.int64) * 2 + (h >> np.uint32(31)), minlength=2 * dim)
+                row += counts[1::2] - counts[::2]
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).tolist()
 
     return embed

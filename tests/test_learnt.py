@@ -66,3 +66,11 @@ def test_better_than_letters_on_held_out_labels(spark):
 
     texts = [r.text or "" for r in rows]
     assert auc(words(texts)) > auc(lexical()(texts)) + 0.05
+
+
+def test_words_are_counted_without_their_texts(spark):
+    texts = spark.createDataFrame([("a b a",), ("b  c",), (None,), ("",)], "text string")
+    found = learnt.vocabulary(texts, 10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [word") == 1 and "Aggregate [word#" in plan and ", row#" not in plan
+    assert {r.word: round(r.rarity, 9) for r in found.collect()} == {w: round(math.log(4 / (1 + df)) + 1, 9) for w, df in (("a", 1), ("b", 2), ("c", 1))}

@@ -42,27 +42,29 @@ def signs(word: Column, dim: int = DIM) -> list[Column]:
 def vocabulary(texts: DataFrame, words: int = WORDS) -> DataFrame:
     """word and rarity (ln((1 + n) / (1 + df)) + 1) of the `words` most frequent words of texts (text), ties by word."""
     n = texts.agg(F.count("text").alias("n"))
-    rows = texts.select(words_of("text").alias("w")).withColumn("row", F.monotonically_increasing_id())
-    each = rows.select(F.explode("w").alias("word"), "row").groupBy("word", "row").agg(F.count("*").alias("tf"))
-    most = each.groupBy("word").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).orderBy(F.desc("tf"), "word").limit(words)
+    # a text says each of its words once more for df, so that no word is shuffled with its text
+    w, said = words_of("text"), lambda tf, df: lambda x: F.struct(x.alias("word"), F.lit(tf).alias("tf"), F.lit(df).alias("df"))
+    each = texts.select(w.alias("w")).select(F.explode(F.concat(F.transform("w", said(1, 0)), F.transform(F.array_distinct("w"), said(0, 1)))).alias("x")).select("x.*")
+    most = each.groupBy("word").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).orderBy(F.desc("tf"), "word").limit(words)
     return most.crossJoin(F.broadcast(n)).select("word", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("rarity"))
 
 
 def learn(texts: DataFrame, words: int = WORDS) -> DataFrame:
     """word, rarity and vec (DIM numbers, of length 1; zeros for a word that stands alone) of the vocabulary of texts (text). Null texts have no words."""
-    known = cut(vocabulary(texts, words))
+    known = cut(vocabulary(texts, words).withColumn("at", F.monotonically_increasing_id()))
     w = texts.select(words_of("text").alias("w")).where(F.size("w") > 1)
     pairs = w.select(F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))).alias("p")).select("p.a", "p.b")
-    # counted where texts are, then once by both ends
-    met = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
-    both = met.select(F.col("a").alias("word"), F.col("b").alias("beside"), "n").unionByName(met.select(F.col("b").alias("word"), F.col("a").alias("beside"), "n"))
-    beside = F.broadcast(known.select(F.col("word").alias("beside"), F.col("rarity").alias("weight"), F.array(*signs(F.col("word"))).alias("way")))
-    near = both.join(F.broadcast(known.select("word")), "word", "left_semi").groupBy("word", "beside").agg(F.sum("n").alias("n")).join(beside, "beside")
+    # words outside the vocabulary fall out where texts are; pairs of numbers are counted there, then once by both ends
+    number = lambda c: F.broadcast(known.select(F.col("word").alias(c), F.col("at").alias(f"at_{c}")))
+    met = pairs.join(number("a"), "a").join(number("b"), "b").groupBy("at_a", "at_b").agg(F.count("*").alias("n"))
+    both = met.select(F.col("at_a").alias("at"), F.col("at_b").alias("beside"), "n").unionByName(met.select(F.col("at_b").alias("at"), F.col("at_a").alias("beside"), "n"))
+    beside = F.broadcast(known.select(F.col("at").alias("beside"), F.col("rarity").alias("weight"), F.array(*signs(F.col("word"))).alias("way")))
+    near = both.groupBy("at", "beside").agg(F.sum("n").alias("n")).join(beside, "beside")
     pull = F.log(1 + F.col("n")) * F.col("weight")
-    sums = near.groupBy("word").agg(*[F.sum(pull * F.col("way")[i]).alias(f"v{i}") for i in range(DIM)])
+    sums = near.groupBy("at").agg(*[F.sum(pull * F.col("way")[i]).alias(f"v{i}") for i in range(DIM)])
     vec = F.array(*[F.coalesce(f"v{i}", F.lit(0.0)) for i in range(DIM)])
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v))
-    made = known.join(sums, "word", "left").select("word", "rarity", vec.alias("vec"))
+    made = known.join(sums, "at", "left").select("word", "rarity", vec.alias("vec"))
     return made.select("word", "rarity", F.transform("vec", lambda v: v / F.greatest(length, F.lit(1e-9))).alias("vec"))
 
 

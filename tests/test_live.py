@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell import storage
 from tidewell.operators.cluster import Tuning
+from tidewell.streaming import live
 from tidewell.streaming.engine import Engine
 from tidewell.streaming.live import LiveEngine, pivots_for
 
@@ -129,3 +130,30 @@ def test_switch_of_the_batch_engine(spark, tmp_path):
     engine.step(spark.createDataFrame([(9, 9, [1.0, 0.0], 0)], POSTS.replace(", t timestamp", "")), 1)
     engine.set_enabled(True)
     assert engine.view().where(F.col("id") == 9).first().is_dup
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_posts_meet_only_those_near_in_time(shuffled):
+    rng = np.random.default_rng(5)
+    n, ttl, minute = 3000, 3600 * 10**6, 60 * 10**6
+    vecs = rng.normal(size=(n, 8))
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    times = np.arange(n) * minute
+    if shuffled:
+        rng.shuffle(times)
+    rows = live._Rows(np.arange(n), times, np.arange(n) % 5, np.arange(n) % 3 > 0, vecs)
+    meeting = live.Meeting(live.Partition(vecs[:2], np.eye(8), 0.5, 1.0), ttl, True)
+    new, held = rows[np.arange(n) >= 1500], rows[np.arange(n) < 1500]
+    made, real = [], live.Products.reach
+    met = lambda itself: {(i, j) for f in meeting._pairs(new, new if itself else held, itself) for i, j in zip(f["i"], f["j"], strict=True)}
+    live.Products.reach = lambda self, x, y, before=None: made.append(len(x) * len(y)) or real(self, x, y, before)
+    try:
+        own, old = met(True), met(False)
+    finally:
+        live.Products.reach = real
+    sims = vecs @ vecs.T >= 0.5
+    ok = lambda x, y: sims[x, y] and times[x] - times[y] <= ttl and x % 5 != y % 5 and (rows.at_home[x] or rows.at_home[y])
+    assert own == {(x, y) for x in range(1500, n) for y in range(1500, x) if ok(x, y)} and own
+    assert old == {(x, y) for x in range(1500, n) for y in range(1500) if ok(x, y)} and old
+    if not shuffled:
+        assert sum(made) < 1500 * 1500 / 2

@@ -30,6 +30,8 @@ _MET = "i long, j long, sim double, seq long, author long, t timestamp"
 _BLOCK = "newest long, ids binary, times binary, authors binary, at_home binary, vecs binary"
 #: Blocks of a cell that are put together when there are more, and bytes of vectors up to which they are.
 BLOCKS = 8
+#: New posts, neighbours in time, that meet at once what is near them in time.
+RUN = 256
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -98,20 +100,29 @@ class Meeting(StatefulProcessor):
     def _pairs(self, new: _Rows, held: _Rows, itself: bool) -> Iterator[pd.DataFrame]:
         products, guests = Products(self.made.rotation, self.made.least, self.made.tallest), held[held.at_home]
         turns = ((np.flatnonzero(new.at_home), held, np.arange(len(held.ids))), (np.flatnonzero(~new.at_home), guests, np.flatnonzero(held.at_home)))
+        # where times don't go with the order, a later post may be the older one by any time
+        ordered = not itself or bool((np.diff(new.times) >= 0).all())
         for mine, theirs, places in turns:
-            for a, b, sim in products.reach(new.vecs[mine], theirs.vecs):
-                x, y = mine[a], places[b]
-                late, early = x, y
-                keep = np.ones(len(x), bool)
-                if itself:  # in order; a pair of one at home and one that visits comes by both turns
-                    keep = (x != y) & np.where(new.at_home[x] & new.at_home[y], x > y, new.at_home[x])
-                    late, early = np.maximum(x, y), np.minimum(x, y)
-                keep &= new.times[late] - held.times[early] <= self.ttl
-                if self.other_author:
-                    keep &= new.authors[late] != held.authors[early]
-                if keep.any():
-                    i, j = new.ids[late[keep]], held.ids[early[keep]]
-                    yield pd.DataFrame({"i": i, "j": pd.array(j, "Int64"), "sim": sim[keep], "seq": pd.array([None] * len(i), "Int64"), "author": pd.array([None] * len(i), "Int64"), "t": pd.Series([pd.NaT] * len(i), dtype="datetime64[us]")})
+            if not ordered:
+                yield from self._met(products, new, held, mine, theirs.vecs, places, itself)
+                continue
+            for mine_, theirs_ in _in_reach(new.times[mine], theirs.times, self.ttl, itself):
+                yield from self._met(products, new, held, mine[mine_], theirs.vecs[theirs_], places[theirs_], itself)
+
+    def _met(self, products: Products, new: _Rows, held: _Rows, mine: np.ndarray, vecs: np.ndarray, places: np.ndarray, itself: bool) -> Iterator[pd.DataFrame]:
+        for a, b, sim in products.reach(new.vecs[mine], vecs):
+            x, y = mine[a], places[b]
+            late, early = x, y
+            keep = np.ones(len(x), bool)
+            if itself:  # in order; a pair of one at home and one that visits comes by both turns
+                keep = (x != y) & np.where(new.at_home[x] & new.at_home[y], x > y, new.at_home[x])
+                late, early = np.maximum(x, y), np.minimum(x, y)
+            keep &= new.times[late] - held.times[early] <= self.ttl
+            if self.other_author:
+                keep &= new.authors[late] != held.authors[early]
+            if keep.any():
+                i, j = new.ids[late[keep]], held.ids[early[keep]]
+                yield pd.DataFrame({"i": i, "j": pd.array(j, "Int64"), "sim": sim[keep], "seq": pd.array([None] * len(i), "Int64"), "author": pd.array([None] * len(i), "Int64"), "t": pd.Series([pd.NaT] * len(i), dtype="datetime64[us]")})
 
     def _wake(self, newest: int) -> None:
         # when the watermark is there no post that may still come can be matched
@@ -130,6 +141,19 @@ class Meeting(StatefulProcessor):
         pass
 
 
+def _in_reach(times: np.ndarray, others: np.ndarray, ttl: int, either: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of `times`, RUN at a time in order of time, and those of `others` that aren't more than ttl older; where either may be the later one, nor more than ttl newer."""
+    mine, theirs = np.argsort(times, kind="stable"), np.argsort(others, kind="stable")
+    sorted_ = others[theirs]
+    for s in range(0, len(mine), RUN):
+        some = mine[s : s + RUN]
+        low = np.searchsorted(sorted_, times[some[0]] - ttl)
+        high = np.searchsorted(sorted_, times[some[-1]] + ttl, "right") if either else len(sorted_)
+        if low < high:
+            # in their own order, which is that of pairs
+            yield np.sort(some), np.sort(theirs[low:high])
+
+
 def _together(blocks: list[tuple]) -> list[tuple]:
     """The blocks, neighbours put together up to PART_BYTES of vectors."""
     out: list[list[_Rows]] = []

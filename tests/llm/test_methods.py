@@ -2,7 +2,7 @@
 
 import random
 import sys
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -387,3 +387,71 @@ def test_places_tell_their_words_apart():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([1, 2, 3]), pa.array(texts), pa.array(places, kind)], names=["doc_id", "rk", "text", "places"])
     a, b, c = (r["seen"] for r in pa.Table.from_batches(passages._contexts([batch])).to_pylist())
     assert a == b != c
+
+
+def _edited_copies():
+    """Copies of 12 texts, each with edits of its own, some of them twice or without an id."""
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(10**6)}"
+    pairs = []
+    for base in ([word() for _ in range(150)] for _ in range(12)):
+        for _ in range(7):
+            copy = list(base)
+            for _ in range(r.randrange(5)):
+                copy[r.randrange(150)] = word()
+            pairs.append((r.choice([None, len(pairs), len(pairs)]), " ".join([word() for _ in range(r.randrange(30))] + copy)))
+    return pairs + pairs[::9]
+
+
+def test_ends_of_passages_are_the_same_for_few_and_many_places(spark, monkeypatch):
+    from tidewell.llm import passages
+
+    docs = documents(spark, _edited_copies())
+    tables, cut = [], passages.cut
+    monkeypatch.setattr(passages, "cut", lambda df: tables.append(df.columns) or cut(df))
+    few = sorted(map(str, passages.repeats(docs).collect()))
+    assert any("passage" in x for x in few)
+    # what stands next to a block is shuffled once, and neither written nor given a row for each length
+    assert not any("seen" in c or {"keys", "own"} <= set(c) for c in tables)
+    monkeypatch.setattr(passages, "MANY", 1)
+    assert sorted(map(str, passages.repeats(docs).collect())) == few
+    assert any("seen" in c for c in tables)
+
+
+def test_agreement_of_places_against_a_plain_version():
+    import pyarrow as pa
+
+    from tidewell.llm import passages
+
+    r = random.Random(4)
+    names = ["doc_id", "rk", "start", "side", "h", "seen", "keys"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    for size in (1, 3, 1000):
+        rows = []
+        for h in range(-60, 60, 3):
+            for _ in range(r.randrange(1, 9)):
+                side, words, doc = r.randrange(2), [r.randrange(2) for _ in range(r.randrange(passages.STEP))], r.choice([None, 1, 2, 3, 2**63 - 1])
+                keys = [hash((h, side, *words[: k + 1])) for k in range(len(words))]
+                rows.append((doc, r.randrange(6) if doc is None else 10 + doc % 10, len(rows), side, h, 7 if h or r.random() < 0.7 else 8, keys))
+        rows += rows[::7]
+        rows.sort(key=lambda x: x[4])
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + size], strict=True), kinds, strict=True)], names=names) for i in range(0, len(rows), size)]
+        got = [tuple(x.values()) for b in passages._agreeing(iter(batches)) for x in b.to_pylist()]
+        want = set()
+        for doc, rk, start, side, h, seen, keys in rows:
+            kin = [x for x in rows if x[4] == h]
+            counts = Counter(x[5] for x in kin)
+            usual = min(counts, key=lambda s: (-counts[s], s))
+            if seen != usual:
+                want.add((rk, start, side, 0, 0, False))
+                continue
+            shared = later = 0
+            for k, key in enumerate(keys):
+                same = [x for x in kin if x[5] == usual and len(x[6]) > k and x[6][k] == key]
+                if len({x[1] for x in same}) > 1:
+                    shared = k + 1
+                    if doc != min((x[0] for x in same if x[0] is not None), default=None):
+                        later = k + 1
+            if shared:
+                want.add((rk, start, side, shared, later, True))
+        assert len(got) == len(want) and set(got) == want

@@ -16,12 +16,14 @@ STEP - 1 words at an end would hold a block of their own. What a longer run has
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations, islice
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,26 +43,18 @@ MIN_WORDS = 26
 FEW = int((MIN_WORDS - SHINGLE) / SIMILAR)
 #: Up to so many paragraphs' places (20 bytes each) are broadcast to the scan that fetches their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
-#: Words whose hashes a worker keeps.
-_CACHED = 100_000
+#: Places of a block that are compared in one task, at 200 bytes each; those of blocks that have more are dealt over tasks by each of their keys.
+MANY = 50_000
 _P = 0x9E3779B97F4A7C15
 _SCHEMA = "doc_id long, rk long, start int, n int, h long, line int, bands array<long>, keys array<long>"
 _U = np.uint64
 
 
-class _Hashes(dict):
-    """A word's 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _CACHED:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return h
-
-
-@lru_cache(maxsize=1)
-def _hashes() -> _Hashes:
-    return _Hashes()
+def _hashes(words: pa.LargeBinaryArray) -> np.ndarray:
+    """Each word's 64-bit hash."""
+    whole, offsets = words.buffers()[2], np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    held = whole.to_pybytes() if whole else b""
+    return np.fromiter((xxhash.xxh64_intdigest(held[x:y], 42) for x, y in pairwise(offsets)), np.uint64, len(words))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -77,24 +71,28 @@ def _permutations() -> np.ndarray:
 class Words:
     """The words of a batch of texts as hashes, one text after the other."""
 
-    def __init__(self, texts: list[str | None]):
-        words: list[bytes] = []
-        starts, lines, self.numbers = [], [], []  # of texts; of paragraphs: text, from, to, and their number in the text
-        for i, text in enumerate(texts):
-            starts.append(len(words))
-            for number, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
-                n = len(words)
-                words += line.split()
-                if len(words) > n:
-                    lines.append((i, n, len(words)))
-                    self.numbers.append(number)
-        self.starts, self.lines = np.array(starts, np.int64), np.array(lines, np.int64).reshape(-1, 3)
-        self.hash = np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words))
-        self.text = np.repeat(np.arange(len(texts)), np.diff([*starts, len(words)]))
-        powers = np.cumprod(np.full(len(words) + 1, _P, np.uint64)) if len(words) else np.ones(1, np.uint64)
+    def __init__(self, texts: pa.Array | list[str | None]):
+        if isinstance(texts, list):
+            texts = pa.array([(t or "").encode("utf-8", "surrogatepass") for t in texts], pa.large_binary())
+        split = pc.split_pattern(texts.cast(pa.large_binary()).fill_null(b""), b"\n")
+        of, first = np.asarray(split.value_parent_indices()), np.asarray(split.offsets)[:-1]
+        # views as strings: bytes that are no UTF-8 are split at the same white space
+        words = pc.ascii_split_whitespace(split.flatten().view(pa.large_string()))
+        line, words = np.asarray(words.value_parent_indices()), words.flatten()
+        full = np.asarray(pc.binary_length(words)) > 0  # white space at the ends of a line leaves empty ones
+        line, words = line[full], words.filter(pa.array(full)).view(pa.large_binary()).dictionary_encode()
+        # of paragraphs: text, from, to, and their number in the text
+        begin = np.flatnonzero(np.diff(line, prepend=-1))
+        at = line[begin]
+        self.lines = np.stack((of[at], begin, np.append(begin[1:], len(line))[: len(begin)]), axis=1).astype(np.int64)
+        self.numbers = (at - (first - first[:1])[of[at]]).tolist()
+        self.text = of[line]
+        self.starts = np.searchsorted(self.text, np.arange(len(texts)))
+        self.hash = _hashes(words.dictionary)[np.asarray(words.indices)]
+        powers = np.cumprod(np.full(len(line) + 1, _P, np.uint64)) if len(line) else np.ones(1, np.uint64)
         self.powers = np.concatenate((np.ones(1, np.uint64), powers[:-1]))
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.hash * self.powers[: len(words)])))
-        n = max(0, len(words) - SHINGLE + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.hash * self.powers[: len(line)])))
+        n = max(0, len(line) - SHINGLE + 1)
         s = np.zeros(n, np.uint64)
         for k in range(SHINGLE):
             s = s * _U(_P) + self.hash[k : n + k]
@@ -111,9 +109,15 @@ class Words:
         span = STEP + SHINGLE - 1
         if len(self.hash) < max(span, BLOCK):
             return np.empty(0, np.int64)
-        windows = np.lib.stride_tricks.sliding_window_view(self.shingles, STEP)
-        inside = self.text[: len(windows)] == self.text[span - 1 : span - 1 + len(windows)]
-        at = np.unique((np.arange(len(windows)) + windows.argmin(axis=1))[inside])
+        # where the least of 1, 2, 4 .. STEP shingles is, the first of equal ones
+        least, at, n = self.shingles, np.arange(len(self.shingles)), 1
+        while n < STEP:
+            k = min(n, STEP - n)
+            right = least[k:] < least[:-k]
+            least, at, n = np.where(right, least[k:], least[:-k]), np.where(right, at[k:], at[:-k]), n + k
+        inside = self.text[: len(at)] == self.text[span - 1 : span - 1 + len(at)]
+        at = at[inside]
+        at = at[np.diff(at, prepend=-1) > 0]  # they ascend
         at = at[at + BLOCK <= len(self.hash)]
         return at[self.text[at] == self.text[at + BLOCK - 1]]
 
@@ -144,34 +148,32 @@ class Words:
             keys = _mixed(keys * _U(_P) + signature[:, r::ROWS])
         return keys
 
-
     def few_keys(self) -> list[list[int] | None]:
         """For each paragraph of lines that is among the few, keys of which it shares one with any that is SIMILAR; for those without a shingle none; null for others.
 
         Of n different shingles like paragraphs have o = ceil(SIMILAR * n) in common at least, so of the n - o + 2 with the least hashes two, if o is two or more.
         """
-        pairs: list[tuple[int, int]] = []
-        counts = []
-        shingled = self.lines[:, 2] - self.lines[:, 1] >= SHINGLE
-        for (_, a, z), few, has in zip(self.lines.tolist(), self.few().tolist(), shingled.tolist(), strict=True):
-            if not few:
-                counts.append(-1 if has else 0)
-                continue
-            s = sorted(set(self.shingles[a : z - SHINGLE + 1].tolist()))
+        out: list[list[int] | None] = [[] if n < SHINGLE else None for n in (self.lines[:, 2] - self.lines[:, 1]).tolist()]
+        alike = defaultdict(list)  # by how many hashes count: paragraphs and their least hashes
+        for i in np.flatnonzero(self.few()).tolist():
+            s = sorted(set(self.shingles[self.lines[i, 1] : self.lines[i, 2] - SHINGLE + 1].tolist()))
             o = math.ceil(SIMILAR * len(s) - 1e-9)
-            mine = [(s[0], 0)] if o < 2 else list(combinations(s[: len(s) - o + 2], 2))
-            pairs += mine
-            counts.append(len(mine))
-        flat = np.array(pairs, np.uint64).reshape(-1, 2)
-        keys = iter(_mixed(_mixed(flat[:, 0]) * _U(_P) + flat[:, 1]).view(np.int64).tolist())
-        return [None if n < 0 else list(islice(keys, n)) for n in counts]
+            n = 1 if o < 2 else len(s) - o + 2
+            alike[n].append((i, s[:n]))
+        for n, found in alike.items():
+            least = np.array([s for _, s in found], np.uint64)
+            a, b = np.array(list(combinations(range(n), 2)) or [(0, 0)]).T
+            second = least[:, b] if n > 1 else _U(0)
+            for (i, _), keys in zip(found, _mixed(_mixed(least[:, a]) * _U(_P) + second).view(np.int64).tolist(), strict=True):
+                out[i] = keys
+        return out
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for i in range(0, whole.num_rows, 400):
             b = whole.slice(i, 400)
-            w = Words(b.column("text").to_pylist())
+            w = Words(b.column("text"))
             at = w.blocks()
             text, start, stop = (np.concatenate(x) for x in zip((w.text[at], at, at + BLOCK), w.lines.T, strict=True))
             line = pa.array([None] * len(at) + w.numbers, pa.int32())
@@ -191,7 +193,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for i in range(0, whole.num_rows, 100):
             b = whole.slice(i, 100)
-            w = Words(b.column("text").to_pylist())
+            w = Words(b.column("text"))
             lists = b.column("places")
             text, places = np.asarray(lists.value_parent_indices()), lists.flatten()
             start, h, side = (np.asarray(places.field(f)) for f in ("start", "h", "side"))
@@ -207,10 +209,64 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "start", "side", "h", "seen", "keys"])
 
 
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come in the order of h, with no h in two tables."""
+    rest = []
+    for b in batches:
+        h = np.asarray(b.column("h"))
+        if not len(h):
+            continue
+        last = int(np.searchsorted(h, h[-1]))
+        if last or (rest and rest[-1].column("h")[-1].as_py() != h[0]):
+            if last or rest:
+                yield pa.Table.from_batches([*rest, b.slice(0, last)])
+            rest = []
+        rest.append(b.slice(last))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What _more() gives of _contexts()' rows, which come in the order of h."""
+    for t in _by_block(batches):
+        t = t.combine_chunks()
+        rk, start, side, h, seen = (np.asarray(t.column(c).combine_chunks()) for c in ("rk", "start", "side", "h", "seen"))
+        doc, none = np.asarray(t.column("doc_id").combine_chunks().fill_null(np.iinfo(np.int64).max)), np.asarray(t.column("doc_id").is_null().combine_chunks())
+        equal = np.ones(len(h), bool)
+        edge = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+        for a, z in zip(edge, np.append(edge[1:], len(h)), strict=True) if (np.minimum.reduceat(seen, edge) != np.maximum.reduceat(seen, edge)).any() else ():
+            kinds, counts = np.unique(seen[a:z], return_counts=True)
+            equal[a:z] = seen[a:z] == kinds[counts.argmax()]
+        lists = t.column("keys").combine_chunks()
+        offsets, keys = np.asarray(lists.offsets), np.asarray(lists.values)
+        shared, later = np.zeros(len(h), np.int32), np.zeros(len(h), np.int32)
+        rows = np.flatnonzero(equal)
+        for k in range(1, STEP):
+            rows = rows[np.diff(offsets)[rows] >= k]
+            if not len(rows):
+                break
+            key = keys[offsets[rows] + k - 1]
+            order = np.argsort(key)
+            rows, key = rows[order], key[order]
+            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            n = np.diff(np.append(edge, len(key)))
+            several = np.minimum.reduceat(rk[rows], edge) != np.maximum.reduceat(rk[rows], edge)
+            first, nameless = np.minimum.reduceat(doc[rows], edge), np.logical_and.reduceat(none[rows], edge)
+            own = (doc[rows] == np.repeat(first, n)) & (none[rows] == np.repeat(nameless, n))
+            shared[rows[np.repeat(several, n)]] = k
+            later[rows[np.repeat(several, n) & ~own]] = k
+            rows = rows[np.repeat(several, n)]  # the others share no more words either
+        tell = np.flatnonzero((shared > 0) | ~equal)
+        tell = tell[np.lexsort((side[tell], start[tell], rk[tell]))]
+        same = [x[tell][1:] == x[tell][:-1] for x in (rk, start, side)]
+        tell = tell[np.append(True, ~(same[0] & same[1] & same[2]))] if len(tell) else tell  # rows of one document
+        yield pa.RecordBatch.from_arrays([pa.array(x[tell]) for x in (rk, start, side, shared, later, equal)], names=["rk", "start", "side", "shared", "later", "equal"])
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """h and the sorted different shingles of each paragraph (h, text)."""
     for b in batches:
-        w = Words(b.column("text").to_pylist())
+        w = Words(b.column("text"))
         sets = [np.unique(w.shingles[a : z - SHINGLE + 1]).view(np.int64) for _, a, z in w.lines]
         yield pa.RecordBatch.from_arrays([b.column("h").take(pa.array(w.lines[:, 0])), pa.array(sets, pa.list_(pa.int64()))], names=["h", "shingles"])
 
@@ -261,8 +317,8 @@ def similar_paragraphs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """
     classes = cut(paragraphs.groupBy("h").agg(F.min(F.struct("rk", "line")).alias("at"), F.first("bands").alias("bands")))
     entered = classes.select("h", F.explode("bands").alias("bucket"))
-    often = entered.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    met = cut(entered.join(often, "bucket", "left_semi"))
+    others = W.partitionBy("bucket")  # one shuffle and sort of all buckets, most of which have one class
+    met = cut(entered.select("h", "bucket", F.min("h").over(others).alias("lo"), F.max("h").over(others).alias("hi")).where("lo != hi").select("h", "bucket"))
     sets = _sets(docs, classes, met)
     able = cut(met.select("bucket", "h").join(sets.where(F.col("shared") >= SIMILAR * F.col("size")).select("h", "size", "shared"), "h"))
     crowd = able.join(able.groupBy("bucket").agg(F.count("*").alias("n")), "bucket").groupBy("h").agg(F.sum("n").alias("meets"))
@@ -313,22 +369,32 @@ def _grouped(paragraphs: DataFrame, roots: DataFrame, kind: str) -> DataFrame:
     return rooted.join(groups, "component").select("doc_id", F.lit(kind).alias("kind"), F.col("start").alias("start_word"), (F.col("start") + F.col("n")).alias("end_word"), "component", "first_doc_id")
 
 
-@scoped
-def _more(docs: DataFrame, spans: DataFrame, islands: DataFrame) -> DataFrame:
-    """rk, start, side, shared, later and equal: by how many words what several documents have goes on before (side 0) or after (1) the block at start, and as far as another has it first.
-
-    Blocks were taken for equal by one hash; equal says whether the words are, too, as those of most other places of that hash.
-    """
+def _placed(docs: DataFrame, spans: DataFrame, islands: DataFrame) -> DataFrame:
+    """_contexts() of the places of all blocks that begin or end an island."""
     edges = islands.select(F.col("h0").alias("h"), F.lit(0).alias("side")).union(islands.select("h1", F.lit(1))).distinct()
-    places = cut(spans.join(cut(edges), "h").groupBy("rk").agg(F.collect_set(F.struct("start", "h", "side")).alias("places")))
+    places = cut(spans.join(cut(edges).hint("shuffle_hash"), "h").groupBy("rk").agg(F.collect_set(F.struct("start", "h", "side")).alias("places")))
     n = places.agg(F.sum(F.size("places"))).first()[0] or 0
     texts = docs.select(docs.doc_id.cast("long").alias("doc_id"), row_key(docs.doc_id, docs.text).alias("rk"), docs.text.alias("text"))
     joined = texts.join(F.broadcast(places) if n <= BROADCAST_ROWS else places, "rk").select("doc_id", "rk", "text", "places")
     if n > BROADCAST_ROWS:
         joined = cut(joined)  # so that the join's memory is free when Python runs
-    places = cut(joined.mapInArrow(_contexts, "doc_id long, rk long, start int, side int, h long, seen long, keys array<long>"))
-    mixed = places.groupBy("h").agg(F.min("seen").alias("lo"), F.max("seen").alias("hi"), F.mode("seen").alias("most")).where("lo != hi").select("h", "most")
-    wrong = cut(places.join(mixed, "h").where("seen != most").select("rk", "start", "side").distinct())
+    return joined.mapInArrow(_contexts, "doc_id long, rk long, start int, side int, h long, seen long, keys array<long>")
+
+
+@scoped
+def _more_of_few(docs: DataFrame, spans: DataFrame, islands: DataFrame) -> DataFrame:
+    """_more() for blocks of up to MANY places: these meet in one task, which tells by the keys what they share."""
+    dealt = _placed(docs, spans, islands).repartition("h").sortWithinPartitions("h")
+    return dealt.mapInArrow(_agreeing, "rk long, start int, side int, shared int, later int, equal boolean")
+
+
+@scoped
+def _more_of_many(docs: DataFrame, spans: DataFrame, islands: DataFrame) -> DataFrame:
+    """_more() for blocks of any number of places: each key meets its like on its own."""
+    places = cut(_placed(docs, spans, islands))
+    mixed = cut(places.groupBy("h").agg(F.min("seen").alias("lo"), F.max("seen").alias("hi")).where("lo != hi").select("h"))
+    usual = places.join(mixed, "h").groupBy("h", "seen").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("seen", F.struct("n", "seen")).alias("most"))
+    wrong = cut(places.join(cut(usual), "h").where("seen != most").select("rk", "start", "side").distinct())
     fine = places if wrong.isEmpty() else places.join(wrong, ["rk", "start", "side"], "left_anti")
     runs = fine.where("size(keys) > 0").withColumn("all", F.element_at("keys", -1))
     # those that agree in all words are one class; only one of it is compared with others, word by word
@@ -339,16 +405,27 @@ def _more(docs: DataFrame, spans: DataFrame, islands: DataFrame) -> DataFrame:
     told = cut(found.groupBy("all", "own").agg(F.max("n").alias("shared"), F.max(F.when(~F.col("own").eqNullSafe(F.col("first")), F.col("n"))).alias("others")))
     # whoever isn't the first of the class has that before it at every length
     later = F.when(F.col("doc_id").eqNullSafe(F.col("own")), F.col("others")).otherwise(F.col("shared"))
-    more = runs.select("doc_id", "rk", "start", "side", "all").join(told, "all").select("rk", "start", "side", "shared", later.alias("later"), F.lit(True).alias("equal")).distinct()
+    more = runs.select("doc_id", "rk", "start", "side", "all").join(told, "all").select("rk", "start", "side", "shared", F.coalesce(later, F.lit(0)).alias("later"), F.lit(True).alias("equal")).distinct()
     return more.unionByName(wrong.select("*", F.lit(0).alias("shared"), F.lit(0).alias("later"), F.lit(False).alias("equal")))
 
 
+def _more(docs: DataFrame, spans: DataFrame, islands: DataFrame) -> DataFrame:
+    """rk, start, side, shared, later and equal: by how many words what several documents have goes on before (side 0) or after (1) the block at start, and as far as another has it first.
+
+    Blocks were taken for equal by one hash; equal says whether the words are, too, as those of most other places of that hash.
+    """
+    few = _more_of_few(docs, spans.where("not many"), islands)
+    many = spans.where("many")
+    return few if many.isEmpty() else few.unionByName(_more_of_many(docs, many, islands))
+
+
 @scoped
 def _verbatim(docs: DataFrame, all_units: DataFrame) -> DataFrame:
     """The spans of what several documents have; a component is a span of the document that has its blocks first."""
     blocks = all_units.where("line is null").select("doc_id", "rk", "start", "h")
-    classes = blocks.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.min("rk").alias("lo"), F.max("rk").alias("hi")).where("lo != hi").drop("lo", "hi")
-    marked = blocks.join(cut(classes), "h").withColumn("later", ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
+    classes = blocks.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.min("rk").alias("lo"), F.max("rk").alias("hi"), (F.count("*") > MANY).alias("many")).where("lo != hi").drop("lo", "hi")
+    # classes have a row for each h: a table of them spares all blocks a sort
+    marked = blocks.join(cut(classes).hint("shuffle_hash"), "h").withColumn("later", ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
     order = W.partitionBy("rk", "doc_id", "later").orderBy("start")
     opened = marked.withColumn("opens", F.coalesce(F.col("start") > F.lag("start").over(order) + BLOCK, F.lit(True)))
     spans = cut(opened.withColumn("island", F.sum(F.col("opens").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))))

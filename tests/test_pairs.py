@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import chunks, gold, metrics, retrieval
+from tidewell.operators import chunks, cluster, gold, metrics, retrieval
 from tidewell.operators.cluster import Tuning
 
 SHARED = "labeller string, id long, story long, main_story long"
@@ -145,3 +145,35 @@ def test_collapse_decides_from_a_tuning_s_own_edges(spark, monkeypatch):
     found = metrics.simulate_collapse(vectors, 60, shared, grid).collect()
     assert len(found) == 2 and all(r.hidden > 0 for r in found)
     assert plans and not any("Filter" in p or "Join" in p for p in plans)
+
+
+@pytest.mark.parametrize("most", [cluster.REPS_BYTES, 0])
+def test_collapse_meets_representatives_alone(spark, monkeypatch, most):
+    """Where only a threshold decides no pair of two rows that join others is made, and a walk in order hides the same rows."""
+    monkeypatch.setattr(cluster, "FIRST_ROWS", 16)
+    monkeypatch.setattr(cluster, "STEP", 7)
+    monkeypatch.setattr(cluster, "REPS_BYTES", most)
+    pairs, real = [], metrics.similar_pairs
+    monkeypatch.setattr(metrics, "similar_pairs", lambda *a: pairs.append(a[2]) or real(*a))
+    n = 400
+    at = np.random.default_rng(8).normal(size=(n, 6))
+    at /= np.linalg.norm(at, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(k, 3 * k, v.tolist(), 0) for k, v in enumerate(at)], "pos long, id long, vec array<double>, author long")
+    sim, reps, first, best = at @ at.T, [], {}, {}
+    for k in range(n):
+        near = [r for r in reps if sim[k, r] >= 0.5]
+        if near:
+            first[k], best[k] = near[0], max(near, key=lambda r: sim[k, r])
+        else:
+            reps.append(k)
+    found = cluster.represented(vectors, 0.5)
+    assert (found is None) == (most == 0)
+    if found is not None:
+        assert {r.i: (r.first, r.best) for r in found.collect()} == {k: (first[k], best[k]) for k in first}
+    shared = spark.createDataFrame([("b", 3 * k, k % 4, k % 5) for k in range(n)], "labeller string, id long, story long, main_story long")
+    told = {r.rule: (r.hidden, r.correct, r.wrong, r.unjudged) for r in metrics.simulate_collapse(vectors, n, shared, [Tuning(0.5), Tuning(0.5, rule="best")]).collect()}
+    for rule, rep in (("first", first), ("best", best)):
+        same = [(k % 4 == j % 4, k % 5 == j % 5) for k, j in rep.items()]
+        right, disputed = sum(a and b for a, b in same), sum(a != b for a, b in same)
+        assert told[rule] == (len(rep), right, len(rep) - right - disputed, disputed)
+    assert pairs == ([] if most else [None])

@@ -2,14 +2,16 @@
 
 import random
 import time
+from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import gold, judged, metrics
-from tidewell.plans import catalogue
+from tidewell.plans import catalogue, stores
 
 SHARED = "labeller string, id long, story long, main_story long"
 
@@ -128,3 +130,12 @@ def test_ids_far_apart_are_streamed_and_come_again(spark, tmp_path):
     ids = [4000 * i for i in range(40)]
     found = catalogue.queries()["stream_redelivered"](spark, tables(spark, tmp_path, embeddings=[some_vectors(spark, ids)]))
     assert {x.vec_id: x.placed for x in found.collect()} == dict.fromkeys(ids, 2)
+
+
+def test_posts_that_come_again_come_in_bounded_micro_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "TIMED", 7)
+    _, path = stores._timed(spark, tables(spark, tmp_path, embeddings=[some_vectors(spark, range(100))]), 1000)
+    of = [[x["id"] for x in f.collect()] for f in (spark.read.parquet(str(p)) for p in sorted(Path(path).glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns))]
+    assert max(map(len, of)) <= 7 + 20 and Counter(i for ids in of for i in ids if i >= 0).keys() == set(range(100))
+    marks = [k for k, ids in enumerate(of) if min(ids) < 0]
+    assert len(marks) == 2 and sorted(i for ids in of[marks[-1] + 1 :] for i in ids) == list(range(100)) and max(map(len, of[marks[-1] + 1 :])) <= 7

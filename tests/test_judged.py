@@ -7,6 +7,7 @@ from itertools import combinations
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,21 @@ def test_posts_that_come_again_come_in_bounded_micro_batches(spark, tmp_path, mo
     assert max(map(len, of)) <= 7 + 20 and Counter(i for ids in of for i in ids if i >= 0).keys() == set(range(100))
     marks = [k for k, ids in enumerate(of) if min(ids) < 0]
     assert len(marks) == 2 and sorted(i for ids in of[marks[-1] + 1 :] for i in ids) == list(range(100)) and max(map(len, of[marks[-1] + 1 :])) <= 7
+
+
+def test_marks_are_packed_in_a_byte_or_two():
+    r = np.random.default_rng(75)
+    lo = r.integers(-(2**62), 2**62, 200)
+    lo, hi = (x.ravel() for x in np.meshgrid(lo, lo))
+    some = (lo < hi) & (r.random(len(lo)) < 0.3)
+    lo, hi, out = lo[some], hi[some], r.random(some.sum()) < 0.5
+    a, b = (lo % 2).astype(np.int32), (hi % 2).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, lo, hi, out)], names=["a", "b", "lo", "hi", "out"])
+    packs = pa.Table.from_batches(judged._pack(iter([batch.slice(0, 100), batch.slice(100)])))
+    assert packs.num_rows == 4 and sum(len(x.as_py()) for x in packs.column("marks")) < 3 * len(lo)
+    back = []
+    for k in range(packs.num_rows):
+        said = judged._unpacked(packs.slice(k, 1)).to_pydict()
+        back += [(packs["a"][k].as_py(), packs["b"][k].as_py(), *x) for x in zip(said["lo"], said["hi"], said["out"], strict=True)]
+    assert sorted(back) == sorted(zip(a.tolist(), b.tolist(), lo.tolist(), hi.tolist(), out.tolist(), strict=True))
+    assert judged._unpacked(packs.slice(0, 0)).num_rows == 0

@@ -158,3 +158,15 @@ def test_marks_are_packed_in_a_byte_or_two():
         back += [(packs["a"][k].as_py(), packs["b"][k].as_py(), *x) for x in zip(said["lo"], said["hi"], said["out"], strict=True)]
     assert sorted(back) == sorted(zip(a.tolist(), b.tolist(), lo.tolist(), hi.tolist(), out.tolist(), strict=True))
     assert judged._unpacked(packs.slice(0, 0)).num_rows == 0
+
+
+def test_only_positives_are_shifted_where_they_are_placed(spark):
+    shared, vectors, stories, want = made(spark, 50, 71)
+
+    def shift(lo, hi):
+        if lo.ndim > 1:
+            raise ValueError("all pairs that meet were shifted")
+        return 0.0 * lo
+
+    found = judged.Judged(shared, vectors, stories)._positives(lambda code, values: {"code": np.unique(code), "pairs": np.bincount(code)[np.unique(code)]}, "pairs long", shift)
+    assert sum(x.pairs for x in found.collect()) == sum(y == 1 and s is not None for y, s in want.values())
